@@ -44,6 +44,16 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids that a broadcast may hold: 16 MB at most.
+BROADCAST_IDS = 2_000_000
+
+
+def few_or_shuffled(ids: DataFrame) -> DataFrame:
+    """A hint to broadcast ``ids`` where they were counted to be few; else the join shuffles."""
+    ids = materialize(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def hot_keys(counts: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame:
     """Keys with over one ``share``-th of all rows, thus fewer than ``share`` keys.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, hot_keys, materialize, spread_join
+from .common import drop_table, few_or_shuffled, hot_keys, materialize, spread_join
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -272,3 +272,19 @@ def near_duplicates(
         alone.alias("component_id"),
         F.coalesce(F.col("id") == alone, F.lit(False)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each group of near-duplicates.
+
+    The one with the smallest id stays; of rows that repeat its id, one. Rows
+    without an id all stay.
+    """
+    judged = materialize(near_duplicates(docs, id_col=id_col, **options))
+    known = judged.where(F.col(id_col).isNotNull())
+    kept = known.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = few_or_shuffled(kept.where("not kept or n > 1").select(id_col))
+    again = few_or_shuffled(kept.where("kept and n > 1").select(id_col))
+    return docs.join(gone, id_col, "left_anti").select(docs.columns).unionByName(
+        docs.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
+    )

@@ -187,18 +187,23 @@ def mapping(values: DataFrame, key: str, most_turns: int = 50) -> DataFrame:
 
 
 def replace_entities(
-    docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    key: str = "surrogate-key",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """id, text with every entity replaced, n_entities, kinds, for every document.
 
     kinds: the distinct kinds found, sorted and comma-joined. Null texts stay
     null, texts without entities stay as they are. Repeated rows and null ids
-    stay. Other columns are left out.
+    stay. Of the other columns those in ``keep`` stay, the rest is left out.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rest = F.struct(F.lit(0), *[F.col(c) for c in keep])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
     has = F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN)
     without = rows.where(~F.coalesce(has, F.lit(False))).select(
-        "id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds")
+        "id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"), "rest"
     )
     some = rows.where(has)
     spelled = some.select(
@@ -220,6 +225,8 @@ def replace_entities(
         .join(of_doc, "doc")
         .withColumn("found", found)
         .withColumns({"between": F.split("text", PATTERN, -1), "new": new})
-        .select("id", F.array_join(woven, "").alias("text"), F.size("found").cast("long").alias("n_entities"), "kinds")
+        .select("id", F.array_join(woven, "").alias("text"), F.size("found").cast("long").alias("n_entities"), "kinds", "rest")
+    )
+    return without.unionByName(within).select(
+        F.col("id").alias(id_col), F.col("text").alias(text_col), *[F.col("rest").getField(c).alias(c) for c in keep], "n_entities", "kinds"
     )
-    return without.unionByName(within).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_entities", "kinds")

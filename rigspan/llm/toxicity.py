@@ -342,3 +342,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     schema = rows.select(F.col("id"), F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(run, schema).select(F.col("id").alias(id_col), "score")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        scorer = Scorer(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                worst = scorer.worst(part.column(text_col).to_pylist())
+                yield part.filter(pa.array(probability(model, worst) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
