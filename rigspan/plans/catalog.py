@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import log_queries, sample_queries
+from .registry import ORACLE_SQL, QUERIES, Tables
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "sample_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return log_queries.flagship(Tables(spark, sf_dir))
