@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import eval_queries, feature_queries, log_queries, sample_queries
+from . import eval_queries, feature_queries, log_queries, sample_queries, stream_queries
 from .registry import ORACLE_SQL, QUERIES, Tables
 
-__all__ = ["ORACLE_SQL", "QUERIES", "eval_queries", "feature_queries", "flagship", "sample_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "eval_queries", "feature_queries", "flagship", "sample_queries", "stream_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
