@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import segment, sync
+from ..operators import samples, segment, sync
 from ..sources import tables as src
 from .registry import Tables, query
 
@@ -164,17 +164,13 @@ def episode_times(t):
 
 @query(
     "S12_stats_check",
-    """select r.field, (select count(*) from (select unnest(qpos) from steps where episode_id = 0 and step = 0)) as width, r.field in ('qpos', 'action') as present
-       from (select unnest(['qpos', 'action', 'example']) as field) r""",
+    """select r.field, case r.field when 'qpos' then (select max(len(qpos)) from steps) when 'action' then (select max(len(action)) from steps) else 0 end as width,
+       r.field in ('qpos', 'action') as present from (select unnest(['qpos', 'action', 'example']) as field) r""",
     "steps",
 )
 def stats_check(t):
-    stats = t("steps").where("episode_id = 0 and step = 0")
-    long = stats.select(F.lit("qpos").alias("field"), F.posexplode("qpos").alias("dim", "mean")).unionByName(
-        stats.select(F.lit("action").alias("field"), F.posexplode("action").alias("dim", "mean"))
-    )
-    width = long.where("field = 'qpos'").agg(F.count("*").alias("width"))
-    return src.required_fields(long, ["qpos", "action", "example"]).crossJoin(F.broadcast(width)).select("field", "width", "present")
+    stats = lambda c, n: samples.wide_statistics(t("steps"), c, n).withColumn("field", F.lit(c))
+    return src.required_fields(stats("qpos", 8).unionByName(stats("action", 7)), ["qpos", "action", "example"])
 
 
 @query("S13_json_log", "select event_type as run, count(*) as n, sum(cast(props->>'k' as bigint))::bigint as total from events group by event_type")

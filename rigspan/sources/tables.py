@@ -98,10 +98,12 @@ def read_offsets(lines: DataFrame) -> DataFrame:
 
 
 def required_fields(stats: DataFrame, required: list[str]) -> DataFrame:
-    """field and present of every required field of a statistics table."""
+    """field, width and present of every required field of a statistics table; a missing one has width 0."""
     have = stats.groupBy("field").agg(F.count("*").alias("n"))
     want = stats.sparkSession.createDataFrame([(r,) for r in required], "field string")
-    return F.broadcast(want).join(have, "field", "left").select("field", F.col("n").isNotNull().alias("present"))
+    return F.broadcast(want).join(have, "field", "left").select(
+        "field", F.coalesce("n", F.lit(0)).cast("long").alias("width"), F.col("n").isNotNull().alias("present")
+    )
 
 
 def parse_log(lines: DataFrame, column: str, schema: str) -> DataFrame:
