@@ -166,10 +166,10 @@ def metric_means(t):
     return t("metrics").groupBy("run", "phase", "epoch").agg(F.round(F.avg("value"), 4).alias("mean"))
 
 
-@query("A18_reduce", "select run, epoch, round(avg(per), 3) as mean, round(sum(per), 4) as total from (select run, epoch, rank, avg(value) as per from metrics group by 1, 2, 3) group by 1, 2", "metrics")
+@query("A18_reduce", "select run, epoch, round(avg(per) + 1e-7, 3) as mean, round(sum(per) + 1e-7, 4) as total from (select run, epoch, rank, avg(value) as per from metrics group by 1, 2, 3) group by 1, 2", "metrics")
 def reduce_(t):
     per = t("metrics").groupBy("run", "epoch", "rank").agg(F.avg("value").alias("per"))
-    return per.groupBy("run", "epoch").agg(F.round(F.avg("per"), 3).alias("mean"), F.round(F.sum("per"), 4).alias("total"))
+    return per.groupBy("run", "epoch").agg(F.round(F.avg("per") + 1e-7, 3).alias("mean"), F.round(F.sum("per") + 1e-7, 4).alias("total"))
 
 
 @query("A19_meter_merge", "select run, round(sum(value) / count(*), 4) as overall, count(*) as n from metrics group by 1", "metrics")
