@@ -165,3 +165,16 @@ def test_box_pairs(spark):
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "scores array<double>, target long")
     assert [r.accuracy for r in evaluate.top_k_accuracy(none, [1, 5]).collect()] == [0.0, 0.0]
+
+
+def test_synchronise_and_shift_share_one_exchange(spark):
+    ticks = spark.range(10).selectExpr("id % 2 as k", "id as i", "id * 10 as g_us")
+    data = spark.range(50).selectExpr("id % 2 as k", "if(id % 3 = 0, 'a', 'b') as topic", "id as t_us", "id as seq", "id * 1.0D as value")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = sync.as_of(ticks, data, {"a": "next", "b": "last"}, ["k"])
+        rows = sync.shift_ahead(rows, 3, "a", ["k"], "i", "action")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 1, plan
