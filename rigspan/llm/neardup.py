@@ -9,9 +9,10 @@
 3. Pairs whose signatures cannot come from the wanted similarity go. The rest
    are confirmed on the full shingle sets.
 4. Alternating large-star and small-star joins make components.
-5. Only where a bucket still holds several components, members of different
-   components meet each other, are confirmed alike, and the stars run again:
-   a leader that is near to neither end hides no link.
+5. Only where a bucket still holds several components, members outside its
+   largest one meet the others block by block: signatures first, then the full
+   sets, within the task, so only true links leave it. A leader that is near
+   to neither end thus hides no link. Then the stars run again.
 """
 
 from __future__ import annotations
@@ -104,29 +105,69 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    multipliers, _ = _hash_family(rows, 77)
+def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
+    """One 64-bit bucket key per document and band, of signatures (documents x minima)."""
+    s = signatures.reshape(len(signatures), bands, -1).astype(np.uint64)
+    multipliers, _ = _hash_family(s.shape[2], 77)
+    key = np.zeros(s.shape[:2], np.uint64)
+    for r in range(s.shape[2]):
+        key = mixed(key + s[:, :, r] * multipliers[r] + np.uint64(r + 1))
+    return mixed(key + np.arange(bands, dtype=np.uint64)[None, :] * MULTIPLIER).view(np.int64)
+
+
+def _stacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+
+
+def _bands(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
-            if not batch.num_rows:
+            if batch.num_rows:
+                key = band_keys(_stacked(batch.column("signature")), bands)
+                ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.ravel())], ["id", "bucket"])
+
+
+def jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _block(table: pa.Table, bands: int, percent: int, least: float) -> pa.Table:
+    """Links between the outside members of a bucket's block and its members of other components.
+
+    A pair is looked at in the first band in which it agrees, hence once.
+    """
+    found: list[tuple[int, int]] = []
+    ids, component, outside, n = (table.column(c).to_numpy() for c in ("id", "component", "outside", "n"))
+    signatures, sets = _stacked(table.column("signature")), table.column("set").to_pylist()
+    main, bucket = table.column("main")[0].as_py(), table.column("bucket")[0].as_py()
+    inside = np.flatnonzero(~outside)
+    with np.errstate(over="ignore"):
+        for x in np.flatnonzero(outside):
+            y = inside[component[inside] != component[x]]
+            y = y[(component[y] == main) | (ids[y] > ids[x])]
+            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            if not len(y):
+                continue
+            agree = signatures[y] == signatures[x]
+            near = agree.mean(axis=1) >= least
+            if not near.any():
                 continue
-            data = b"".join(batch.column("signature").to_pylist())
-            s = np.frombuffer(data, np.uint32).reshape(batch.num_rows, bands, rows).astype(np.uint64)
-            key = np.zeros(s.shape[:2], np.uint64)
-            for r in range(rows):
-                key = mixed(key + s[:, :, r] * multipliers[r] + np.uint64(r + 1))
-            key = mixed(key + np.arange(bands, dtype=np.uint64)[None, :] * MULTIPLIER)
-            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.astype(np.int64).ravel())], ["id", "bucket"])
+            first = agree[near].reshape(near.sum(), bands, -1).all(axis=2).argmax(axis=1)
+            band = int(np.flatnonzero(band_keys(signatures[x : x + 1], bands)[0] == bucket)[0])
+            own = np.frombuffer(sets[x], np.uint64)
+            for k in y[near][first == band]:
+                if jaccard_at_least(own, np.frombuffer(sets[k], np.uint64), percent):
+                    found.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= percent * (len(p) + len(q) - both))
+        sets = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
+        keep = [jaccard_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sets]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -134,9 +175,8 @@ def _plausible(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-        y = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-        yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+        agree = _stacked(batch.column("sig_a")) == _stacked(batch.column("sig_b"))
+        yield batch.select(["a", "b"]).filter(pa.array(agree.mean(axis=1) >= least))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -175,24 +215,29 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+def _least_agreement(percent: int, n: int, deviations: float) -> float:
+    """Share of equal minima that a pair of the wanted similarity keeps, but for so many deviations."""
+    j = percent / 100
+    return j - deviations * (j * (1 - j) / n) ** 0.5
+
+
+def _sets_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id and full shingle set; of rows that share an id the larger set."""
+    spelled = texts.join(few_or_shuffled(ids), "id", "left_semi").mapInArrow(partial(_sets, size=size), "id long, set binary")
+    return materialize(spelled.groupBy("id").agg(F.max_by("set", F.octet_length("set")).alias("set")))
+
+
 def _confirmed(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, size: int, percent: int, n: int) -> DataFrame:
     """Of ``pairs(a, b)`` those that pass the signatures and then the full sets."""
     side = lambda k: signatures.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("signature").alias(f"sig_{k}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
         f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     )
-    # six standard deviations under the wanted similarity: no true link is refused here
-    j = percent / 100
-    least = j - 6 * (j * (1 - j) / n) ** 0.5
+    least = _least_agreement(percent, n, 6)
     plausible = materialize(
         sized.select("a", "b", "sig_a", "sig_b").mapInArrow(partial(_plausible, least=least), pairs.select("a", "b").schema)
     )
-    needed = plausible.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(
-        texts.join(needed, "id", "left_semi").mapInArrow(partial(_sets, size=size), texts.select("id", F.col("text").alias("set")).schema)
-        
-        .groupBy("id").agg(F.max_by("set", F.octet_length("set")).alias("set"))
-    )
+    sets = _sets_of(texts, plausible.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
     out = materialize(
         plausible.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -203,6 +248,44 @@ def _confirmed(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, size:
     return out
 
 
+def _across(placed: DataFrame, signatures: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, n: int, block: int = 10_000) -> DataFrame:
+    """Links across components within buckets of ``placed(bucket, id, component)``.
+
+    A bucket's members come in blocks of about ``block``, and so do its
+    outside members; each pair of blocks is one group, so no group is larger.
+    """
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    main = parts.groupBy("bucket").agg(
+        F.max_by("component", F.struct("m", "component")).alias("main"),
+        F.count("*").alias("k"),
+        F.sum("m").alias("m"),
+        F.max("m").alias("most"),
+    )
+    slices = lambda rows: F.ceil(rows / block).cast("int")
+    open_ = main.where("k > 1 and m > 2").select(
+        "bucket", "main", slices(F.col("m")).alias("ins"), slices(F.col("m") - F.col("most")).alias("outs")
+    )
+    placed_rows = materialize(placed.join(open_, "bucket"))
+    sets = _sets_of(texts, placed_rows.select("id").distinct(), size)
+    rows = placed_rows.join(signatures, "id").join(sets, "id")
+    turn = F.xxhash64("id")
+    inside = rows.withColumns({"outside": F.lit(False), "p": F.pmod(turn, "ins").cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("outs") - 1))})
+    outside = rows.where("component <> main").withColumns(
+        {"outside": F.lit(True), "q": F.pmod(turn, "outs").cast("int"), "p": F.explode(F.sequence(F.lit(0), F.col("ins") - 1))}
+    )
+    columns = ["bucket", "p", "q", "outside", "id", "component", "main", "n", "signature", "set"]
+    check = partial(_block, bands=bands, percent=percent, least=_least_agreement(percent, n, 4))
+
+    def run(table: pa.Table) -> pa.Table:
+        return check(table)
+
+    blocks = inside.select(columns).unionByName(outside.select(columns)).groupBy("bucket", "p", "q")
+    out = materialize(blocks.applyInArrow(run, "a long, b long").distinct())
+    for done in (placed_rows, sets):
+        drop_table(done)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -228,14 +311,18 @@ def near_duplicates(
     ids_schema = texts.select("id", F.lit(0).cast("long").alias("n"), F.col("text").alias("digest"), F.col("text").alias("signature")).schema
     table = materialize(texts.mapInArrow(partial(_signatures, size=shingle, n=n, seed=seed), ids_schema))
     known = table.where("id is not null and n > 0")
-    # equal sets: one stands for all
-    of_set = known.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("m"))
-    chosen = known.join(of_set.select("digest", "first"), "digest").where("id = first")
-    chosen = materialize(chosen.select("id", "n", "signature").dropDuplicates(["id", "n"]))
-    chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n")))).where("rank = 1").drop("rank")
+    # equal sets: one stands for all; a hot set is cut down before it is shuffled
+    sets = materialize(
+        known.groupBy("digest")
+        .agg(F.min("id").alias("id"), F.count("*").alias("m"), F.min_by(F.struct("n", "signature"), "id").alias("s"))
+        .select("digest", "m", "id", "s.n", "s.signature")
+    )
+    of_set = sets.select("digest", F.col("id").alias("first"), "m")
+    largest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "digest"))
+    chosen = sets.withColumn("rank", largest).where("rank = 1").select("id", "n", "signature")
 
     bucket_schema = chosen.select("id", F.lit(0).cast("long").alias("bucket")).schema
-    members = chosen.mapInArrow(partial(_bands, bands=bands, rows=rows), bucket_schema)
+    members = chosen.mapInArrow(partial(_bands, bands=bands), bucket_schema)
     leaders = members.groupBy("bucket").agg(
         F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", "bucket")).alias("leader")
     )
@@ -245,17 +332,8 @@ def near_duplicates(
     links = _confirmed(stars, chosen, texts, shingle, percent, n)
     found = components(links)
 
-    # buckets that still hold several components: members outside the largest one meet the others
-    placed = crowded.join(found, "id", "left").select(
-        "bucket", "id", "leader", F.coalesce("component", "id").alias("component")
-    )
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-    main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("m"))
-    open_ = materialize(placed.join(main.where("k > 1 and m > 2").select("bucket", "main"), "bucket").where("id <> leader").drop("leader"))
-    outside = open_.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    met = outside.join(open_, "bucket").where("cx <> component and (component = main or x < id)")
-    across = met.select(*pair("x", "id")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _confirmed(across, chosen, texts, shingle, percent, n)
+    placed = crowded.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    more = _across(placed, chosen, texts, shingle, percent, bands, n)
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
@@ -266,12 +344,17 @@ def near_duplicates(
     all_docs = table.select("id", "n", "digest", F.xxhash64("id").alias("__spread"))
     out = spread_join(all_docs, of_doc, "digest", hot_keys(of_set, "digest", "m"), "__spread")
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        alone.alias("component_id"),
-        F.coalesce(F.col("id") == alone, F.lit(False)).alias("kept"),
+    result = materialize(
+        out.select(
+            F.col("id").alias(id_col),
+            F.col("n").alias("n_shingles"),
+            alone.alias("component_id"),
+            F.coalesce(F.col("id") == alone, F.lit(False)).alias("kept"),
+        )
     )
+    for done in (table, sets, crowded):
+        drop_table(done)
+    return result
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -280,7 +363,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
     The one with the smallest id stays; of rows that repeat its id, one. Rows
     without an id all stay.
     """
-    judged = materialize(near_duplicates(docs, id_col=id_col, **options))
+    judged = near_duplicates(docs, id_col=id_col, **options)
     known = judged.where(F.col(id_col).isNotNull())
     kept = known.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = few_or_shuffled(kept.where("not kept or n > 1").select(id_col))
