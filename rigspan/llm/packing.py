@@ -11,7 +11,9 @@ no task sees more than its share.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,53 +27,83 @@ END_ID = 1
 CAPACITY = 2048
 
 
-class Encoder:
+# fixed value: how byte-level BPE files split a text before merging
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Tokens as bytes with their ids, if the file's merges stand in the order of ids; else None."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    split, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if not plain or model.get("type") != "BPE" or file.get("normalizer") or model.get("ignore_merges"):
+        return None
+    # printable bytes stand for themselves, the others for the code points from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in file.get("added_tokens", [])}
+    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"].get(x + y, -1) for x, y in pairs]
+    return ranks if ids == sorted(ids) and (not ids or ids[0] >= 256) and len(ids) + 256 == len(ranks) else None
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit values."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class Encoder(dict):
     """Little-endian 32-bit ids of a text by a byte-level BPE file, plus the end id.
 
     A single space between two other characters always opens a new token, so
-    texts are encoded in parts cut there, and known parts (at most ``keep``)
-    are looked up. Texts with other runs of white space, or with a special
-    token's name, are encoded whole.
+    texts are encoded in parts cut there; this dictionary keeps the ids of at
+    most ``keep`` parts. Parts go through a merger built from the file's own
+    ranks. Texts with other runs of white space, or with a special token's
+    name, are encoded whole by the tokenizer itself, as is everything of a
+    file whose merges are not in the order of ids.
     """
 
     def __init__(self, path: str, keep: int = 1_500_000):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.known = keep, {}
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" (?=\s|\Z)", r"\s(?= )", *map(re.escape, special)]))
-        # the model itself, for parts: what the tokenizer does with text that has no special token
-        self.batch = self.tokenizer.encode_batch_fast if hasattr(self.tokenizer, "encode_batch_fast") else self.tokenizer.encode_batch
+        super().__init__()
+        self.keep, self.tokenizer = keep, Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if ranks := byte_ranks(path):
+            import tiktoken
+
+            self.merge = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __missing__(self, part: str) -> bytes | bool:
+        """Ids of a part behind its space; False for one that cannot stand alone."""
+        ok = part and part == part.strip() and not any(x in part for x in self.special)
+        out = self[part] = packed(self.merge(" " + part)) if ok else False
+        return out
+
+    def ids(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        found = list(map(self.__getitem__, rest))
+        if False in found or (first and self[first] is False):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        head = packed(self.merge(first)) if first else b""
+        return head + b"".join(found)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        end = np.array([END_ID], "<u4").tobytes()
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if not t:
-                parts.append([])
-            elif self.whole.search(t):
-                parts.append(None)
-            else:
-                first, *rest = t.split(" ")
-                parts.append(([first] if first else []) + [" " + r for r in rest])
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        new = list(set().union(*filter(None, parts)).difference(known)) if parts else []
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for part, e in zip(some, self.batch(some, add_special_tokens=False), strict=True):
-                known[part] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [
-            (b"".join(map(get, p)) if p is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()) + end
-            for t, p in zip(texts, parts, strict=True)
-        ]
+        if len(self) > self.keep:
+            self.clear()
+        end = packed([END_ID])
+        return [(self.ids(t) if t else b"") + end for t in texts]
 
 
 def closest(counts: np.ndarray, room: int) -> dict[int, int]:
