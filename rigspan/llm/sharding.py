@@ -90,20 +90,16 @@ def external_shuffle(
     def shuffle_bucket(table: pa.Table) -> pa.Table:
         # a fixed order first, so that a recomputed bucket is shuffled alike
         table = table.sort_by([("mix", "ascending"), ("size", "ascending")])
-        first = [table.column(c)[0].as_py() for c in ("shard", "bucket")] if len(table) else [0, 0]
-        table = table.take(pa.array(fisher_yates(len(table), [seed, *first])))
-        return table.drop_columns(["mix"]).append_column("at", pa.array(np.arange(len(table), dtype=np.int64)))
-
-    schema = placed.drop("mix").withColumn("at", F.lit(0).cast("long")).schema
-    mixed = placed.groupBy("shard", "bucket").applyInArrow(shuffle_bucket, schema)
-    return mixed.join(starts, ["shard", "bucket"]).select(
-        F.col("id").alias(id_col),
-        F.col("text").alias(text_col),
-        "size",
-        "shard",
-        (F.col("start") + F.col("at")).alias("slot"),
-        "grown_shard",
-    )
+        first = [table.column(c)[0].as_py() for c in ("shard", "bucket", "start")] if len(table) else [0, 0, 0]
+        table = table.take(pa.array(fisher_yates(len(table), [seed, *first[:2]])))
+        slots = pa.array(first[2] + np.arange(len(table), dtype=np.int64))
+        return table.select(["id", "text", "size", "shard"]).append_column("slot", slots).append_column("grown_shard", table.column("grown_shard"))
+
+    # the counts join on the buckets' own key, so the records are shuffled once for both
+    started = placed.join(starts, ["shard", "bucket"])
+    schema = placed.withColumn("slot", F.lit(0).cast("long")).select("id", "text", "size", "shard", "slot", "grown_shard").schema
+    mixed = started.groupBy("shard", "bucket").applyInArrow(shuffle_bucket, schema)
+    return mixed.withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
