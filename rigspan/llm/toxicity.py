@@ -203,19 +203,19 @@ def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, landmark
     if len(set(toxic.tolist())) < 2:
         return model
 
-    bags = [[{fold(w) for w in words_of(s)} for s in dict.fromkeys(sentences_of(t))] for t in texts]
-    clean_sentences = {s for t, y in zip(texts, toxic, strict=True) if not y for s in sentences_of(t)}
-    seen: set[str] = set()
-    df = ({}, {})  # sentences that hold a word: clean, toxic; repeated sentences count once
-    toxic_bags = []
-    for t, y, bag in zip(texts, toxic.tolist(), bags, strict=True):
+    clean_sentences = {hash(s) for t, y in zip(texts, toxic, strict=True) if not y for s in sentences_of(t)}
+    seen: set[int] = set()
+    df: tuple[dict[str, int], dict[str, int]] = ({}, {})  # sentences that hold a word: clean, toxic; repeats count once
+    toxic_bags, folds = [], {}
+    for t, y in zip(texts, toxic.tolist(), strict=True):
         own: set[str] = set()
-        for s, words in zip(dict.fromkeys(sentences_of(t)), bag, strict=True):
-            if y and s in clean_sentences:
+        for s in dict.fromkeys(sentences_of(t)):
+            if (mark := hash(s)) in seen and not y or y and mark in clean_sentences:
                 continue
-            own |= words
-            if s not in seen:
-                seen.add(s)
+            words = {folds.setdefault(f, f) for f in map(fold, words_of(s))}
+            own |= words if y else set()
+            if mark not in seen:
+                seen.add(mark)
                 for w in words:
                     df[y][w] = df[y].get(w, 0) + 1
         if y:
@@ -314,7 +314,8 @@ def train(
     if not model.weights.any():
         return model
     on = held if held.sum() >= 200 else np.ones(len(y), bool)
-    worst = Scorer(model).worst([t for t, h in zip(texts, on, strict=True) if h])
+    scorer, some = Scorer(model), [t for t, h in zip(texts, on, strict=True) if h]
+    worst = np.concatenate([scorer.worst(some[k : k + 100]) for k in range(0, len(some), 100)])
     share = weight[on] * on.sum() / weight[on].sum()
     model.slope, model.shift = _calibrate(worst, y[on].astype(float), share)
     return model
