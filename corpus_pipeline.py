@@ -36,8 +36,8 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows of 2048 with the least slack."""
-    return packing.pack(docs, queries.tokenizer_file("byte_bpe_50k.json"), keep_ids=False)
+    """Token windows of 2048 with the least slack: every piece with its ids and its place."""
+    return packing.pack(docs, queries.tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [

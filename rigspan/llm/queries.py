@@ -68,7 +68,8 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), keep_ids=False)
+    placed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """The pipeline's stages, each on what the one before kept."""
 
 import re
+import zlib
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rigspan.llm import common, neardup, queries
@@ -36,3 +39,20 @@ def test_stages(spark):
 
 def test_run(spark):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(corpus_pipeline.run(spark, SF).columns)
+
+
+def test_packed_windows_hold_their_ids(spark):
+    docs = spark.createDataFrame([(k, "one two three " * k) for k in range(900, 903)], "doc_id long, text string")
+    out = corpus_pipeline.pack_windows(spark, docs, SF).collect()
+    assert sum(r.length for r in out) > 2048
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in out)
+
+
+def test_packing_query_reads_placed_ids(spark, monkeypatch):
+    """The query's digests are those of the ids that the operator placed."""
+    pack = queries.packing.pack
+    nulled = lambda *a, **b: pack(*a, **b).withColumn("ids_crc32", F.lit(None).cast("long"))
+    want = {(r.doc_id, r.start): r.ids_crc32 for r in queries.op8_packing(spark, SF).collect()}
+    monkeypatch.setattr(queries.packing, "pack", nulled)
+    got = {(r.doc_id, r.start): r.ids_crc32 for r in queries.op8_packing(spark, SF).collect()}
+    assert got == want and None not in got.values()
