@@ -1,15 +1,17 @@
 """Media columns: content-defined chunks, deduplicated by digest, rebuilt and verified.
 
 A payload is cut where a rolling gear hash of its last bytes has zero low
-bits, so equal passages give equal chunks wherever they stand. Chunks occur as
-digests first: a join-free count finds those that occur more than once. Only
-these leave their media, for a chunk store with one copy of each; the others
-stay inline, so the bulk of the bytes is never shuffled. A Bloom filter of
-bounded size tells the tasks which chunks may be shared; one that it names
-wrongly is just stored alone. The stored form of a media item is its manifest,
-an ordered list of chunks, and the packed chunks in that order; it is read
-back from inline chunks and the store, checked against every digest, and only
-then yields features.
+bits, so equal passages give equal chunks wherever they stand. What is kept are
+two tables in the shared folder: the chunk store, one row per digest, and the
+ordered chunk list of every payload. Chunks that occur once are written by the
+task that cuts them, in the order of their payload; only those that may occur
+more often are shuffled, to keep one copy. A Bloom filter of bounded size tells
+the tasks which these are; one that it names wrongly is just shuffled alone.
+
+Media are read back from the two tables alone. Chunks that still lie side by
+side in the store are put together where they lie and held against their list;
+the others meet their lists by payload. Every chunk is checked against its
+digest and every payload against its own, and only then yields features.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -127,19 +130,35 @@ def _feature_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _FEATURE_NAMES)
 
 
+class Stored(NamedTuple):
+    """Tables in the shared folder.
+
+    documents: id, n_bytes, sha (of the payload). lists: sha, digests (in the
+    payload's order), one row per payload. store: digest, data (packed), one
+    row per digest; of a chunk that occurs once also home, its payload, and
+    pieces, the length of that payload's list.
+    """
+
+    documents: DataFrame
+    lists: DataFrame
+    store: DataFrame
+
+
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: its length, payload digest and chunk keys."""
+    """Per document: its length, payload digest, and its chunks' digests in order."""
     gear = gear_table()
     for batch in batches:
-        sizes, shas, keys = [], [], []
+        sizes, shas, digests = [], [], []
         for text in batch.column("text").to_pylist():
             n, payload = payload_of(text)
             sizes.append(n)
             shas.append(hashlib.sha256(payload).digest())
-            keys.append([key_of(digest(c)) for c in cut(payload, gear)])
+            digests.append([digest(c) for c in cut(payload, gear)])
+        keys = [[key_of(d) for d in row] for row in digests]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["id", "n_bytes", "sha", "keys"],
+            [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary())]
+            + [pa.array(keys, pa.list_(pa.int64())), pa.array(digests, pa.list_(pa.binary()))],
+            ["id", "n_bytes", "sha", "keys", "digests"],
         )
 
 
@@ -155,24 +174,24 @@ def _spelled(batches: Iterator[pa.RecordBatch], held) -> Iterator[tuple[bytes, l
                 yield hashlib.sha256(payload).digest(), digests, chunks, passes(keys, words, bits)
 
 
-def _alone(batches, held) -> Iterator[pa.RecordBatch]:
-    """Media without a shared chunk are stored, read back and done within the task."""
-    rows = []
-    for sha, digests, chunks, shared in _spelled(batches, held):
-        if not shared.any():
-            rows.append(features(sha, stored_form(digests, [squeeze(c) for c in chunks])))
-        if len(rows) >= 500:
-            yield _feature_batch(rows)
-            rows = []
-    yield _feature_batch(rows)
-
-
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[] for _ in types]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def _store(batches, held) -> Iterator[pa.RecordBatch]:
+def _own(batches, held) -> Iterator[pa.RecordBatch]:
+    """Chunks that occur once, packed, payload by payload."""
+    make = partial(_rows, names=["digest", "data", "home", "pieces"], types=[pa.binary(), pa.binary(), pa.binary(), pa.int32()])
+    rows = []
+    for sha, digests, chunks, shared in _spelled(batches, held):
+        rows += [(d, squeeze(c), sha, len(chunks)) for d, c, s in zip(digests, chunks, shared.tolist(), strict=True) if not s]
+        if len(rows) >= 1000:
+            yield make(rows)
+            rows = []
+    yield make(rows)
+
+
+def _shared(batches, held) -> Iterator[pa.RecordBatch]:
     """Packed chunks that may be shared; copies within a task go out once."""
     make = partial(_rows, names=["digest", "data"], types=[pa.binary(), pa.binary()])
     rows, sent = [], set()
@@ -189,67 +208,106 @@ def _store(batches, held) -> Iterator[pa.RecordBatch]:
     yield make(rows)
 
 
-def _manifests(batches, held) -> Iterator[pa.RecordBatch]:
-    """Chunk lists of media with shared chunks; unshared chunks ride along, packed."""
-    types = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    make = partial(_rows, names=["sha", "at", "chunks", "digest", "own"], types=types)
-    rows, sent = [], set()
-    for sha, digests, chunks, shared in _spelled(batches, held):
-        if shared.any() and sha not in sent:
-            sent.add(sha)
-            for k, (d, c, s) in enumerate(zip(digests, chunks, shared.tolist(), strict=True)):
-                rows.append((sha, k, len(digests), d, None if s else squeeze(c)))
-        if len(rows) >= 1000:
-            yield make(rows)
-            rows = []
-        if len(sent) > 500_000:
-            sent.clear()
-    yield make(rows)
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Stored:
+    """Write every document's payload as chunks. Equal texts share their list, equal chunks their row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    zero, empty = F.lit(0).cast("long"), F.lit(b"")
+    schema = rows.select("id", zero.alias("n_bytes"), empty.alias("sha"), F.array(zero).alias("keys"), F.array(empty).alias("digests")).schema
+    for f in schema:
+        f.nullable = True
+    listed = materialize(rows.mapInArrow(_list, schema))
+    lists = materialize(listed.groupBy("sha").agg(F.first("digests").alias("digests")))
+    occurs = listed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    held = docs.sparkSession.sparkContext.broadcast(bloom(occurs.where("n > 1").select("key"), "key"))  # of bounded size
+    texts = rows.select("text")
+    own = texts.mapInArrow(partial(_own, held=held), "digest binary, data binary, home binary, pieces int")
+    shared = texts.mapInArrow(partial(_shared, held=held), "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
+    store = materialize(own.unionByName(shared, allowMissingColumns=True))
+    return Stored(listed.select("id", "n_bytes", "sha"), lists, store)
+
+
+RUNS = f"digests array<binary>, data array<binary>, {FEATURES}"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring chunks of one payload: features if they are all of it, else the chunks."""
+    types = [pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    make = partial(_rows, names=["digests", "data", *_FEATURE_NAMES], types=types)
+
+    def done(home: bytes, pieces: int, digests: list[bytes], data: list[bytes]) -> tuple:
+        if len(digests) == pieces:
+            return (digests, None, *features(home, stored_form(digests, data)))
+        return (digests, data, home, *[None] * (len(_FEATURE_NAMES) - 1))
+
+    rows, run = [], None
+    for batch in batches:
+        for d, data, home, pieces in zip(*(batch.column(c).to_pylist() for c in ("digest", "data", "home", "pieces")), strict=True):
+            if run and run[0] != home:
+                rows.append(done(*run))
+                run = None
+            run = run or (home, pieces, [], [])
+            run[2].append(d), run[3].append(data)
+            if len(rows) >= 500:
+                yield make(rows)
+                rows = []
+    yield make(rows + ([done(*run)] if run else []))
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            chunks = sorted(r["chunks"], key=lambda c: c["at"])
-            rows.append(features(r["sha"], stored_form([c["digest"] for c in chunks], [c["data"] for c in chunks])))
-        yield _feature_batch(rows)
+        for at in range(0, batch.num_rows, 500):
+            rows = []
+            for r in batch.slice(at, 500).to_pylist():
+                chunks = {c["digest"]: c["data"] for c in r["chunks"]}
+                if any(d not in chunks for d in r["digests"]):
+                    raise ValueError("a chunk of the list is not in the store")
+                rows.append(features(r["sha"], stored_form(r["digests"], [chunks[d] for d in r["digests"]])))
+            yield _feature_batch(rows)
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes and the features of every document's payload as read back from its stored form.
+def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
+    """sha and features of every list, from the chunks in the store.
 
-    Equal texts share payload, chunks and values. Null text is an empty one:
-    64 zero bytes. Repeated rows and null ids stay. Other columns are left out.
-    Raises if a payload read back differs from the one stored.
+    Raises if a chunk is missing or damaged, or a payload is not the one stored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = rows.select("id", F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("sha"), F.array(F.lit(0).cast("long")).alias("keys")).schema
-    for f in schema:
-        f.nullable = True
-    listed = materialize(rows.mapInArrow(_list, schema))
-    payloads = listed.groupBy("sha").agg(F.count("*").alias("m"))
-    occurs = listed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    held = docs.sparkSession.sparkContext.broadcast(bloom(occurs.where("n > 1").select("key"), "key"))  # of bounded size
-    texts = rows.select("text")
+    runs = materialize(store.where("home is not null").select("digest", "data", "home", "pieces").mapInArrow(_runs, RUNS))
+    whole = runs.where("data is null").drop("data").withColumnRenamed("digests", "found").join(lists, "sha")
+    wrong = F.raise_error(F.lit("chunks in the store differ from the list")).cast("string")
+    whole = whole.withColumn("feature", F.when(F.col("found") == F.col("digests"), F.col("feature")).otherwise(wrong)).select(_FEATURE_NAMES)
 
-    alone = texts.mapInArrow(partial(_alone, held=held), FEATURES)
-    store = texts.mapInArrow(partial(_store, held=held), "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
-    lists = texts.mapInArrow(partial(_manifests, held=held), "sha binary, at int, chunks int, digest binary, own binary")
-    lists = materialize(lists.groupBy("sha", "at").agg(F.first("digest").alias("digest"), F.first("own").alias("own")))
-    asked = lists.where("own is null").select("digest", "sha", "at")
+    rest = materialize(lists.join(runs.where("data is null").select("sha"), "sha", "left_anti"))
+    asked = rest.select("sha", F.explode(F.array_distinct("digests")).alias("digest"))
     often = asked.groupBy("digest").agg(F.count("*").alias("n"))
-    fetched = spread_join(asked, store, "digest", hot_keys(often, "digest", "n"), "sha")
-    whole = (
-        lists.where("own is not null").select("sha", "at", "digest", F.col("own").alias("data"))
-        .unionByName(fetched.select("sha", "at", "digest", "data"))
-        .groupBy("sha").agg(F.collect_list(F.struct("at", "digest", "data")).alias("chunks"))
-        .mapInArrow(_assemble, FEATURES)
+    common = store.where("home is null").select("digest", "data")
+    fetched = spread_join(asked, common, "digest", hot_keys(often, "digest", "n"), "sha").where("data is not null")
+    parts = runs.where("data is not null").select("sha", F.explode(F.arrays_zip("digests", "data")).alias("c")).select("sha", "c.digests", "c.data")
+    chunks = parts.toDF("sha", "digest", "data").unionByName(fetched.select("sha", "digest", "data"))
+    both = chunks.select("sha", F.lit(None).cast("array<binary>").alias("digests"), F.struct("digest", "data").alias("c")).unionByName(
+        rest.select("sha", "digests", F.lit(None).cast("struct<digest:binary,data:binary>").alias("c"))
     )
+    joined = both.groupBy("sha").agg(F.first("digests", ignorenulls=True).alias("digests"), F.collect_list("c").alias("chunks"))
+    known = materialize(whole.unionByName(joined.where("digests is not null").mapInArrow(_assemble, FEATURES)))
+    for done in (runs, rest):
+        drop_table(done)
+    return known
+
+
+def columns_of(stored: Stored, id_col: str = "doc_id") -> DataFrame:
+    """id, n_bytes and the features of every document, from the stored tables."""
+    known = read_media(stored.lists, stored.store)
+    payloads = stored.documents.groupBy("sha").agg(F.count("*").alias("m"))
     # a text's features once, however many rows hold it
-    known = materialize(alone.unionByName(whole).dropDuplicates(["sha"]))
-    drop_table(lists)
-    out = spread_join(
-        listed.select("id", "n_bytes", "sha", F.xxhash64("id").alias("__spread")), known, "sha", hot_keys(payloads, "sha", "m"), "__spread"
-    )
+    documents = stored.documents.withColumn("__spread", F.xxhash64("id"))
+    out = spread_join(documents, known, "sha", hot_keys(payloads, "sha", "m"), "__spread")
     return out.select(F.col("id").alias(id_col), "n_bytes", *[c for c in _FEATURE_NAMES if c != "sha"])
+
+
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes and the features of every document's payload as read back from the stored tables.
+
+    Equal texts share payload, chunks and values. Null text is an empty one:
+    64 zero bytes. Repeated rows and null ids stay. Other columns are left out.
+    Raises if a payload read back differs from the one stored. The tables stay;
+    :func:`store_media` hands them out.
+    """
+    return columns_of(store_media(docs, id_col, text_col), id_col)

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from rigspan.llm import decontaminate, licenses, media, neardup, packing, pii, sharding, token_counts, toxicity, urls
+from rigspan.llm.common import materialize
 
 SCHEMA = "doc_id long, text string, score double, shard string, labels string"
 LONG_TEXT = "lorem ipsum dolor " * 3000
@@ -387,6 +388,30 @@ def test_media(spark, edge, none):
     assert media.media_columns(edge).count() == len(EDGE) and media.media_columns(none).count() == 0
 
 
+def test_stored_media_can_be_read_later(spark):
+    """The tables alone give every payload; a missing or damaged chunk is noticed."""
+    rng = random.Random(15)
+    common = text_of(rng, 900)
+    docs = [(k, text_of(rng, 1500)) for k in range(6)] + [(10 + k, f"{text_of(rng, 20)} {common} {text_of(rng, 900)}") for k in range(4)] + [(20, None), (21, common), (22, common)]
+    stored = media.store_media(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = stored.store.collect()
+    chunks = {bytes(r.digest): zlib.decompress(r.data) for r in rows}
+    assert len(chunks) == len(rows) and all(media.digest(c) == d for d, c in chunks.items())
+    lists = {bytes(r.sha): [bytes(d) for d in r.digests] for r in stored.lists.collect()}
+    texts = dict(docs)
+    for r in stored.documents.collect():
+        assert b"".join(chunks[d] for d in lists[bytes(r.sha)]) == media.payload_of(texts[r.id])[1]
+    assert {r.home is None for r in rows} == {True, False}
+    want = {tuple(r) for r in media.columns_of(stored).collect()}
+    # rows in another order: nothing lies side by side any more
+    mixed = stored._replace(store=materialize(stored.store.orderBy("digest")))
+    assert {tuple(r) for r in media.columns_of(mixed).collect()} == want
+    for home in ("home is null", "home is not null"):
+        lost = stored.store.where(home).agg({"digest": "min"}).first()[0]
+        with pytest.raises(Exception, match="not in the store"):
+            media.columns_of(stored._replace(store=stored.store.where(stored.store.digest != lost)))
+
+
 def test_gear_hash_is_local_and_cuts_align():
     rng = np.random.default_rng(1)
     gear, body = media.gear_table(), rng.bytes(60_000)
