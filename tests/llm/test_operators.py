@@ -228,6 +228,20 @@ def test_links_that_no_leader_sees(spark):
     assert len({r.component_id for r in out}) == 1
 
 
+def test_links_across_components_keep_unlucky_signatures(spark):
+    """A true pair with 104 of 160 equal minima, in a bucket with a third member."""
+    rng = np.random.default_rng(4)
+    x, y, z = (rng.integers(0, 1 << 32, 160, np.uint32) for _ in range(3))
+    y[:104], z[:5] = x[:104], x[:5]
+    bucket = int(neardup.band_keys(np.stack([x]), 32)[0, 0])
+    words = [f"w{k}" for k in range(10)]
+    texts = [(1, " ".join(words).encode()), (2, " ".join(words[:9]).encode()), (3, b"v1 v2 v3 v4 v5 v6 v7 v8 v9")]
+    signatures = spark.createDataFrame([(1, 10, x.tobytes()), (2, 9, y.tobytes()), (3, 9, z.tobytes())], "id long, n long, signature binary")
+    placed = spark.createDataFrame([(bucket, 1, 1), (bucket, 2, 2), (bucket, 3, 2)], "bucket long, id long, component long")
+    links = neardup._across(placed, signatures, spark.createDataFrame(texts, "id long, text binary"), 1, 80, 32, 160)
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200)]
     got = {r.id: r.component for r in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
