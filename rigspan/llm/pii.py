@@ -3,11 +3,13 @@
 Entities are found by one pattern, typed, and brought to a canonical form, so
 that one phone number in two formats is one entity. A keyed digest of the
 canonical form draws the surrogate: digits for digits, letters for letters of
-the same case, card numbers with a valid check digit, names of the gender that
-the title gives and in the script of the original. Surrogates that meet each
-other or a real entity are drawn again until all are distinct. The mapping is
-per entity, so the same entity gets the same surrogate everywhere. Only
-DataFrame functions are used.
+the same case and script, card numbers with a valid check digit, names of the
+gender that the title gives. A full name is drawn word by word, so "Mr Smith"
+and "Mr John Smith" keep their common word. Surrogates that meet each other or
+a real entity are drawn again until all are distinct; from the fourth draw on
+they grow, so that no format runs out of them. The mapping is per entity: the
+same entity gets the same surrogate everywhere. Only DataFrame functions are
+used.
 """
 
 from __future__ import annotations
@@ -27,31 +29,38 @@ SYLLABLES = {
     "greek": "βα βε βο γα γε γο δα δε δο κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε σο τα τε".split(),
 }
 ENDINGS = {"latin": ("n", "na", "r"), "cyrillic": ("н", "на", "в"), "greek": ("ς", "νη", "ς")}
+NAMES = ("given_m", "given_f", "last")
 
-_TITLE = "(?:" + "|".join(MALE + FEMALE) + r")\.?"
+_TITLE = r"(?=[MHSDFГΚ])(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?"
+_SECRET = r"(?i:password|passwd|pwd)[=:][\"']?"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}+(?![A-Za-z0-9])",
     "access": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "password": r"(?<=(?:password|passwd|pwd)[=:])[^\s\"']{4,256}",
-    "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    # the short look-behind fails at once nearly everywhere; a mask without letters and digits tells nothing
+    "password": r"(?<=[=:\"'])(?<=" + _SECRET + r")(?=[^\s\"']*[\p{L}\p{N}])[^\s\"']++",
+    "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "name": r"(?<!\p{L})" + _TITLE + r" \p{Lu}\p{Ll}{1,40}(?:[ -]\p{Lu}\p{Ll}{1,40})?(?!\p{L})",
+    "name": r"(?<!\p{L})" + _TITLE + r" \p{Lu}\p{Ll}++(?:[ -]\p{Lu}\p{Ll}++)?(?!\p{L})",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: Every alternative holds one of these; a cheap test before the pattern itself.
-HINT = r"[@=:]|\d.?\d.?\d|[0-9a-f]{32}|AKIA|" + _TITLE + r" \p{Lu}"
+HINT = r"@|AKIA|\d(?:\d\d|\.\d|\) |[ -]\d)|[0-9a-f]{32}|[Pp](?i:ass(?:word|wd)|wd)[=:]|" + _TITLE + r" \p{Lu}"
+#: Draws before surrogates start to grow.
+STEADY = 4
+
+
+def _letters(first: str, n: int) -> str:
+    return "".join(chr(ord(first) + k) for k in range(n))
 
 
 def _kind() -> Column:
-    kind = F.lit("name")
-    for name in ("card", "ssn", "phone", "ip", "hex", "access", "email"):
-        whole = PATTERNS[name].replace(r"(?<![\d.])", "").replace(r"(?<![\w+])", "").replace(r"(?<![\w.-])", "")
-        kind = F.when(F.col("value").rlike(f"^(?:{whole})$"), name).otherwise(kind)
-    named = F.col("value").rlike("^" + PATTERNS["name"] + "$")
-    return F.when((kind == "name") & ~named, "password").otherwise(kind)
+    kind = F.lit("password")
+    for name in ("name", "card", "ssn", "phone", "ip", "hex", "access", "email"):
+        kind = F.when(F.col("value").rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(kind)
+    return kind
 
 
 def _digest(*parts: Column) -> Column:
@@ -64,14 +73,23 @@ def _byte(digest: str, at: str) -> str:
     return f"cast(conv(substring({digest}, 2 * pmod({at}, 256) + 1, 2), 16, 10) as int)"
 
 
-def _same_class(value: str, digest: str, start: str = "0") -> str:
-    """SQL: every digit and letter of ``value`` by a drawn one of its class; the rest stays."""
-    b = _byte(digest, f"i + {start}")
+def _same_class(value: str, digest: str) -> str:
+    """SQL: every digit and letter of ``value`` by a drawn one of its script and case; the rest stays."""
+    b = _byte(digest, "i")
+    pick = lambda alphabet: f"substring('{alphabet}', 1 + {b} % {len(alphabet)}, 1)"
+    cased = lambda test, low, up: f"when c rlike '{test}' then if(c = lower(c), {pick(low)}, {pick(up)})"
     return f"""array_join(transform(split({value}, ''), (c, i) -> case
         when c between '0' and '9' then chr(48 + {b} % 10)
         when c between 'a' and 'z' and kind = 'hex' then chr(97 + {b} % 6)
         when c between 'a' and 'z' then chr(97 + {b} % 26)
         when c between 'A' and 'Z' then chr(65 + {b} % 26)
+        when c <= '~' then c
+        {cased("[\\\\p{IsCyrillic}&&\\\\p{L}]", _letters("а", 32), _letters("А", 32))}
+        {cased("[\\\\p{IsGreek}&&\\\\p{L}]", _letters("α", 17), _letters("Α", 17))}
+        when c rlike '\\\\p{{IsHan}}' then {pick(_letters("一", 256))}
+        when c rlike '\\\\p{{Lu}}' then chr(65 + {b} % 26)
+        when c rlike '\\\\p{{L}}' then chr(97 + {b} % 26)
+        when c rlike '\\\\p{{N}}' then chr(48 + {b} % 10)
         else c end), '')"""
 
 
@@ -89,31 +107,26 @@ def _luhn(digits: str) -> str:
     return f"""cast(pmod(10 - aggregate(transform(split(reverse({digits}), ''), (c, i) -> if(i % 2 = 0, {doubled}, {d})), 0, (s, x) -> s + x) % 10, 10) as string)"""
 
 
-def _name(token: str, role: str, digest: str) -> str:
-    """SQL: a name in the script of ``token``: three to four syllables and the ending of its role."""
+def _name(token: str, digest: str) -> str:
+    """SQL: a name in the script of ``token``: four syllables, more as it grows, and the ending of its kind."""
     out = "case"
     for script, range_ in (("cyrillic", "\\\\p{IsCyrillic}"), ("greek", "\\\\p{IsGreek}"), ("latin", "")):
         syllables = "array(" + ",".join(f"'{s}'" for s in SYLLABLES[script]) + ")"
-        n = len(SYLLABLES[script])
-        pick = "concat(" + ",".join(f"{syllables}[({_byte(digest, str(2 * k))} * 256 + {_byte(digest, str(2 * k + 1))}) % {n}]" for k in range(4)) + ")"
+        each = f"{syllables}[({_byte(digest, '2 * k')} * 256 + {_byte(digest, '2 * k + 1')}) % {len(SYLLABLES[script])}]"
         male, female, last = ENDINGS[script]
-        ending = f"case when {role} = 'last' then '{last}' when {role} = 'f' then '{female}' else '{male}' end"
+        ending = f"case kind when 'last' then '{last}' when 'given_f' then '{female}' else '{male}' end"
         test = f"when {token} rlike '{range_}' then" if range_ else "else"
-        out += f" {test} initcap(concat({pick}, {ending}))"
+        out += f" {test} initcap(concat(array_join(transform(sequence(0, 3 + grown), k -> {each}), ''), {ending}))"
     return out + " end"
 
 
-def surrogates(entities: DataFrame, key: str, attempt: str = "attempt") -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``entities(value, kind, canon, attempt)`` with their surrogate and its canonical form."""
-    drawn = entities.withColumn("dg", _digest(F.lit(key), F.col("kind"), F.col("canon"), F.col(attempt).cast("string")))
-    domain = _digest(F.lit(key), F.lit("domain"), F.lower(F.substring_index("value", "@", -1)), F.col(attempt).cast("string"))
-    given = _digest(F.lit(key), F.lit("given"), F.coalesce(F.lower(F.get("tokens", F.lit(1))), F.lit("")), F.col(attempt).cast("string"))
-    last = _digest(F.lit(key), F.lit("last"), F.lower(F.element_at("tokens", -1)), F.col(attempt).cast("string"))
-    drawn = drawn.withColumn("tokens", F.split("value", " ")).withColumns({"dd": domain, "gd": given, "ld": last})
-    titles = ",".join(f"'{t.lower()}'" for t in FEMALE)
-    drawn = drawn.withColumns({
+    drawn = entities.withColumns({
+        "dg": _digest(F.lit(key), F.col("kind"), F.col("canon"), F.col("attempt").cast("string")),
+        "dd": _digest(F.lit(key), F.lit("domain"), F.lower(F.substring_index("value", "@", -1))),
         "digits": F.expr("regexp_replace(value, '[^0-9]', '')"),
-        "gender": F.expr(f"if(lower(replace(tokens[0], '.', '')) in ({titles}), 'f', 'm')"),
+        "grown": F.expr(f"greatest(attempt - {STEADY - 1}, 0)"),
     })
     n = "length(digits)"
     some = f"array_join(transform(sequence(1, greatest({n}, 1)), i -> chr(50 + {_byte('dg', 'i')} % 8)), '')"
@@ -126,53 +139,59 @@ def surrogates(entities: DataFrame, key: str, attempt: str = "attempt") -> DataF
     local, host = "substring_index(value, '@', 1)", "substring_index(value, '@', -1)"
     top = f"substring_index({host}, '.', -1)"
     labels = f"left({host}, length({host}) - length({top}) - 1)"
+    more = f"if(grown > 0, array_join(transform(sequence(1, grown), i -> chr(48 + {_byte('dg', '64 + i')} % 10)), ''), '')"
     surrogate = F.expr(f"""case kind
-        when 'email' then concat({_same_class(local, 'dg')}, '@', {_same_class(labels, 'dd')}, '.', {top})
-        when 'access' then concat('AKIA', {_same_class('substring(value, 5)', 'dg')})
-        when 'password' then {_same_class('value', 'dg')}
-        when 'hex' then {_same_class('value', 'dg')}
-        when 'ip' then {octets}
-        when 'phone' then {_fill_digits('value', f'concat(left(digits, {lead}), substring(some, {lead} + 1))')}
-        when 'ssn' then {_fill_digits('value', 'some')}
-        when 'card' then {_fill_digits('value', new_card)}
-        else concat(tokens[0], if(size(tokens) > 2, concat(' ', {_name('get(tokens, 1)', 'gender', 'gd')}), ''), ' ', {_name('element_at(tokens, -1)', "'last'", 'ld')})
+        when 'email' then concat({_same_class(local, 'dg')}, {more}, '@', {_same_class(labels, 'dd')}, '.', {top})
+        when 'access' then concat('AKIA', {_same_class('substring(value, 5)', 'dg')}, {more})
+        when 'password' then concat({_same_class('value', 'dg')}, {more})
+        when 'hex' then concat({_same_class('value', 'dg')}, {more})
+        when 'ip' then concat({octets}, if(grown > 0, ':', ''), {more})
+        when 'phone' then concat({_fill_digits('value', f'concat(left(digits, {lead}), substring(some, {lead} + 1))')}, {more})
+        when 'ssn' then concat({_fill_digits('value', 'some')}, {more})
+        when 'card' then concat({_fill_digits('value', new_card)}, {more})
+        else {_name('value', 'dg')}
         end""")
     out = drawn.withColumn("surrogate", surrogate)
-    canon = canonical(F.col("surrogate"))
-    return out.withColumn("new_canon", canon).select(*entities.columns, "surrogate", "new_canon")
+    return out.withColumn("new_canon", canonical(F.col("surrogate"))).select(*entities.columns, "surrogate", "new_canon")
 
 
 def canonical(value: Column) -> Column:
     """The form in which two spellings of one entity are equal."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
     return (
-        F.when(F.col("kind").isin("phone", "ssn", "card"), digits)
-        .when(F.col("kind") == "email", F.lower(value))
-        .when(F.col("kind") == "name", F.lower(F.regexp_replace(value, r"\.", "")))
+        F.when(F.col("kind").isin("phone", "ssn", "card"), F.regexp_replace(value, "[^0-9]", ""))
+        .when(F.col("kind").isin("email", *NAMES), F.lower(value))
         .otherwise(value)
     )
 
 
-def mapping(values: DataFrame, key: str, most_turns: int = 50) -> DataFrame:
-    """One row per distinct ``value``: kind and surrogate, all surrogates distinct.
+def _words(found: DataFrame) -> DataFrame:
+    """The name words of ``found(value, kind)``: value, its words' kinds in order, and the mark between them."""
+    word = F.split("value", "[ -]")
+    titles = [t.lower() for t in FEMALE]
+    given = F.when(F.lower(F.replace(word[0], F.lit("."), F.lit(""))).isin(titles), "given_f").otherwise("given_m")
+    return found.where("kind = 'name'").select(
+        "value",
+        word[0].alias("title"),
+        F.when(F.size(word) > 2, given).alias("given_kind"),
+        F.when(F.size(word) > 2, word[1]).alias("given"),
+        F.element_at(word, -1).alias("last"),
+        F.when(F.col("value").contains("-"), "-").otherwise(" ").alias("mark"),
+    )
 
-    Entities of one canonical form share a surrogate up to format. A surrogate
-    drawn for two entities, or equal to a real one, is drawn again for all but
-    the first of them; after ``most_turns`` turns an error says so.
-    """
-    found = values.select("value").withColumn("kind", _kind())
-    found = materialize(found.withColumns({"canon": canonical(F.col("value")), "attempt": F.lit(0)}))
-    drawn = materialize(surrogates(found, key))
+
+def _drawn(entities: DataFrame, key: str, most_turns: int) -> DataFrame:
+    """``entities(value, kind)`` with surrogates, distinct within each kind and none of them a real one."""
+    first = entities.withColumns({"canon": canonical(F.col("value")), "attempt": F.lit(0)})
+    drawn = materialize(surrogates(first, key))
+    space = F.when(F.col("kind").isin(*NAMES), "name").otherwise(F.col("kind")).alias("space")
     for _ in range(most_turns):
         taken = drawn.groupBy("kind", "new_canon").agg(F.min("canon").alias("holder"))
-        real = drawn.select("kind", F.col("canon").alias("new_canon"), F.lit(True).alias("real")).distinct()
+        real = drawn.select(space, F.col("canon").alias("new_canon"), F.lit(True).alias("real")).distinct()
         again = (
-            drawn.join(taken, ["kind", "new_canon"])
-            .join(real, ["kind", "new_canon"], "left")
+            drawn.join(taken, ["kind", "new_canon"]).withColumn("space", space)
+            .join(real, ["space", "new_canon"], "left")
             .where((F.col("holder") != F.col("canon")) | F.col("real"))
-            .select("kind", "canon")
-            .distinct()
-            .withColumn("redo", F.lit(1))
+            .select("kind", "canon").distinct().withColumn("redo", F.lit(1))
         )
         again = materialize(again)
         if again.isEmpty():
@@ -181,52 +200,73 @@ def mapping(values: DataFrame, key: str, most_turns: int = 50) -> DataFrame:
             "value", "kind", "canon", (F.col("attempt") + F.coalesce("redo", F.lit(0))).alias("attempt")
         )
         after = materialize(surrogates(next_, key))
-        drop_table(drawn)
+        drop_table(drawn, again)
         drawn = after
-    raise RuntimeError("surrogates still collide: the formats leave too few of them")
+    raise RuntimeError("surrogates still collide, though they grow with every turn")
+
+
+def mapping(values: DataFrame, key: str, most_turns: int = 100) -> DataFrame:
+    """One row per distinct ``value``: kind and surrogate, all surrogates distinct.
+
+    Entities of one canonical form share a surrogate up to format. A surrogate
+    drawn for two entities, or equal to a real one, is drawn again for all but
+    the first of them.
+    """
+    found = materialize(values.select("value").withColumn("kind", _kind()))
+    words = _words(found)
+    spelled = words.select(F.explode(F.array(
+        F.struct(F.col("given").alias("value"), F.col("given_kind").alias("kind")),
+        F.struct(F.col("last").alias("value"), F.lit("last").alias("kind")),
+    )).alias("w")).select("w.*").where("value is not null").distinct()
+    drawn = _drawn(found.where("kind <> 'name'").unionByName(spelled), key, most_turns)
+    own = drawn.where(~F.col("kind").isin(*NAMES))
+    part = lambda name: drawn.select(F.col("value").alias(name), F.col("kind").alias(f"{name}_kind"), F.col("surrogate").alias(f"new_{name}"))
+    named = (
+        words.join(part("given"), ["given", "given_kind"], "left")
+        .withColumn("last_kind", F.lit("last")).join(part("last"), ["last", "last_kind"])
+    )
+    new = F.concat("title", F.lit(" "), F.concat_ws("", F.concat("new_given", "mark"), F.col("new_last")))
+    return own.unionByName(named.select("value", F.lit("name").alias("kind"), new.alias("surrogate")))
 
 
 def replace_entities(
-    docs: DataFrame,
-    key: str = "surrogate-key",
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    keep: tuple[str, ...] = (),
+    docs: DataFrame, key: str, report: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """id, text with every entity replaced, n_entities, kinds, for every document.
+    """The rows of ``docs``, all columns, with every entity of the text replaced by its surrogate.
 
-    kinds: the distinct kinds found, sorted and comma-joined. Null texts stay
-    null, texts without entities stay as they are. Repeated rows and null ids
-    stay. Of the other columns those in ``keep`` stay, the rest is left out.
+    ``key`` is the secret of the mapping; whoever has it can test guesses. With
+    ``report`` two columns follow: n_entities, and kinds, the distinct kinds
+    found, sorted and comma-joined; columns of these names give way to them.
+    Null texts stay null, texts without entities stay as they are, masks such
+    as ``****`` too. Repeated rows and null ids stay. Names count behind a
+    title of the lists above.
     """
-    rest = F.struct(F.lit(0), *[F.col(c) for c in keep])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
-    has = F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN)
-    without = rows.where(~F.coalesce(has, F.lit(False))).select(
-        "id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"), "rest"
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    added = {"n_entities", "kinds"} if report else set()
+    names = [c for c in docs.columns if c not in added]
+    rest = F.struct(F.lit(0), *[F.col(c) for c in names if c != text_col])
+    rows = docs.select(F.col(text_col).alias("text"), rest.alias("rest"))
+    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    without = rows.where(~(hinted & F.coalesce(F.col("text").rlike(PATTERN), F.lit(False)))).select(
+        "text", "rest", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds")
     )
-    some = rows.where(has)
-    spelled = some.select(
-        F.xxhash64("id", "text").alias("doc"), F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("at", "value")
+    # the row number keeps the filter above the extraction, which thus runs once; stored, it names the row
+    some = rows.where(hinted).select(
+        F.monotonically_increasing_id().alias("doc"), "text", "rest", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found")
     )
-    met = materialize(spelled.groupBy("doc", "value").agg(F.count("*").alias("n")))
+    some = materialize(some.where(F.size("found") > 0).withColumn("between", F.split("text", PATTERN, -1)).drop("text"))
+    met = some.select("doc", F.explode(F.array_distinct("found")).alias("value"))
     counts = materialize(met.groupBy("value").agg(F.count("*").alias("m")))
-    names = mapping(counts, key)
-    placed = spread_join(met.select("doc", "value"), names, "value", hot_keys(counts, "value", "m"), "doc")
+    placed = spread_join(met, materialize(mapping(counts, key)), "value", hot_keys(counts, "value", "m"), "doc")
     of_doc = placed.groupBy("doc").agg(
-        F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("names"),
+        F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("names"),
         F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
     )
-    found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
     new = F.transform("found", lambda v: F.element_at("names", v))
-    woven = F.flatten(F.zip_with("between", F.array_append("new", F.lit("")), lambda p, s: F.array(p, s)))
-    within = (
-        some.withColumn("doc", F.xxhash64("id", "text"))
-        .join(of_doc, "doc")
-        .withColumn("found", found)
-        .withColumns({"between": F.split("text", PATTERN, -1), "new": new})
-        .select("id", F.array_join(woven, "").alias("text"), F.size("found").cast("long").alias("n_entities"), "kinds", "rest")
-    )
-    return without.unionByName(within).select(
-        F.col("id").alias(id_col), F.col("text").alias(text_col), *[F.col("rest").getField(c).alias(c) for c in keep], "n_entities", "kinds"
+    woven = F.flatten(F.zip_with("between", F.array_append(new, F.lit("")), lambda p, s: F.array(p, s)))
+    within = some.join(of_doc, "doc").select(
+        F.array_join(woven, "").alias("text"), "rest", F.size("found").cast("long").alias("n_entities"), "kinds"
     )
+    columns = [F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in names]
+    return without.unionByName(within).select(*columns, *sorted(added, reverse=True))

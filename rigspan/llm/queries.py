@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the surrogates: the session's setting, else one drawn for this session alone."""
+    name = "spark.rigspan.pii.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -64,7 +73,7 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents"))
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
