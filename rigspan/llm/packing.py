@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_arrow, materialize
 
 END_ID = 1
 CAPACITY = 2048
@@ -59,6 +59,19 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def narrowed(ids: bytes) -> bytes:
+    """32-bit ids in 16 bits each where all fit; an odd byte in front tells which form it is.
+
+    Pieces are written and shuffled in this form.
+    """
+    wide = np.frombuffer(ids, "<u4")
+    return b"\2" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\4" + ids
+
+
+def widened(data: bytes) -> bytes:
+    return data[1:] if data[0] == 4 else np.frombuffer(data, "<u2", offset=1).astype("<u4").tobytes()
+
+
 class Encoder(dict):
     """Little-endian 32-bit ids of a text by a byte-level BPE file, plus the end id.
 
@@ -189,7 +202,7 @@ def pack(
                     for s in range(0, n, capacity):
                         piece = data[4 * s : 4 * (s + capacity)]
                         owner.append(k), start.append(s), length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece)), total.append(n), ids.append(piece if keep_ids else None)
+                        crc.append(zlib.crc32(piece)), total.append(n), ids.append(narrowed(piece) if keep_ids else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").take(pa.array(owner, pa.int32()))]
                     + [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
@@ -204,7 +217,7 @@ def pack(
     ).schema
     for f in schema:
         f.nullable = True
-    pieces = materialize(rows.mapInArrow(cut, schema))
+    pieces = materialize(in_arrow(rows, cut, schema))
     # ranks within a length, without a task per length: hashed parts, and counts of the parts before
     parts = max(1, pieces.count() // 100_000)
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
@@ -232,7 +245,8 @@ def pack(
             row = table[np.searchsorted(keys, (length << 45) + rank, side="right") - 1]
             ahead = rank - row[:, 1]
             columns = [batch.column(c) for c in ("id", "start", "length", "ids_crc32", "doc_tokens")]
-            columns += [pa.array(row[:, 3] + ahead // row[:, 2]), pa.array(row[:, 4] + ahead % row[:, 2] * length), batch.column("ids")]
+            columns += [pa.array(row[:, 3] + ahead // row[:, 2]), pa.array(row[:, 4] + ahead % row[:, 2] * length)]
+            columns.append(pa.array([None if x is None else widened(x) for x in batch.column("ids").to_pylist()], pa.binary()))
             yield pa.RecordBatch.from_arrays(
                 columns, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
             )
@@ -240,5 +254,5 @@ def pack(
     schema = ranked.select(
         "id", "start", "length", "ids_crc32", "doc_tokens", long.alias("sequence_id"), long.alias("offset"), "ids"
     ).schema
-    placed = ranked.mapInArrow(place, schema).withColumnRenamed("id", id_col)
+    placed = in_arrow(ranked, place, schema).withColumnRenamed("id", id_col)
     return placed if keep_ids else placed.drop("ids")
