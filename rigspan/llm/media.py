@@ -9,7 +9,7 @@ more often are shuffled, to keep one copy. A Bloom filter of bounded size tells
 the tasks which these are; one that it names wrongly is just shuffled alone.
 
 Media are read back from the two tables alone. Chunks that still lie side by
-side in the store are put together where they lie and held against their list;
+side in the store are put together where they lie and held against the list;
 the others meet their lists by payload. Every chunk is checked against its
 digest and every payload against its own, and only then yields features.
 """
@@ -25,10 +25,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, hot_keys, materialize, spread_join
+from .common import drop_table, few_or_shuffled, hot_keys, in_arrow, materialize, spread_join
 from .decontaminate import bloom, passes
 
 LEAST, MASK_BITS, MOST = 512, 11, 8192
@@ -78,12 +79,13 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def key_of(d: bytes) -> int:
-    return int.from_bytes(d[:8], "little", signed=True)
+def squeeze(chunk: bytes) -> bytes:
+    return zlib.compress(chunk, 6)
 
 
-def squeeze(chunk: bytes) -> bytes:
-    return zlib.compress(chunk, 1)
+def list_mark(digests: list[bytes]) -> bytes:
+    """Stands for an ordered list of digests."""
+    return digest(b"".join(digests))
 
 
 def stored_form(digests: list[bytes], packed: list[bytes]) -> bytes:
@@ -136,7 +138,7 @@ class Stored(NamedTuple):
     documents: id, n_bytes, sha (of the payload). lists: sha, digests (in the
     payload's order), one row per payload. store: digest, data (packed), one
     row per digest; of a chunk that occurs once also home, its payload, and
-    pieces, the length of that payload's list.
+    pieces, the length of that payload's list if all its chunks occur once.
     """
 
     documents: DataFrame
@@ -154,11 +156,9 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(n)
             shas.append(hashlib.sha256(payload).digest())
             digests.append([digest(c) for c in cut(payload, gear)])
-        keys = [[key_of(d) for d in row] for row in digests]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary())]
-            + [pa.array(keys, pa.list_(pa.int64())), pa.array(digests, pa.list_(pa.binary()))],
-            ["id", "n_bytes", "sha", "keys", "digests"],
+            [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(digests, pa.list_(pa.binary()))],
+            ["id", "n_bytes", "sha", "digests"],
         )
 
 
@@ -170,7 +170,7 @@ def _spelled(batches: Iterator[pa.RecordBatch], held) -> Iterator[tuple[bytes, l
                 _, payload = payload_of(text)
                 chunks = cut(payload, gear)
                 digests = [digest(c) for c in chunks]
-                keys = np.array([key_of(d) for d in digests], np.int64).view(np.uint64)
+                keys = np.array([xxhash.xxh64_intdigest(d, 42) for d in digests], np.uint64)  # as Spark's xxhash64
                 yield hashlib.sha256(payload).digest(), digests, chunks, passes(keys, words, bits)
 
 
@@ -180,11 +180,12 @@ def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
 
 
 def _own(batches, held) -> Iterator[pa.RecordBatch]:
-    """Chunks that occur once, packed, payload by payload."""
+    """Chunks that occur once, packed, payload by payload; pieces is 0 where the payload has others too."""
     make = partial(_rows, names=["digest", "data", "home", "pieces"], types=[pa.binary(), pa.binary(), pa.binary(), pa.int32()])
     rows = []
     for sha, digests, chunks, shared in _spelled(batches, held):
-        rows += [(d, squeeze(c), sha, len(chunks)) for d, c, s in zip(digests, chunks, shared.tolist(), strict=True) if not s]
+        pieces = 0 if shared.any() else len(chunks)
+        rows += [(d, squeeze(c), sha, pieces) for d, c, s in zip(digests, chunks, shared.tolist(), strict=True) if not s]
         if len(rows) >= 1000:
             yield make(rows)
             rows = []
@@ -212,45 +213,53 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Write every document's payload as chunks. Equal texts share their list, equal chunks their row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     zero, empty = F.lit(0).cast("long"), F.lit(b"")
-    schema = rows.select("id", zero.alias("n_bytes"), empty.alias("sha"), F.array(zero).alias("keys"), F.array(empty).alias("digests")).schema
+    schema = rows.select("id", zero.alias("n_bytes"), empty.alias("sha"), F.array(empty).alias("digests")).schema
     for f in schema:
         f.nullable = True
-    listed = materialize(rows.mapInArrow(_list, schema))
+    listed = materialize(in_arrow(rows, _list, schema))
     lists = materialize(listed.groupBy("sha").agg(F.first("digests").alias("digests")))
-    occurs = listed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    occurs = listed.select(F.explode("digests").alias("digest")).groupBy(F.xxhash64("digest").alias("key")).agg(F.count("*").alias("n"))
     held = docs.sparkSession.sparkContext.broadcast(bloom(occurs.where("n > 1").select("key"), "key"))  # of bounded size
     texts = rows.select("text")
-    own = texts.mapInArrow(partial(_own, held=held), "digest binary, data binary, home binary, pieces int")
-    shared = texts.mapInArrow(partial(_shared, held=held), "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
+    own = in_arrow(texts, partial(_own, held=held), "digest binary, data binary, home binary, pieces int")
+    shared = in_arrow(texts, partial(_shared, held=held), "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
     store = materialize(own.unionByName(shared, allowMissingColumns=True))
     return Stored(listed.select("id", "n_bytes", "sha"), lists, store)
 
 
-RUNS = f"digests array<binary>, data array<binary>, {FEATURES}"
+RUNS = f"mark binary, {FEATURES}"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbouring chunks of one payload: features if they are all of it, else the chunks."""
-    types = [pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    make = partial(_rows, names=["digests", "data", *_FEATURE_NAMES], types=types)
+    """Of neighbouring chunks that are all of one payload its features and a mark of their order; of others sha alone."""
+    types = [pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    make = partial(_rows, names=["mark", *_FEATURE_NAMES], types=types)
+    rows, run = [], None
 
-    def done(home: bytes, pieces: int, digests: list[bytes], data: list[bytes]) -> tuple:
-        if len(digests) == pieces:
-            return (digests, None, *features(home, stored_form(digests, data)))
-        return (digests, data, home, *[None] * (len(_FEATURE_NAMES) - 1))
+    def close() -> None:
+        if run and len(run[2]) == run[1]:
+            rows.append((list_mark(run[2]), *features(run[0], stored_form(run[2], run[3]))))
+        elif run:
+            rows.append((None, run[0], *[None] * (len(_FEATURE_NAMES) - 1)))
 
-    rows, run = [], None
     for batch in batches:
         for d, data, home, pieces in zip(*(batch.column(c).to_pylist() for c in ("digest", "data", "home", "pieces")), strict=True):
             if run and run[0] != home:
-                rows.append(done(*run))
+                close()
                 run = None
             run = run or (home, pieces, [], [])
             run[2].append(d), run[3].append(data)
             if len(rows) >= 500:
                 yield make(rows)
-                rows = []
-    yield make(rows + ([done(*run)] if run else []))
+                rows.clear()
+    close()
+    yield make(rows)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = [list_mark(d) for d in batch.column("digests").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("sha"), pa.array(marks, pa.binary())], ["sha", "wanted"])
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,25 +279,28 @@ def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
 
     Raises if a chunk is missing or damaged, or a payload is not the one stored.
     """
-    runs = materialize(store.where("home is not null").select("digest", "data", "home", "pieces").mapInArrow(_runs, RUNS))
-    whole = runs.where("data is null").drop("data").withColumnRenamed("digests", "found").join(lists, "sha")
+    own = store.where("home is not null")
+    tried = materialize(in_arrow(own.where("pieces > 0").select("digest", "data", "home", "pieces"), _runs, RUNS))
+    runs, torn = tried.where("mark is not null"), tried.where("mark is null").select("sha").distinct()
+    wanted = in_arrow(lists.select("sha", "digests"), _marks, "sha binary, wanted binary")
     wrong = F.raise_error(F.lit("chunks in the store differ from the list")).cast("string")
-    whole = whole.withColumn("feature", F.when(F.col("found") == F.col("digests"), F.col("feature")).otherwise(wrong)).select(_FEATURE_NAMES)
+    whole = runs.join(wanted, "sha").withColumn("feature", F.when(F.col("mark") == F.col("wanted"), F.col("feature")).otherwise(wrong)).select(_FEATURE_NAMES)
 
-    rest = materialize(lists.join(runs.where("data is null").select("sha"), "sha", "left_anti"))
+    rest = materialize(lists.join(runs.select("sha"), "sha", "left_anti"))
     asked = rest.select("sha", F.explode(F.array_distinct("digests")).alias("digest"))
     often = asked.groupBy("digest").agg(F.count("*").alias("n"))
     common = store.where("home is null").select("digest", "data")
     fetched = spread_join(asked, common, "digest", hot_keys(often, "digest", "n"), "sha").where("data is not null")
-    parts = runs.where("data is not null").select("sha", F.explode(F.arrays_zip("digests", "data")).alias("c")).select("sha", "c.digests", "c.data")
-    chunks = parts.toDF("sha", "digest", "data").unionByName(fetched.select("sha", "digest", "data"))
+    mine = lambda rows: rows.select(F.col("home").alias("sha"), "digest", "data")
+    # a payload's chunks are torn where a task's share of the store ends
+    parts = mine(own.where("pieces > 0")).join(few_or_shuffled(torn), "sha", "left_semi")
+    chunks = parts.unionByName(mine(own.where("pieces = 0"))).unionByName(fetched.select("sha", "digest", "data"))
     both = chunks.select("sha", F.lit(None).cast("array<binary>").alias("digests"), F.struct("digest", "data").alias("c")).unionByName(
         rest.select("sha", "digests", F.lit(None).cast("struct<digest:binary,data:binary>").alias("c"))
     )
     joined = both.groupBy("sha").agg(F.first("digests", ignorenulls=True).alias("digests"), F.collect_list("c").alias("chunks"))
-    known = materialize(whole.unionByName(joined.where("digests is not null").mapInArrow(_assemble, FEATURES)))
-    for done in (runs, rest):
-        drop_table(done)
+    known = materialize(whole.unionByName(in_arrow(joined.where("digests is not null"), _assemble, FEATURES)))
+    drop_table(tried, rest)
     return known
 
 
