@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, few_or_shuffled, hot_keys, materialize, spread_join
+from .common import drop_table, few_or_shuffled, hot_keys, in_arrow, materialize, spread_join
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,7 +102,10 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     with np.errstate(over="ignore"):
         for batch in batches:
             sets = [shingler(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+            digests = [xxhash.xxh3_128_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "set"]
+            )
 
 
 def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
@@ -184,7 +187,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Returns (id, component): every node of a link and the smallest id that it
     reaches. Each turn is two aggregations and two joins, written to the shared
-    folder; it ends once a turn changes no edge.
+    folder; it ends once a turn changes no edge. A node with very many links is
+    spread over tasks.
     """
     links = materialize(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -192,20 +196,21 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        met = spread_join(both.where("v > u"), least.select("u", "m"), "u", hot_keys(least, "u", "n"), "v")
+        large = materialize(met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: lower neighbours and the node itself to the least lower neighbour
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        joined = spread_join(large, lowest.select("u", "m"), "u", hot_keys(lowest, "u", "n"), "v")
         small = (
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
+            .unionByName(lowest.select("u", F.col("m").alias("v")))
             .where("u <> v")
             .distinct()
         )
         after = materialize(small)
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_table(links)
+        drop_table(links, least, large, lowest)
         links = after
         if now == mark:
             break
@@ -221,59 +226,64 @@ def _least_agreement(percent: int, n: int, deviations: float = 6) -> float:
     return j - deviations * (j * (1 - j) / n) ** 0.5
 
 
-def _sets_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id and full shingle set; of rows that share an id the larger set."""
-    spelled = texts.join(few_or_shuffled(ids), "id", "left_semi").mapInArrow(partial(_sets, size=size), "id long, set binary")
-    return materialize(spelled.groupBy("id").agg(F.max_by("set", F.octet_length("set")).alias("set")))
+def _sets_of(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node and full shingle set of ``nodes(node, id, digest)``: of a text with that id and digest, spelled again."""
+    nodes = materialize(nodes)
+    rows = in_arrow(texts.join(few_or_shuffled(nodes.select("id").distinct()), "id", "left_semi"), partial(_sets, size=size), "id long, digest binary, set binary")
+    out = materialize(rows.join(nodes, ["id", "digest"]).groupBy("node").agg(F.first("set").alias("set")))
+    drop_table(nodes)
+    return out
 
 
-def _confirmed(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, size: int, percent: int, n: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, chosen: DataFrame, texts: DataFrame, size: int, percent: int, n: int) -> DataFrame:
     """Of ``pairs(a, b)`` those that pass the signatures and then the full sets."""
-    side = lambda k: signatures.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("signature").alias(f"sig_{k}"))
+    side = lambda k: chosen.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("signature").alias(f"sig_{k}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
         f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     )
-    least = _least_agreement(percent, n)
-    plausible = materialize(
-        sized.select("a", "b", "sig_a", "sig_b").mapInArrow(partial(_plausible, least=least), pairs.select("a", "b").schema)
-    )
-    sets = _sets_of(texts, plausible.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
-    out = materialize(
-        plausible.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        .mapInArrow(partial(_similar, percent=percent), pairs.select("a", "b").schema)
-    )
-    drop_table(sets)
-    drop_table(plausible)
+    least, schema = _least_agreement(percent, n), pairs.select("a", "b").schema
+    plausible = materialize(in_arrow(sized.select("a", "b", "sig_a", "sig_b"), partial(_plausible, least=least), schema))
+    ends = plausible.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = _sets_of(texts, chosen.join(ends.distinct(), "node").select("node", "id", "digest"), size)
+    # a node that very many pairs share is spread over tasks on both sides
+    met, often = plausible, ends.groupBy("node").agg(F.count("*").alias("m"))
+    often = materialize(often)
+    for k, other in (("a", "b"), ("b", "a")):
+        of = sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"))
+        met = spread_join(met, of, k, hot_keys(often.withColumnRenamed("node", k), k, "m"), other)
+    out = materialize(in_arrow(met, partial(_similar, percent=percent), schema))
+    drop_table(sets, plausible, often)
     return out
 
 
-def _across(placed: DataFrame, signatures: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, n: int, block: int = 10_000) -> DataFrame:
-    """Links across components within buckets of ``placed(bucket, id, component)``.
+def _across(placed: DataFrame, chosen: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, n: int, block: int = 32 << 20) -> DataFrame:
+    """Links across components within buckets of ``placed(bucket, node, component, n)``.
 
-    A bucket's members come in blocks of about ``block``, and so do its
+    A bucket's members come in blocks of about ``block`` bytes, and so do its
     outside members; each pair of blocks is one group, so no group is larger.
     """
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    weight = (8 * F.col("n") + 1024).alias("bytes")
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum(weight).alias("bytes"))
     main = parts.groupBy("bucket").agg(
         F.max_by("component", F.struct("m", "component")).alias("main"),
-        F.count("*").alias("k"),
-        F.sum("m").alias("m"),
-        F.max("m").alias("most"),
-    )
-    slices = lambda rows: F.ceil(rows / block).cast("int")
-    open_ = main.where("k > 1 and m > 2").select(
-        "bucket", "main", slices(F.col("m")).alias("ins"), slices(F.col("m") - F.col("most")).alias("outs")
+        F.max(F.struct("m", "component", "bytes")).getField("bytes").alias("most"),
+        F.count("*").alias("k"), F.sum("m").alias("m"), F.sum("bytes").alias("bytes"),
     )
-    placed_rows = materialize(placed.join(open_, "bucket"))
-    sets = _sets_of(texts, placed_rows.select("id").distinct(), size)
-    rows = placed_rows.join(signatures, "id").join(sets, "id")
-    turn = F.xxhash64("id")
+    slices = lambda size: F.ceil(size / block).cast("int")
+    open_ = materialize(main.where("k > 1 and m > 2").select(
+        "bucket", "main", "m", slices(F.col("bytes")).alias("ins"), slices(F.col("bytes") - F.col("most")).alias("outs")
+    ))
+    rows = spread_join(placed.select("bucket", "node", "component"), open_.drop("m"), "bucket", hot_keys(open_, "bucket", "m"), "node")
+    placed_rows = materialize(rows.where("main is not null"))
+    members = chosen.join(placed_rows.select("node").distinct(), "node")
+    sets = _sets_of(texts, members.select("node", "id", "digest"), size)
+    rows = placed_rows.join(chosen.select("node", "n", "signature"), "node").join(sets, "node")
+    turn = F.xxhash64("node")
     inside = rows.withColumns({"outside": F.lit(False), "p": F.pmod(turn, "ins").cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("outs") - 1))})
     outside = rows.where("component <> main").withColumns(
         {"outside": F.lit(True), "q": F.pmod(turn, "outs").cast("int"), "p": F.explode(F.sequence(F.lit(0), F.col("ins") - 1))}
     )
-    columns = ["bucket", "p", "q", "outside", "id", "component", "main", "n", "signature", "set"]
+    columns = ["bucket", "p", "q", "outside", F.col("node").alias("id"), "component", "main", "n", "signature", "set"]
     check = partial(_block, bands=bands, percent=percent, least=_least_agreement(percent, n))
 
     def run(table: pa.Table) -> pa.Table:
@@ -281,95 +291,128 @@ def _across(placed: DataFrame, signatures: DataFrame, texts: DataFrame, size: in
 
     blocks = inside.select(columns).unionByName(outside.select(columns)).groupBy("bucket", "p", "q")
     out = materialize(blocks.applyInArrow(run, "a long, b long").distinct())
-    for done in (placed_rows, sets):
-        drop_table(done)
+    drop_table(placed_rows, sets, open_)
     return out
 
 
-def near_duplicates(
-    docs: DataFrame,
-    shingle: int = 5,
-    percent: int = 80,
-    bands: int = 32,
-    rows: int = 5,
-    seed: int = 11,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """id, n_shingles, component_id and kept of every document.
+def _judged(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Every document's id, n and digest, and of every digest the component and whether it stands for it.
 
-    Linked are documents whose shingle sets have 100 * intersection >= percent
-    * union; component_id is the smallest id that links reach. At the wanted
-    similarity 0.8 a pair misses all of 32 bands of 5 rows with a chance of
-    3.0e-6, and has 97 or fewer of 160 equal minima, which the signature checks
-    refuse, with 1.4e-8: together at most 3.1e-6. Null and blank texts: no
-    shingles, linked with nothing. Null ids:
-    component_id null, not kept. Repeated ids with one text are one document;
-    rows of one id with different texts share that id's component (the larger
-    set stands for it). Other columns are left out.
+    A node is a digest: equal sets are one, and texts that share an id are
+    nodes of their own. Its number is made once and stored.
     """
     n = bands * rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    ids_schema = texts.select("id", F.lit(0).cast("long").alias("n"), F.col("text").alias("digest"), F.col("text").alias("signature")).schema
-    table = materialize(texts.mapInArrow(partial(_signatures, size=shingle, n=n, seed=seed), ids_schema))
+    schema = texts.select("id", F.lit(0).cast("long").alias("n"), F.col("text").alias("digest"), F.col("text").alias("signature")).schema
+    table = materialize(in_arrow(texts, partial(_signatures, size=shingle, n=n, seed=seed), schema))
     known = table.where("id is not null and n > 0")
     # equal sets: one stands for all; a hot set is cut down before it is shuffled
-    sets = materialize(
-        known.groupBy("digest")
-        .agg(F.min("id").alias("id"), F.count("*").alias("m"), F.min_by(F.struct("n", "signature"), "id").alias("s"))
-        .select("digest", "m", "id", "s.n", "s.signature")
+    sets = known.groupBy("digest").agg(
+        F.min("id").alias("id"), F.count("*").alias("m"), F.min_by(F.struct("n", "signature"), "id").alias("s")
     )
-    of_set = sets.select("digest", F.col("id").alias("first"), "m")
-    largest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "digest"))
-    chosen = sets.withColumn("rank", largest).where("rank = 1").select("id", "n", "signature")
+    chosen = materialize(sets.select(F.monotonically_increasing_id().alias("node"), "digest", "m", "id", "s.n", "s.signature"))
 
-    bucket_schema = chosen.select("id", F.lit(0).cast("long").alias("bucket")).schema
-    members = chosen.mapInArrow(partial(_bands, bands=bands), bucket_schema)
+    bucket_schema = chosen.select(F.col("node").alias("id"), F.lit(0).cast("long").alias("bucket")).schema
+    members = in_arrow(chosen.select(F.col("node").alias("id"), "signature"), partial(_bands, bands=bands), bucket_schema).withColumnRenamed("id", "node")
     leaders = members.groupBy("bucket").agg(
-        F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", "bucket")).alias("leader")
+        F.count("*").alias("m"), F.min_by("node", F.xxhash64("node", "bucket")).alias("leader")
     )
-    crowded = materialize(members.join(leaders.where("m > 1"), "bucket").select("bucket", "id", "leader"))
+    leaders = materialize(leaders.where("m > 1"))
+    led = spread_join(members, leaders.select("bucket", "leader"), "bucket", hot_keys(leaders, "bucket", "m"), "node")
+    crowded = materialize(led.where("leader is not null").select("bucket", "node", "leader"))
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    stars = crowded.where("id <> leader").select(*pair("id", "leader")).distinct()
+    stars = crowded.where("node <> leader").select(*pair("node", "leader")).distinct()
     links = _confirmed(stars, chosen, texts, shingle, percent, n)
     found = components(links)
 
-    placed = crowded.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    placed = crowded.join(found.withColumnRenamed("id", "node"), "node", "left").join(chosen.select("node", "n"), "node")
+    placed = placed.select("bucket", "node", F.coalesce("component", "node").alias("component"), "n")
     more = _across(placed, chosen, texts, shingle, percent, bands, n)
     if not more.isEmpty():
         found = components(links.unionByName(more))
+    # the smallest id of a component names it; of nodes that share that id one stands for it
+    of_node = chosen.select("digest", "m", F.col("node").alias("n0"), F.col("id").alias("first")).join(
+        found.withColumnRenamed("id", "n0"), "n0", "left"
+    ).withColumn("component", F.coalesce("component", "n0"))
+    names = of_node.groupBy("component").agg(F.min(F.struct("first", "digest")).alias("s"), F.count("*").alias("k"))
+    names = materialize(names.select("component", F.col("s.first").alias("component_id"), F.col("s.digest").alias("standing"), "k"))
+    named = spread_join(of_node.select("component", "digest", "m"), names.drop("k"), "component", hot_keys(names, "component", "k"), "digest")
+    of_digest = materialize(named.select("digest", "m", "component_id", (F.col("digest") == F.col("standing")).alias("stands")))
+    drop_table(chosen, leaders, crowded, names)
+    return table, of_digest
 
-    of_doc = (
-        of_set.join(found.withColumnRenamed("id", "first"), "first", "left")
-        .select("digest", F.coalesce("component", "first").alias("component"))
-    )
+
+def near_duplicates(
+    docs: DataFrame,
+    shingle: int = 5,
+    percent: int = 80,
+    bands: int = 32,
+    rows: int = 5,
+    seed: int = 11,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """id, n_shingles, component_id and kept of every document.
+
+    Linked are documents whose shingle sets have 100 * intersection >= percent
+    * union; component_id is the smallest id that links reach. At the wanted
+    similarity 0.8 a pair misses all of 32 bands of 5 rows with a chance of
+    3.0e-6, and has 97 or fewer of 160 equal minima, which the signature checks
+    refuse, with 1.4e-8: together at most 3.1e-6. Null and blank texts: no
+    shingles, linked with nothing. Null ids: component_id null, not kept.
+    Repeated ids: rows with one text are one document, rows with other texts
+    are documents of their own. Other columns are left out.
+    """
+    table, of_digest = _judged(docs, shingle, percent, bands, rows, seed, id_col, text_col)
     all_docs = table.select("id", "n", "digest", F.xxhash64("id").alias("__spread"))
-    out = spread_join(all_docs, of_doc, "digest", hot_keys(of_set, "digest", "m"), "__spread")
-    alone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    out = spread_join(all_docs, of_digest.select("digest", "component_id"), "digest", hot_keys(of_digest, "digest", "m"), "__spread")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     result = materialize(
         out.select(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),
-            alone.alias("component_id"),
-            F.coalesce(F.col("id") == alone, F.lit(False)).alias("kept"),
+            component.alias("component_id"),
+            F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
         )
     )
-    for done in (table, sets, crowded):
-        drop_table(done)
+    drop_table(table, of_digest)
     return result
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each group of near-duplicates.
 
-    The one with the smallest id stays; of rows that repeat its id, one. Rows
-    without an id all stay.
+    Of a group the text with the smallest id stays; rows that repeat its id
+    and set go but for one. Rows without an id or without shingles all stay.
     """
-    judged = near_duplicates(docs, id_col=id_col, **options)
-    known = judged.where(F.col(id_col).isNotNull())
-    kept = known.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = few_or_shuffled(kept.where("not kept or n > 1").select(id_col))
-    again = few_or_shuffled(kept.where("kept and n > 1").select(id_col))
-    return docs.join(gone, id_col, "left_anti").select(docs.columns).unionByName(
-        docs.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
-    )
+    table, of_digest = _judged(docs, shingle, percent, bands, rows, seed, id_col, text_col)
+    known = table.where("id is not null and n > 0").select("id", "digest")
+    verdicts = spread_join(known, of_digest.select("digest", "stands", "component_id"), "digest", hot_keys(of_digest, "digest", "m"), "id")
+    stays = F.col("stands") & (F.col("id") == F.col("component_id"))
+    per_id = verdicts.groupBy("id").agg(F.min(stays).alias("all"), F.count("*").alias("n"))
+    # most ids have one row, which stays: those are passed through without a shuffle of their texts
+    doubtful = materialize(per_id.where("not all or n > 1").select("id"))
+    hint = few_or_shuffled(doubtful)
+    plain = docs.join(hint.withColumnRenamed("id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    texts = docs.join(hint.withColumnRenamed("id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
+    standing = of_digest.where("stands").select(F.col("digest").alias("__digest"), F.col("component_id").alias("__least"))
+    digest = partial(_with_digest, size=shingle, text_col=text_col)
+    empty = F.lit(b"")
+    schema = texts.withColumn("__digest", empty).schema
+    schema["__digest"].nullable = True
+    spelled = in_arrow(texts, digest, schema)
+    bare = spelled.where("__digest is null").select(docs.columns)
+    met = spelled.join(standing, "__digest").where(F.col(id_col).cast("long") == F.col("__least"))
+    one = met.dropDuplicates(["__digest"]).select(docs.columns)
+    return plain.select(docs.columns).unionByName(bare).unionByName(one)
+
+
+def _with_digest(batches: Iterator[pa.RecordBatch], size: int, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Rows with the digest of their shingle set, null for an empty one."""
+    shingler = Shingler(size)
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            sets = [shingler(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t) for t in texts]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "__digest"])
