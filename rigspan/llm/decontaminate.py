@@ -6,6 +6,8 @@
    is rare if few documents hold it. An item and a document become candidates
    by one rare seed, or by a fair share of the item's n-grams, whatever their
    counts: a passage that leaked into very many documents is found as well.
+   Who holds that share holds one of the item's rarest n-grams too, all but
+   the commonest: only those are joined to find pairs.
 3. Candidates are aligned by words around their seeds (match 2, mismatch and
    gap -1). The score is the alignment's over that of a full copy.
 """
@@ -17,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few_or_shuffled, materialize
+from .common import drop_table, few_or_shuffled, hot_keys, in_arrow, materialize, spread_join
 
 PUNCTUATION = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”‘’–—…"
 MOST_BLOOM_BITS = 29  # 2**29 bits: 64 MB
@@ -132,7 +134,9 @@ def find_contamination(
     ``least_score`` on are returned, one row per document and item, words
     counted from 0 without bare punctuation. Null and blank texts or items
     hold nothing; null ids are passed over; rows that share an id count as one
-    document and keep their best alignment. Other columns are left out.
+    document and keep their best alignment. An item of fewer than ``n`` words
+    is one gram of its own length, sought in the documents by that length. Other
+    columns are left out.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     tests = items.select(F.col(item_col).cast("long").alias("item"), F.col("text" if "text" in items.columns else text_col).alias("text")).where("item is not null and text is not null")
@@ -154,8 +158,10 @@ def find_contamination(
                         ["item", "at", "gram", "words"],
                     )
 
-    spelled = materialize(tests.mapInArrow(spell_items, "item long, at int, gram long, words binary"))
+    spelled = materialize(in_arrow(tests, spell_items, "item long, at int, gram long, words binary"))
     words, bits = bloom(spelled.select("gram").distinct(), "gram")
+    length = F.octet_length("words") / 8
+    lengths = sorted(r.k for r in spelled.where("at = 0").select(F.least(length, F.lit(n)).cast("int").alias("k")).distinct().collect())  # at most n
     held = docs.sparkSession.sparkContext.broadcast((words, bits))  # of bounded size
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,30 +170,44 @@ def find_contamination(
             for batch in batches:
                 ids, ats, found = [], [], []
                 for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    g = grams(hasher(text), n)
-                    at = np.flatnonzero(passes(g, words, bits))
-                    if len(at):
-                        ids.append(np.full(len(at), id_, np.int64))
-                        ats.append(at.astype(np.int32))
-                        found.append(g[at].view(np.int64))
+                    h = hasher(text)
+                    for k in lengths:
+                        g = grams(h, k) if len(h) >= k else h[:0]
+                        at = np.flatnonzero(passes(g, words, bits))
+                        if len(at):
+                            ids.append(np.full(len(at), id_, np.int64))
+                            ats.append(at.astype(np.int32))
+                            found.append(g[at].view(np.int64))
                 if ids:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(x)) for x in (ids, ats, found)], ["id", "at", "gram"]
                     )
 
-    hits = materialize(texts.mapInArrow(seek, "id long, at int, gram long"))
+    hits = materialize(in_arrow(texts, seek, "id long, at int, gram long"))
     n_docs = texts.count()
     seeds = spelled.select("item", F.col("at").alias("item_at"), "gram")
+    met = hits.select("id", "gram").distinct()
     # documents per gram; the Bloom filter's few false grams match no seed
-    df = hits.select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    rare = df.where(F.col("df") <= max(rare_least, int(rare_share * n_docs))).select("gram", F.lit(1).alias("rare"))
-    sizes = seeds.groupBy("item").agg(F.countDistinct("gram").alias("n_grams"))
-    known = seeds.select("item", "gram").distinct().join(rare, "gram", "left")
-    per_pair = hits.select("id", "gram").distinct().join(known, "gram").groupBy("id", "item").agg(
-        F.count("*").alias("n_seeds"), F.coalesce(F.sum("rare"), F.lit(0)).alias("n_rare")
+    df = materialize(met.groupBy("gram").agg(F.count("*").alias("df")))
+    rare = F.col("df") <= max(rare_least, int(rare_share * n_docs))
+    of_item = Window.partitionBy("item")
+    known = (
+        seeds.select("item", "gram").distinct().join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        .withColumns({"n_grams": F.count("*").over(of_item), "rank": F.row_number().over(of_item.orderBy("df", "gram"))})
+        .where("df > 0").withColumn("rare", rare)
+    )
+    known = materialize(known)
+    # one of the rarest grams but for the ``coverage`` share, or a rare one
+    first = known.where(F.col("rare") | (F.col("rank") <= F.col("n_grams") - F.ceil(coverage * F.col("n_grams")) + 1))
+    of_gram = first.groupBy("gram").agg(F.collect_list("item").alias("items"))
+    often = df.join(of_gram.select("gram"), "gram", "left_semi")
+    joined = spread_join(met, of_gram, "gram", hot_keys(often, "gram", "df"), "id").where("items is not null")
+    maybe = materialize(joined.select("id", F.explode("items").alias("item")).distinct())
+    per_pair = maybe.join(met, "id").join(known.select("item", "gram", "n_grams", "rare"), ["item", "gram"]).groupBy("id", "item", "n_grams").agg(
+        F.count("*").alias("n_seeds"), F.count_if("rare").alias("n_rare")
     )
     fair = (F.col("n_rare") > 0) | (F.col("n_seeds") >= coverage * F.col("n_grams"))
-    pairs = materialize(per_pair.join(sizes, "item").where(fair).select("id", "item", "n_seeds"))
+    pairs = materialize(per_pair.where(fair).select("id", "item", "n_seeds"))
     # where in the document an item would start, by each of the pair's seeds
     starts = (
         pairs.join(hits, "id").join(seeds, ["item", "gram"])
@@ -202,7 +222,7 @@ def find_contamination(
             rows = [hasher(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], ["id", "doc_words"])
 
-    bodies = texts.join(wanted, "id", "left_semi").mapInArrow(spell_docs, "id long, doc_words binary")
+    bodies = in_arrow(texts.join(wanted, "id", "left_semi"), spell_docs, "id long, doc_words binary")
 
     def align_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,13 +248,16 @@ def find_contamination(
             names = ["id", "item", "score", "first_word", "last_word", "n_seeds"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    scored = (
-        bodies.join(starts, "id").join(item_words, "item")
-        .mapInArrow(align_all, "id long, item long, score double, first_word long, last_word long, n_seeds long")
-        .where(F.col("score") >= least_score)
-    )
+    scored = in_arrow(
+        bodies.join(starts, "id").join(item_words, "item"),
+        align_all,
+        "id long, item long, score double, first_word long, last_word long, n_seeds long",
+    ).where(F.col("score") >= least_score)
     best = scored.groupBy("id", "item").agg(F.max(F.struct("score", "first_word", "last_word", "n_seeds")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.*")
+    out = materialize(best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.*"))
+    drop_table(spelled, hits, df, known, maybe, pairs)
+    held.unpersist()
+    return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
