@@ -1,10 +1,11 @@
 """License scans by diagonal voting.
 
-Every rolling pair of words of a document joins the pairs of the license
+All rolling word k-grams of a document join the k-grams of the license
 templates by hash. A hit votes for its diagonal, the offset of document
 position over template position: a template that stands whole fills one
 diagonal; inserted or missing words spread it over neighbouring ones, which are
-merged. Spans are verified by the words themselves and by their length. Only
+merged. Hits are verified by the words themselves before they vote. Short
+phrases are read by pairs of words, whole license texts by four words. Only
 DataFrame functions are used.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import drop_table, few_or_shuffled, materialize
 from .urls import LOWER, UPPER
 
 # fixed values: the phrases that count wherever their words stand consecutively
@@ -21,7 +23,7 @@ PHRASES = [
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 ]
-# fixed values: wording of common licenses
+# fixed values: wording of common licenses, phrases first and then whole texts
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("apache-2", "licensed under the apache license version 2 0"),
@@ -32,10 +34,66 @@ TEMPLATES = [
     ("mpl-2", "under the mozilla public license version 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
-]
+    ("mit", """
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+        OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE."""),
+    ("bsd", """
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: Redistributions of source code must retain the above copyright notice, this list
+        of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials
+        provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+        ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+        FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+        TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+        DAMAGE."""),
+    ("isc", """
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE
+        IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+        IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE."""),
+    ("zlib", """
+        This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this
+        software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject
+        to the following restrictions: The origin of this software must not be misrepresented; you must not claim that
+        you wrote the original software. If you use this software in a product, an acknowledgment in the product
+        documentation would be appreciated but is not required. Altered source versions must be plainly marked as such,
+        and must not be misrepresented as being the original software. This notice may not be removed or altered from any
+        source distribution."""),
+    ("apache-2", """
+        Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License."""),
+    ("unlicense", """
+        This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means."""),
+    ("mpl-2", """
+        This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+]
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SLACK = 2
 LEAST = 0.7
+#: Words per gram of phrases and of texts from WHOLE words on.
+PHRASE_K, TEXT_K, WHOLE = 2, 4, 24
 
 
 def words(text: Column) -> Column:
@@ -43,46 +101,81 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS), "")
 
 
-def template_pairs(spark: SparkSession, phrases: list[tuple[str, str]], templates: list[tuple[str, str]]) -> DataFrame:
-    """One row per word pair of each template: a fixed table, as small as the lists."""
-    rows = []
-    for k, (label, text) in enumerate([*phrases, *templates]):
-        w = text.split()
-        rows += [(k, label, k < len(phrases), len(w) - 1, at, w[at], w[at + 1]) for at in range(len(w) - 1)]
-    schema = "template int, label string, base boolean, pairs int, t_at int, t_first string, t_second string"
-    return spark.createDataFrame(rows, schema).withColumn("hash", F.xxhash64("t_first", "t_second"))
+def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """The default table of license texts: label, text."""
+    return spark.createDataFrame(templates, "label string, text string")
+
+
+def _rolling(hashes: str, k: int) -> Column:
+    """Of an array of word hashes: struct(at, k, hash) of every k words."""
+    last = F.size(hashes) - k
+    each = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), F.xxhash64(*[F.get(F.col(hashes), i + F.lit(j)) for j in range(k)]).alias("hash")),
+    )
+    return F.when(last >= 0, each).otherwise(F.array().cast("array<struct<at:int,k:int,hash:bigint>>"))
+
+
+def template_grams(phrases: list[tuple[str, str]], templates: DataFrame) -> DataFrame:
+    """One row per k-gram of each template: template, label, base, k, grams, t_at, t_words, hash."""
+    spark = templates.sparkSession
+    base = spark.createDataFrame(phrases, "label string, text string").withColumn("base", F.lit(True))
+    rows = base.unionByName(templates.select("label", "text", F.lit(False).alias("base"))).select("label", "base", words(F.col("text")).alias("w"))
+    rows = rows.withColumns({
+        "template": F.xxhash64("label", "base", "w"),
+        "k": F.when(~F.col("base") & (F.size("w") >= WHOLE), TEXT_K).otherwise(F.least(F.size("w"), F.lit(PHRASE_K))),
+        "h": F.transform("w", lambda x: F.xxhash64(x)),
+    }).where("size(w) > 0")
+    grams = F.when(F.col("k") == 1, _rolling("h", 1)).when(F.col("k") == PHRASE_K, _rolling("h", PHRASE_K)).otherwise(_rolling("h", TEXT_K))
+    rows = rows.select("template", "label", "base", "w", F.size(grams).alias("grams"), F.explode(grams).alias("g"))
+    return rows.select(
+        "template", "label", "base", "grams", "g.k", F.col("g.at").alias("t_at"), "g.hash",
+        F.slice("w", F.col("g.at") + 1, F.col("g.k")).alias("t_words"),
+    )
 
 
 def scan(
     docs: DataFrame,
     phrases: list[tuple[str, str]] = PHRASES,
-    templates: list[tuple[str, str]] = TEMPLATES,
+    templates: DataFrame | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of every document.
 
     n_base: places where a phrase stands whole. labels: those of the phrases
-    and of templates found to ``LEAST`` or more of their pairs, the closing one
-    among them, within a span not over 1.5 times the template's length. score: the largest such share.
-    spans: (label, first, last word). Null text: no words. Nothing found:
-    empty labels, score 0, null places. Repeated rows and null ids stay, rows
-    of one id with other texts are scanned apart. Other columns are left out.
+    and of ``templates(label, text)`` found to ``LEAST`` or more of their
+    k-grams within a span of neighbouring diagonals; of short ones the closing
+    gram must be among them, which tells versions apart. A span covers 1.5
+    lengths of its template at most; longer chains of diagonals are split.
+    score: the largest share. spans: (label, first, last word). Null text: no
+    words. Nothing found: empty labels, score 0, null places. Repeated rows and
+    null ids stay, rows of one id with other texts are scanned apart. No
+    templates: phrases alone count. Other columns are left out.
     """
+    spark = docs.sparkSession
+    templates = template_table(spark) if templates is None else templates
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = rows.select("id", F.xxhash64("id", "text").alias("key"), words(F.col("text")).alias("w"))
-    zipped = F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("b"))
-    pairs = keyed.where("size(w) > 1").select("key", F.posexplode(zipped).alias("at", "p"))
-    pairs = pairs.select("key", "at", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.xxhash64("p.a", "p.b").alias("hash"))
-    known = template_pairs(docs.sparkSession, phrases, templates)
-    same = (F.col("a") == F.col("t_first")) & (F.col("b") == F.col("t_second"))
-    hits = pairs.join(F.broadcast(known), "hash").where(same).select(
-        "key", "template", "label", "base", "pairs", "at", "t_at", (F.col("at") - F.col("t_at")).alias("diagonal")
-    ).distinct()
-
-    of = ["key", "template", "label", "base", "pairs"]
+    rows = rows.select("text", F.struct("id", F.xxhash64("text").alias("h")).alias("key"))
+    known = materialize(template_grams(phrases, templates))  # as many rows as the licenses have words
+    ks = sorted(r.k for r in known.select("k").distinct().collect())
+    hashed = rows.select("key", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    grams = hashed.select("key", F.explode(F.concat(*[_rolling("h", k) for k in ks])).alias("g")).select("key", "g.*")
+    met = grams.join(few_or_shuffled(known.select("k", "hash").distinct()), ["k", "hash"])
+    met = materialize(met.groupBy("key").agg(F.collect_set(F.struct("at", "k", "hash")).alias("found")))
+    # the words of documents with hits, to verify every hit
+    of_hits = rows.join(few_or_shuffled(met.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    spelled = of_hits.select("key", words(F.col("text")).alias("w")).join(met, "key").select(
+        "key", F.explode(F.transform("found", lambda x: F.struct(x.at.alias("at"), F.slice("w", x.at + 1, x.k).alias("t_words")))).alias("g")
+    )
+    hits = materialize(
+        spelled.select("key", "g.at", "g.t_words").join(few_or_shuffled(known), "t_words")
+        .select("key", "template", "label", "base", "grams", "k", "at", "t_at", (F.col("at") - F.col("t_at")).alias("diagonal"))
+    )
+
+    of = ["key", "template", "label", "base", "grams", "k"]
     votes = hits.groupBy(*of, "diagonal").agg(F.count("*").alias("votes"))
-    whole = votes.where("base and votes = pairs").groupBy("key").agg(
+    whole = votes.where("base and votes = grams").groupBy("key").agg(
         F.count("*").alias("n_base"),
         F.min("diagonal").alias("first_word"),
         F.max("diagonal").alias("last_word"),
@@ -91,28 +184,28 @@ def scan(
     )
     along = Window.partitionBy("key", "template").orderBy("diagonal", "at")
     merged = hits.withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -(10**9)).over(along) > SLACK).cast("int"))
-    merged = merged.withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy(*of, "span").agg(
-        F.countDistinct("t_at").alias("held"),
+    merged = merged.withColumn("band", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.min("diagonal").over(Window.partitionBy("key", "template", "band"))
+    width = F.greatest(F.lit(SLACK + 1), F.floor(F.col("grams") / 2))
+    spans = merged.withColumn("piece", F.floor((F.col("diagonal") - start) / width)).groupBy(*of, "band", "piece").agg(
+        (F.countDistinct("t_at") / F.col("grams")).alias("share"),
         F.max("t_at").alias("end"),
         F.min("at").alias("first"),
-        (F.max("at") + 1).alias("last"),
+        F.max(F.col("at") + F.col("k") - 1).alias("last"),
     )
-    share = F.col("held") / F.col("pairs")
-    spans = spans.where(F.col("last") - F.col("first") <= F.lit(1.5) * (F.col("pairs") + 1)).withColumn("share", share)
-    # the closing pair tells versions of one license apart
-    good = (F.col("share") >= LEAST) & (F.col("end") == F.col("pairs") - 1)
+    good = (F.col("share") >= LEAST) & ((F.col("k") == TEXT_K) | (F.col("end") == F.col("grams") - 1))
     found = spans.groupBy("key").agg(
         F.collect_set(F.when(good, F.col("label"))).alias("found_set"),
         F.max("share").alias("score"),
         F.array_sort(F.collect_list(F.when(good, F.struct("label", "first", "last")))).alias("spans"),
     )
-    results = found.join(whole, "key", "full")
-    out = keyed.select("id", "key", F.size("w").cast("long").alias("n_words")).join(results, "key", "left")
+    results = materialize(found.join(whole, "key", "left"))
+    drop_table(met, hits)
+    out = rows.select("key", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(results, "key", "left")
     none = F.array().cast("array<string>")
     every = F.array_distinct(F.concat(F.coalesce("base_set", none), F.coalesce("found_set", none)))
     return out.select(
-        F.col("id").alias(id_col),
+        F.col("key.id").alias(id_col),
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
         F.col("first_word").cast("long").alias("first_word"),
