@@ -51,11 +51,12 @@ def decide(rules: list[tuple[str, str]], host: Column, path: Column) -> Column:
 
 
 def _grams(urls: DataFrame) -> DataFrame:
-    """One row per url and position: the character with ORDER - 1 before it."""
+    """One row per character of ``urls(uid, url, ...)``: the character with ORDER - 1 before it; without the url."""
     padded = F.concat(F.lit(START * (ORDER - 1)), F.lower(F.regexp_replace("url", "^[^:/?#]*://", "")), F.lit(END))
-    spelled = urls.withColumn("__padded", padded)
-    at = F.explode(F.sequence(F.lit(1), F.length("__padded") - (ORDER - 1))).alias("__at")
-    return spelled.select("*", at).withColumn("gram", F.expr(f"substring(__padded, __at, {ORDER})")).drop("__padded", "__at")
+    rest = [c for c in urls.columns if c != "url"]
+    spelled = urls.select(*rest, F.array_remove(F.split(padded, ""), "").alias("__c"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("__c") - (ORDER - 1)), lambda i: F.array_join(F.slice("__c", i, ORDER), ""))
+    return spelled.select(*rest, F.explode(grams).alias("gram"))
 
 
 def _ratios(grams: DataFrame) -> DataFrame:
@@ -133,16 +134,19 @@ def filter_urls(
     urls = urls.withColumn("d", decide(rules, F.col("host"), F.col("path"))).select(
         "url", "m", "host", "path", F.col("d.rule").alias("rule"), F.col("d.verdict").alias("ruled")
     )
-    urls = materialize(urls.withColumn("held", F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(5)) == 0))
+    urls = urls.withColumns({"held": F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(5)) == 0, "uid": F.monotonically_increasing_id()})
+    urls = materialize(urls)
 
     learn = lambda v: F.sum(F.when((F.col("ruled") == v) & ~F.col("held"), 1).otherwise(0))
-    spelled = _grams(urls.select("url", "ruled", "held"))
+    spelled = _grams(urls.select("uid", "url", "ruled", "held"))
     counts = materialize(spelled.groupBy("gram").agg(F.count("*").alias("n"), learn("allow").alias("a"), learn("block").alias("r")))
     ratios = _ratios(counts)
-    met = spread_join(spelled.select("url", "gram"), ratios, "gram", hot_keys(counts, "gram", "n"), "url")
-    scores = materialize(met.groupBy("url").agg(F.avg("ratio").alias("score")))
-    judged = materialize(urls.join(scores, "url"))
-    drop_table(scores)
+    met = spread_join(spelled.select("uid", "gram"), ratios, "gram", hot_keys(counts, "gram", "n"), "uid")
+    # exact sums, so that no order of adding changes a verdict
+    total = F.sum(F.col("ratio").cast("decimal(20,12)")).cast("double")
+    scores = materialize(met.groupBy("uid").agg((total / F.count("*")).alias("score")))
+    judged = materialize(urls.join(scores, "uid").drop("uid"))
+    drop_table(scores, counts, urls)
 
     ruled = judged.where("ruled is not null")
     threshold = _threshold(ruled.where("held").select((F.col("ruled") == "allow").alias("accepted"), "score"))
