@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import secrets
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, neardup, packing, pii, sharding, token_counts, toxicity, urls
+from . import common, decontaminate, licenses, media, neardup, packing, pii, sharding, token_counts, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +50,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = sharding.external_shuffle(table(spark, sf_dir, "documents"), shards=40)
-    return mixed.select(
+    written = sharding.write_shards(mixed, f"{common.shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    return written.select(
         "doc_id",
         "size",
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),

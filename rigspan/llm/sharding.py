@@ -2,8 +2,9 @@
 
 Pass 1 counts rows and bytes per shard, which sets how many memory-sized
 buckets a shard needs. Pass 2 scatters the records into the buckets by seeded
-hashes, Fisher-Yates shuffles each bucket in memory and numbers its rows from
-the bucket's prefix count. The law is ``key``: the id and the shard count alone
+hashes, Fisher-Yates shuffles each bucket in memory, numbers its rows from the
+bucket's prefix count and writes it. Rows that repeat so often that they alone
+would fill a bucket are counted first and scattered one by one. The law is ``key``: the id and the shard count alone
 decide the shard (jump hash), so growing by one shard moves rows only into it.
 """
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import few_or_shuffled
+
 
 def jump_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Jump consistent hash of 64-bit hashes: shards 0 to ``shards`` - 1."""
@@ -64,8 +67,9 @@ def external_shuffle(
     order. grown_shard: the shard under ``shards`` + 1. Other columns of
     ``docs`` are left out, so their names cannot clash. Null text: size 16 and
     stays null. A null id is a key like any other. Repeated rows: each keeps
-    its own slot. Empty table: no rows. A bucket holds ``bucket_bytes`` on
-    average, or one longer record.
+    its own slot, and many alike are spread over their shard's buckets. Empty
+    table: no rows. A bucket holds ``bucket_bytes`` on average, or one longer
+    record.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long"))
@@ -78,12 +82,21 @@ def external_shuffle(
     for shard, n in buckets.items():
         if n > 1:
             per_shard = F.when(F.col("shard") == shard, n).otherwise(per_shard)
-    scatter = F.xxhash64(F.lit(seed + 1), "id", "text")
-    placed = placed.withColumn("mix", scatter).withColumn(
-        "bucket", F.pmod(F.xxhash64(F.lit(seed + 2), "mix"), per_shard.cast("long")).cast("int")
-    )
+    nth = F.lit(0).cast("long")
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 2), "mix", "nth"), per_shard.cast("long")).cast("int")
+    placed = placed.withColumn("mix", F.xxhash64(F.lit(seed + 1), "id", "text")).withColumn("nth", nth).withColumn("bucket", bucket)
+    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    large = counts.where(F.col("b") > 4 * bucket_bytes).select("shard", "bucket")
+    again = placed.join(few_or_shuffled(large), ["shard", "bucket"], "left_semi").groupBy("mix").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    hot = few_or_shuffled(again.where(F.col("b") > bucket_bytes).where("n > 1").select("mix"))
+    if not hot.isEmpty():
+        columns = ["id", "text", "size", "shard", "grown_shard", "mix"]
+        alike = placed.join(hot, "mix", "left_semi").groupBy(columns).agg(F.count("*").alias("n"))
+        blocks = alike.select(*columns, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div 1000"))).alias("k"))
+        each = blocks.repartition("mix", "k").select(*columns, F.explode(F.sequence(F.col("k") * 1000, F.least(F.col("n"), F.col("k") * 1000 + 1000) - 1)).alias("nth"))
+        placed = placed.join(hot, "mix", "left_anti").select(*columns, "nth").unionByName(each).withColumn("bucket", bucket)
+        counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
 
-    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
@@ -102,6 +115,12 @@ def external_shuffle(
     return mixed.withColumnsRenamed({"id": id_col, "text": text_col})
 
 
-def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Write one folder per shard, rows in slot order."""
-    shuffled.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(shuffled: DataFrame, path: str) -> DataFrame:
+    """Write one folder per shard, bucket by bucket as the tasks hold them, and read the table back.
+
+    A task writes its buckets' rows in the order of their slots, so a shard's
+    files are ranges of slots, a bucket is never torn, and no shard meets in
+    one task.
+    """
+    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return shuffled.sparkSession.read.schema(shuffled.schema).parquet(path)
