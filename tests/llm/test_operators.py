@@ -115,10 +115,55 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_model_equals_brute_force(spark):
+    """Witten-Bell mixes of all context lengths, mean log ratio and threshold, from plain dictionaries."""
+    rng = random.Random(22)
+    made = [f"http://{rng.choice('abc')}{rng.choice('xyz')}.example.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['en', 'es', 'fr', 'de'])}/{rng.randint(1, 40)}" for _ in range(300)]
+    made += ["http://net.example/" + "ab" * 3000, "", "x"]
+    out = urls.filter_urls(spark.createDataFrame([(k, u) for k, u in enumerate(made)], "page_id long, url string")).collect()
+    held = {r.url: r.held for r in spark.createDataFrame([(u,) for u in set(made)], "url string").selectExpr("url", "pmod(xxhash64(3, url), 5) = 0 as held").collect()}
+    order = urls.ORDER
+
+    def pad(u):
+        return urls.START * (order - 1) + re.sub(r"^[^:/?#]*://", "", u).lower() + urls.END
+
+    ruled = {r.url: r.verdict for r in out if r.rule}
+    probability = {}
+    for verdict in ("allow", "block"):
+        seen = collections.Counter(pad(u)[i : i + order] for u, v in ruled.items() if v == verdict and not held[u] for i in range(len(pad(u)) - order + 1))
+        counts = collections.defaultdict(collections.Counter)
+        for gram, n in seen.items():
+            for k in range(order):
+                counts[gram[order - 1 - k : order - 1]][gram[-1]] += n
+
+        def p(gram, counts=counts):
+            value = urls.FLOOR
+            for k in range(order):
+                c = counts.get(gram[order - 1 - k : order - 1])
+                if c:
+                    value = (c[gram[-1]] + len(c) * value) / (sum(c.values()) + len(c))
+            return value
+
+        probability[verdict] = p
+    for r in out:
+        grams = [pad(r.url)[i : i + order] for i in range(len(pad(r.url)) - order + 1)]
+        want = sum(np.log(probability["allow"](g)) - np.log(probability["block"](g)) for g in grams) / len(grams)
+        assert r.score == pytest.approx(want, abs=1e-9)
+    own = [(r.score, r.verdict) for r in out if not r.rule]
+    low = max((s for s, v in own if v == "block"), default=-99)
+    assert all(s > low for s, v in own if v == "allow")
+    tried = [(r.score, ruled[r.url] == "allow") for r in out if r.rule and held[r.url]]
+    error = lambda t: sum(s < t for s, a in set(tried) if a) / max(1, sum(a for _, a in set(tried))) + sum(s >= t for s, a in set(tried) if not a) / max(1, sum(not a for _, a in set(tried)))
+    used = urls._threshold(spark.createDataFrame([(a, s) for s, a in set(tried)], "accepted boolean, score double"))
+    assert error(used) <= min(error(t / 100) for t in range(-300, 300)) + 1e-9
+    one_class = urls.filter_urls(spark.createDataFrame([(1, "http://a.example.org/es/1"), (2, "http://b.net/x")], "page_id long, url string"))
+    assert {r.page_id: r.rule for r in one_class.collect()} == {1: "example.org/es/", 2: None}
+
+
 # --- sharding --------------------------------------------------------------
 
 
-def test_sharding(spark, edge, none):
+def test_sharding(spark, edge, none, tmp_path):
     rows = [(k, f"t{k % 7}" * (k % 50)) for k in range(800)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = sharding.external_shuffle(df, 10, bucket_bytes=1000).collect()
@@ -133,6 +178,15 @@ def test_sharding(spark, edge, none):
     assert {r.doc_id: r.grown_shard for r in out} == {r.doc_id: r.shard for r in sharding.external_shuffle(df, 11).collect()}
     first = sorted((r for r in out if r.shard == 0), key=lambda r: r.slot)
     assert [r.doc_id for r in first] != sorted(r.doc_id for r in first)
+    many = spark.createDataFrame(rows + [(7, "again " * 20)] * 400 + [(None, None)] * 300, "doc_id long, text string")
+    parts = [sharding.external_shuffle(x, 3, bucket_bytes=1000) for x in (many, many.repartition(5))]
+    a, b = (sorted((r.shard, r.slot, r.doc_id, r.text) for r in p.collect()) for p in parts)
+    assert a == b and len(a) == len(rows) + 700
+    assert all([r[1] for r in a if r[0] == s] == list(range(sum(r[0] == s for r in a))) for s in range(3))
+    at = [r[1] for r in a if r[2] == 7 and r[3].startswith("again")]
+    assert max(at) - min(at) > 500  # spread over their shard
+    written = sharding.write_shards(parts[0], str(tmp_path / "shards"))
+    assert sorted((r.shard, r.slot, r.doc_id, r.text) for r in written.collect()) == a
     assert sharding.external_shuffle(edge, 4).count() == len(EDGE)
     assert sharding.external_shuffle(none, 4).count() == 0
     assert sorted(sharding.fisher_yates(50, [1])) == list(range(50))
@@ -291,6 +345,57 @@ def test_licenses(spark, edge, none):
     assert licenses.scan(edge).count() == len(EDGE) and licenses.scan(none).count() == 0
 
 
+def license_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(UPPER))
+
+
+def brute_licenses(text, phrases, templates):
+    """Labels of the method and the best share, place by place."""
+    w, labels, best = license_words(text), set(), 0.0
+    for base, (label, t) in [(True, p) for p in phrases] + [(False, p) for p in templates]:
+        tw = license_words(t)
+        k = 4 if not base and len(tw) >= 24 else min(2, len(tw))
+        n = len(tw) - k + 1
+        hits = sorted({(i - j, i, j) for i in range(len(w) - k + 1) for j in range(n) if w[i : i + k] == tw[j : j + k]})
+        bands = []
+        for h in hits:
+            if not bands or h[0] - bands[-1][-1][0] > 2:
+                bands.append([])
+            bands[-1].append(h)
+        for band in bands:
+            pieces = collections.defaultdict(list)
+            for d, i, j in band:
+                pieces[(d - band[0][0]) // max(3, n // 2)].append((i, j))
+            for hit in pieces.values():
+                share = len({j for _, j in hit}) / n
+                best = max(best, share)
+                assert max(i for i, _ in hit) - min(i for i, _ in hit) <= 1.5 * n + 3
+                if share >= 0.7 and (k == 4 or max(j for _, j in hit) == n - 1):
+                    labels.add(label)
+    return labels, best
+
+
+def test_license_method_equals_brute_force(spark):
+    rng = random.Random(21)
+    docs = [(0, None), (1, " ".join(t for _, t in licenses.TEMPLATES))]
+    for k in range(60):
+        words = license_words(rng.choice(licenses.TEMPLATES)[1])
+        for _ in range(rng.randint(0, len(words) // 4)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 2)] = rng.sample(["of", "the", "software", "xx", "version", "2"], rng.randint(0, 2))
+        docs.append((10 + k, f"{text_of(rng, rng.randint(0, 30))} {' '.join(words)} {text_of(rng, 9)} {' '.join(words) if k % 7 == 0 else ''}"))
+    docs.append((100, "of the " * 400))
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, t in docs:
+        labels, best = brute_licenses(t, licenses.PHRASES, licenses.TEMPLATES)
+        base = set(out[d].base_labels.split(",")) - {""}
+        assert set(out[d].labels.split(",")) - {""} == labels | base, d
+        assert out[d].score == pytest.approx(1.0 if base else best)
+    own = spark.createDataFrame([("mine", "one two three four five six"), ("none", None), ("one", "solo")], "label string, text string")
+    got = licenses.scan(spark.createDataFrame([(1, "x One, two three four five six"), (2, "a solo b")], "doc_id long, text string"), templates=own)
+    assert {r.doc_id: r.labels for r in got.collect()} == {1: "mine", 2: "one"}
+
+
 # --- pii -------------------------------------------------------------------
 
 
