@@ -42,9 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def drop_table(*frames: DataFrame) -> None:
-    """Delete the files behind frames of :func:`materialize`."""
+    """Delete the files behind frames of :func:`materialize`.
+
+    What was computed for them goes too: Spark drops a shuffle's files and a
+    broadcast once the driver's JVM has collected what refers to them.
+    """
+    context = frames[0].sparkSession.sparkContext
+    context._jvm.System.gc()
     for df in frames:
-        context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df._table_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -69,23 +74,26 @@ def few_or_shuffled(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame:
-    """Keys with over one ``share``-th of all rows, thus fewer than ``share`` keys.
+def hot_keys(counts: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame | None:
+    """Keys with over one ``share``-th of all rows, thus fewer than ``share`` keys; None if there are none.
 
     ``counts`` has one row per key with its number of rows in column ``n``.
     That bound is what allows :func:`spread_join` to broadcast them.
     """
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return counts.where(F.col(n) > total / share).select(key)
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    return counts.where(F.col(n) > total / share).select(key) if total and most > total / share else None
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, spread: str) -> DataFrame:
     """Left join to ``right``, which has one row per key, without a hot task.
 
     The fewer than a thousand hot keys' rows of ``right`` are broadcast; rows
     of ``left`` that met one go on under a key of their own, hashed from
-    column ``spread``, so no key gathers many rows in the shuffle.
+    column ``spread``, so no key gathers many rows in the shuffle. Without hot
+    keys it is a plain join.
     """
+    if hot is None:
+        return left.join(right, key, "left").select(*[left[c] for c in left.columns], *[c for c in right.columns if c != key])
     names = [c for c in right.columns if c != key]
     few = right.join(F.broadcast(hot), key, "left_semi").select(
         F.col(key).alias("__hk"), F.struct(*names).alias("__hot")

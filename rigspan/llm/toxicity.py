@@ -301,7 +301,8 @@ class Nystroem:
         self.project = vectors[:, firm] / np.sqrt(values[firm])
 
     def __call__(self, strings: list[str]) -> np.ndarray:
-        return kernel_rows(strings, self.index, self.table) @ self.project
+        blocks = [kernel_rows(strings[at : at + 500], self.index, self.table) @ self.project for at in range(0, len(strings), 500)]
+        return np.concatenate(blocks) if blocks else np.zeros((0, self.project.shape[1]))
 
     def folded(self, w: np.ndarray) -> np.ndarray:
         """One weight per triple from the weights in the space."""
@@ -311,14 +312,20 @@ class Nystroem:
 
 
 def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by Newton steps; labels -1 and 1."""
-    x = np.hstack([z, np.ones((len(z), 1))])
-    w, keep = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge
+    """Squared-hinge linear SVM by Newton steps, the rows taken block by block; labels -1 and 1."""
+    n, d = z.shape
+    w, keep = np.zeros(d + 1), np.eye(d + 1) * ridge
     keep[-1, -1] = 1e-6
     for _ in range(30):
-        out = y * (x @ w) < 1
-        a = x[out] * weight[out, None]
-        step = np.linalg.solve(x[out].T @ a + keep, a.T @ y[out])
+        left, right = keep.copy(), np.zeros(d + 1)
+        for at in range(0, n, 1000):
+            x = np.hstack([z[at : at + 1000], np.ones((len(z[at : at + 1000]), 1))])
+            own, v = y[at : at + 1000], weight[at : at + 1000]
+            out = own * (x @ w) < 1
+            a = x[out] * v[out, None]
+            left += x[out].T @ a
+            right += a.T @ own[out]
+        step = np.linalg.solve(left, right)
         if np.abs(step - w).max() < 1e-7:
             break
         w = step
