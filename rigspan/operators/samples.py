@@ -63,9 +63,25 @@ def splits(episodes: DataFrame, trials: int, ratio: float = 0.8, seed: int = 0)
         raise ValueError("a split needs two episodes at least")
     train = min(max(int(ratio * n), 1), n - 1)
     drawn = episodes.select("episode_id", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    order = Window.partitionBy("trial").orderBy(hashed(F.lit(seed), F.col("trial"), F.col("episode_id")), "episode_id")
-    part = F.when(F.row_number().over(order) <= train, "train").otherwise("val")
-    return drawn.select(F.col("trial").cast("long").alias("trial"), "episode_id", part.alias("part"))
+    placed = positions(drawn, hashed(F.lit(seed), F.col("trial"), F.col("episode_id")), "episode_id", ["trial"])
+    part = F.when(F.col("__at") < train, "train").otherwise("val")
+    return placed.select(F.col("trial").cast("long").alias("trial"), "episode_id", part.alias("part"))
+
+
+def positions(rows: DataFrame, h: Column, tie: str, by: list[str] | None = None, ranges: int = 64) -> DataFrame:
+    """``rows`` with __at, their position from 0 in the order of ``h`` (0 to 2**32), within each group of ``by``.
+
+    Rows fall into ``ranges`` equal ranges of h, are numbered within theirs, and
+    add the count of the ranges before, so no task sees all rows of a group.
+    """
+    by = by or []
+    cut = rows.withColumn("__h", h).withColumn("__r", F.floor(F.col("__h") / F.lit(4294967296 / ranges)).cast("int"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*by, "__r").agg(F.count("*").alias("__n"))  # ``ranges`` rows a group
+    starts = counts.withColumn("__s", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    at = F.row_number().over(Window.partitionBy(*by, "__r").orderBy("__h", tie)) - 1
+    placed = cut.withColumn("__k", at).join(starts, [*by, "__r"])
+    return placed.withColumn("__at", (F.col("__s") + F.col("__k")).cast("long")).select(*rows.columns, "__at")
 
 
 def split_scores(stats: DataFrame, parts: DataFrame) -> DataFrame:
@@ -122,17 +138,18 @@ def normalised(long: DataFrame, stats: DataFrame, floor: float | None = None, ba
 def shuffled_batches(rows: DataFrame, id_col: str, size: int, seed: int, epoch: int, ranges: int = 64) -> DataFrame:
     """Rows in a seeded order with batch = position div size, the last batch short.
 
-    The order is by hash: rows fall into ``ranges`` hash ranges, are numbered
-    within theirs, and add the count of the ranges before, so no task sees all rows.
+    The order is by hash, see :func:`positions`.
     """
-    h = hashed(F.lit(seed), F.lit(epoch), F.col(id_col))
-    cut = rows.withColumn("__h", h).withColumn("__r", F.floor(F.col("__h") / F.lit(4294967296 / ranges)).cast("int"))
-    before = Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy("__r").agg(F.count("*").alias("__n")).withColumn("__s", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    at = F.row_number().over(Window.partitionBy("__r").orderBy("__h", id_col)) - 1
-    placed = cut.withColumn("__k", at).join(F.broadcast(starts), "__r")
-    position = F.col("__s") + F.col("__k")
-    return placed.select(*rows.columns, position.cast("long").alias("position"), F.floor(position / size).alias("batch"))
+    placed = positions(rows, hashed(F.lit(seed), F.lit(epoch), F.col(id_col)), id_col, ranges=ranges)
+    return placed.select(*rows.columns, F.col("__at").alias("position"), F.floor(F.col("__at") / size).alias("batch"))
+
+
+def sorted_index(ids: DataFrame, id_col: str, ranges: int = 64) -> DataFrame:
+    """Distinct whole-number ids with at, their place from 0 in rising order."""
+    ids = ids.select(id_col).distinct()
+    low, high = ids.agg(F.min(id_col), F.max(id_col)).first()
+    scaled = (F.col(id_col) - F.lit(low or 0)) * F.lit(4294967295.0 / max((high or 0) - (low or 0), 1))
+    return positions(ids, scaled, id_col, ranges=ranges).withColumnRenamed("__at", "at")
 
 
 def padded(rows: DataFrame, batch: str, column: str) -> DataFrame:

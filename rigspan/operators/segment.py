@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,8 @@ def control_episodes(markers: DataFrame) -> DataFrame:
     order = Window.partitionBy("bag").orderBy("t_us", "seq")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
+    # the same rows from the end backwards, so that the frame grows and no row is read twice
+    after = Window.partitionBy("bag").orderBy(F.desc("t_us"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
     rows = markers.where(F.col("cmd").between(START, CANCEL_LAST))
     at = F.struct("t_us", "seq")
     rows = rows.withColumn("closed", F.last(F.when(F.col("cmd").isin(STOP, CANCEL), at), ignorenulls=True).over(past))
@@ -63,29 +65,33 @@ def next_free_index(ids: DataFrame, start: int = 0, by: str = "bag", id_col: str
 
 
 def repair(starts: list[float], pauses: list[float], ends: list[float], tick: float) -> list[tuple[float, float, float]]:
-    """Greedy matching of start, pause and end times into episodes; stops where a list runs out.
+    """Episodes from sorted start, pause and end times, some of which may be missing or too many.
 
-    Lists of equal length are matched as they stand.
+    Lists of equal length are matched as they stand. Else all times are read
+    as one sequence of events: a start opens an episode unless one is open,
+    the next end closes it, and its pause is the first in between. An episode
+    without one pauses a tick before its end, but only if a later pause is
+    still to come; without that the sequence ends.
     """
     if len(starts) == len(pauses) == len(ends):
         return list(zip(starts, pauses, ends, strict=True))
-    out, p, e, last_end = [], 0, 0, 0.0
-    for start in starts:
-        if start < last_end:
-            continue
-        while p < len(pauses) and pauses[p] < start:
-            p += 1
-        while e < len(ends) and ends[e] < start:
-            e += 1
-        if p == len(pauses) or e == len(ends):
-            break
-        if pauses[p] > ends[e]:
-            out.append((start, ends[e] - tick, ends[e]))
-        else:
-            out.append((start, pauses[p], ends[e]))
-            p += 1
-        last_end = ends[e]
-        e += 1
+    events = sorted([(t, 0) for t in starts] + [(t, 1) for t in pauses] + [(t, 2) for t in ends])
+    last_pause = max(pauses, default=float("-inf"))
+    out: list[tuple[float, float, float]] = []
+    opened: list[float] = []  # the open episode's start, then starts met meanwhile
+    within: list[float] = []  # pauses since the open episode's start
+    for t, kind in events:
+        if kind == 0:
+            opened.append(t)
+            within = within if len(opened) > 1 else [x for x in within if x >= t]
+        elif kind == 1:
+            within.append(t)
+        elif opened:
+            if not within and last_pause <= t:
+                break
+            out.append((opened[0], within[0] if within else t - tick, t))
+            # what lies at the very end may belong to the next episode
+            opened, within = [x for x in opened[1:] if x >= t], [x for x in within[1:] if x >= t]
     return out
 
 
@@ -103,19 +109,16 @@ def repair_times(times: DataFrame, tick: float = 1 / 30) -> DataFrame:
 
 
 def hold(ticks: list[float], closes: list[float], opens: list[float]) -> Iterator[int]:
-    """Hand state per tick: closed (1) after a close event, open after an open one.
+    """Hand state per tick: 0 open, 1 closed. Each state waits for the next event that ends it.
 
-    One event at most is used per tick, and only if strictly earlier. While
-    open (and close events are left) only those are looked at, else the open
-    events; stale ones are thus used late.
+    An event counts at the first tick after it at which its turn has come, one
+    a tick; stale ones are thus used late.
     """
-    state, c, o = 0, 0, 0
+    waiting, state = (deque(closes), deque(opens)), 0
     for t in ticks:
-        if state == 0 and c < len(closes):
-            if closes[c] < t:
-                state, c = 1, c + 1
-        elif o < len(opens) and opens[o] < t:
-            state, o = 0, o + 1
+        if waiting[state] and waiting[state][0] < t:
+            waiting[state].popleft()
+            state = 1 - state
         yield state
 
 

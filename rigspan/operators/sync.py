@@ -36,9 +36,15 @@ def interval_join(messages: DataFrame, episodes: DataFrame, grace_us: int = 0, c
 
     Both sides carry the time cell they touch, so the join is on (bag, cell)
     and only its residual compares times. With a grace the tail end is open
-    (``t < stop + grace``) and a message goes to its first episode only.
+    (``t < stop + grace``) and a message goes to its first episode only; an
+    episode's number follows its start. Repeated messages stay. ``messages`` may
+    be a stream.
     """
     stop = F.col("stop_us") + grace_us
+    if grace_us:
+        # what an earlier episode's grace covers is that one's: the later one begins behind it
+        past = Window.partitionBy("bag").orderBy("episode_id").rowsBetween(Window.unboundedPreceding, -1)
+        episodes = episodes.withColumn("start_us", F.greatest("start_us", F.max(stop).over(past))).where(F.col("start_us") < stop)
     cells = episodes.select(
         F.col("bag").alias("ebag"), "episode_id", "start_us", stop.alias("until_us"),
         F.explode(F.sequence(F.floor(F.col("start_us") / cell_us), F.floor(stop / cell_us))).alias("ecell"),
@@ -49,8 +55,6 @@ def interval_join(messages: DataFrame, episodes: DataFrame, grace_us: int = 0, c
     met = messages.withColumn("cell", F.floor(F.col("t_us") / cell_us)).join(
         cells, (F.col("bag") == F.col("ebag")) & (F.col("cell") == F.col("ecell")) & inside
     )
-    if grace_us:
-        met = met.groupBy(*[c for c in messages.columns]).agg(F.min("episode_id").alias("episode_id"))
     return met.select(*messages.columns, "episode_id")
 
 
@@ -67,14 +71,15 @@ def as_of(ticks: DataFrame, messages: DataFrame, topics: dict[str, str], keys: l
     )
     both = grid_rows.unionByName(data_rows)
     tick = F.col("i").isNotNull().cast("int")
-    ahead = Window.partitionBy(*keys).orderBy("t", F.desc(tick), "seq")
+    # from the end backwards, so that every frame grows and no row is read twice
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("t"), tick, F.desc("seq"))
     behind = Window.partitionBy(*keys).orderBy("t", tick, "seq")
-    whole = ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = behind.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     columns = {}
     for topic, way in topics.items():
         value = F.when(F.col("topic") == topic, F.col("value"))
         if way == "next":
-            near = F.first(value, ignorenulls=True).over(ahead.rowsBetween(0, Window.unboundedFollowing))
+            near = F.last(value, ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0))
             columns[topic] = F.coalesce(near, F.last(value, ignorenulls=True).over(whole))
         else:
             columns[topic] = F.coalesce(F.last(value, ignorenulls=True).over(behind.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))

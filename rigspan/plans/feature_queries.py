@@ -61,7 +61,7 @@ def flags(t):
 @query("P6_joint_order", "select bag, seq, unnest(range(0, 3)) as dim, unnest([round(pos[list_position(names, n)], 6) for n in (select arg_min(f.names, f.seq) from joints f where f.bag = j.bag)]) as value from joints j", "joints")
 def joint_order(t):
     first = t("joints").groupBy("bag").agg(F.min_by("names", "seq").alias("canon"))
-    rows = t("joints").join(F.broadcast(first), "bag")
+    rows = t("joints").join(first, "bag")
     return _dims(rows, ["bag", "seq"], fx.by_name(F.col("names"), F.col("pos"), F.col("canon")))
 
 
@@ -263,15 +263,15 @@ def gram_schmidt(t):
     return _dims(rows, ["id"], geo.gram_schmidt(F.col("v")))
 
 
-KEY = """kf as (select traj, 10 * (k - 1) as t, value, kk from (select user_id % 10 as traj, row_number() over (partition by user_id % 10 order by event_id) as k, value, cast(props->>'k' as double) as kk from events) where k <= 20),
+KEY = """kf as (select traj, 10 * (k - 1) as t, value, kk from (select user_id as traj, row_number() over (partition by user_id order by event_id) as k, value, cast(props->>'k' as double) as kk from events)),
 kn as (select *, lead(t) over w as t2, lead(value) over w as v2, lead(kk) over w as k2 from kf window w as (partition by traj order by t))"""
 
 
 @query("G9_keyframe_interpolation", "select traj, g as t, round(value + (v2 - value) * (g - t) / (t2 - t), 6) as value, round(kk + (k2 - kk) * (g - t) / (t2 - t), 6) as k from (select *, unnest(range(t, t2)) as g from kn where t2 is not null)", also=KEY)
 def keyframe_interpolation(t):
     w = Window.partitionBy("traj").orderBy("event_id")
-    parsed = t("events").select((F.col("user_id") % 10).alias("traj"), "event_id", F.array("value", F.get_json_object("props", "$.k").cast("double")).alias("v"))
-    frames = parsed.withColumn("n", F.row_number().over(w)).where("n <= 20").withColumn("t", (10 * (F.col("n") - 1)).cast("long"))
+    parsed = t("events").select(F.col("user_id").alias("traj"), "event_id", F.array("value", F.get_json_object("props", "$.k").cast("double")).alias("v"))
+    frames = parsed.withColumn("n", F.row_number().over(w)).withColumn("t", (10 * (F.col("n") - 1)).cast("long"))
     order = Window.partitionBy("traj").orderBy("t")
     spans = frames.withColumns({"t2": F.lead("t").over(order), "v2": F.lead("v").over(order)}).where("t2 is not null")
     each = spans.withColumn("g", F.explode(F.sequence("t", F.col("t2") - 1)))

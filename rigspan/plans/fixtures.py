@@ -87,7 +87,7 @@ TABLES: dict[str, tuple[str, tuple[list[str], list[str]]]] = {
         "documents",
         _both(
             _div("doc_id", "8", "batch"), "doc_id as id",
-            ("transform(slice(split(text, ' '), 1, 50), w -> cast(length(w) as bigint)) as v", "[length(w)::bigint for w in string_split(text, ' ')[1:50]] as v"),
+            ("transform(split(text, ' '), w -> cast(length(w) as bigint)) as v", "[length(w)::bigint for w in string_split(text, ' ')] as v"),
         ),
     ),
     "mask_pixels": ("part", _both("cast(p_size as bigint) as mask_id", "p_partkey % 37 as y", "p_partkey % 53 as x")),

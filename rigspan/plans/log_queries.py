@@ -162,6 +162,21 @@ def episode_times(t):
     return src.time_offsets(episodes(t))
 
 
+@query(
+    "S11_time_reader",
+    """select bag, episode_id, round(start_us / 1e6, 3) as start, round((start_us + (stop_us - start_us) // 2) / 1e6, 3) as pause, round(stop_us / 1e6, 3) as stop from episodes""",
+    "messages",
+    also=EPISODES,
+)
+def time_reader(t):
+    paused = episodes(t).withColumn("pause_us", F.col("start_us") + F.expr("(stop_us - start_us) div 2"))
+    path = f"{src.shared_dir(t.spark)}/times-{uuid.uuid4().hex}"
+    src.time_lines(paused).write.partitionBy("bag").csv(path, sep="\t")
+    lines = t.spark.read.schema("n long, text string, bag long").csv(path, sep="\t")
+    rows = src.read_offsets(lines)
+    return rows.select("bag", "episode_id", *[F.round(c, 3).alias(c) for c in ("start", "pause", "stop")])
+
+
 @query(
     "S12_stats_check",
     """select r.field, case r.field when 'qpos' then (select max(len(qpos)) from steps) when 'action' then (select max(len(action)) from steps) else 0 end as width,
@@ -180,6 +195,14 @@ def json_log(t):
     return parsed.groupBy(F.col("event_type").alias("run")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
+@query("S13_run_logs", "select event_type as run, count(*) as n, sum(cast(props->>'k' as bigint))::bigint as total from events group by event_type")
+def run_logs(t):
+    path = f"{src.shared_dir(t.spark)}/logs-{uuid.uuid4().hex}"
+    t("events").select(F.col("event_type").alias("run"), F.col("props").alias("value")).write.partitionBy("run").text(path)
+    parsed = src.read_run_logs(t.spark, f"{path}/*", "k long")
+    return parsed.groupBy("run").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+
+
 @query(
     "S14_task_lookup",
     """select t.task, t.model_dof::bigint as model_dof, count(distinct s.episode_id) as episodes, cast(floor(t.episode_len * 1.5) as bigint) as max_timesteps
@@ -273,7 +296,8 @@ def interval_join(t):
 
 @query(
     "J2_interval_grace",
-    f"select m.bag, m.seq, m.t_us, m.topic, m.value, min(e.episode_id) as episode_id from messages m join episodes e on m.bag = e.bag and m.t_us >= e.start_us and m.t_us < e.stop_us + {LEAST} group by all",
+    f"""select bag, seq, t_us, topic, value, (select min(e.episode_id) from episodes e where m.bag = e.bag and m.t_us >= e.start_us and m.t_us < e.stop_us + {LEAST}) as episode_id
+       from messages m where exists (select 1 from episodes e where m.bag = e.bag and m.t_us >= e.start_us and m.t_us < e.stop_us + {LEAST})""",
     "messages",
     also=EPISODES,
 )

@@ -206,10 +206,7 @@ def std_floor(t):
 
 @query("T0a_sorted_index", "select episode_id, row_number() over (order by episode_id) - 1 as at from (select distinct episode_id from steps)", "steps")
 def sorted_index(t):
-    from pyspark.sql import Window
-
-    ids = t("steps").select("episode_id").distinct()  # one row per episode
-    return ids.withColumn("at", (F.row_number().over(Window.orderBy("episode_id")) - 1).cast("long"))
+    return samples.sorted_index(t("steps"), "episode_id")
 
 
 @query("T0c_preview", "select episode_id, step, round(action[3], 6) as value from steps where step < 5", "steps")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import sync
 from ..streaming import stream
 from .fixtures import TABLES
 from .log_queries import EPISODES, HOUR, LEAST, episodes
@@ -28,6 +29,17 @@ def latest_per_slot(t):
     return stream.latest_per_slot(t("messages").withColumn("ts", F.timestamp_micros("t_us")), "1 hour")
 
 
+@query(
+    "T2_latest_carried",
+    f"""select g.bag, g.s * {HOUR} as slot_us, m.topic, arg_max(m.value, m.t_us * 1000000000 + m.seq) as value
+       from (select bag, unnest(range(min(t_us) // {HOUR}, max(t_us) // {HOUR})) as s from messages group by bag) g
+       join (select bag, seq, t_us::hugeint as t_us, topic, value from messages) m on m.bag = g.bag and m.t_us < (g.s + 1) * {HOUR} group by all""",
+    "messages",
+)
+def latest_carried(t):
+    return stream.run_available(stream.carried_forward(streamed(t, "messages"), HOUR))
+
+
 @query("T3_stream_hysteresis")
 def stream_hysteresis(t):
     return stream.run_available(stream.limited_hysteresis(streamed(t, "logits"), least_us=HOUR, close=0.55))
@@ -56,15 +68,22 @@ def readiness(t):
     "messages",
 )
 def mode_gate(t):
-    return stream.gated_steps(t("messages"), 100).select("bag", "seq", "step")
+    return stream.run_available(stream.gated_stream(streamed(t, "messages"), 100))
+
+
+@query("T4_latency_summary", f"select robot, t_us // {24 * HOUR} * {24 * HOUR} as from_us, count(*) as n, round(sum(sec), 5) as total, max(sec) as most from latency group by 1, 2", "latency")
+def latency_summary(t):
+    rows = t("latency").withColumn("ts", F.timestamp_micros("t_us"))
+    return stream.latency_summary(rows).select("robot", "from_us", "n", F.round(F.col("mean") * F.col("n"), 5).alias("total"), "most")
 
 
 @query(
     "T7_stream_grace",
-    f"select m.bag, m.seq, m.topic, m.value, e.episode_id from messages m join episodes e on m.bag = e.bag and m.t_us >= e.start_us and m.t_us < e.stop_us + {LEAST}",
+    f"""select bag, seq, topic, value, (select min(e.episode_id) from episodes e where m.bag = e.bag and m.t_us >= e.start_us and m.t_us < e.stop_us + {LEAST}) as episode_id
+       from messages m where exists (select 1 from episodes e where m.bag = e.bag and m.t_us >= e.start_us and m.t_us < e.stop_us + {LEAST})""",
     "messages",
     also=EPISODES,
 )
 def stream_grace(t):
-    rows = stream.with_grace(streamed(t, "messages").select("bag", "seq", "t_us", "topic", "value"), episodes(t), LEAST, 24 * HOUR)
-    return stream.run_available(rows).select("bag", "seq", "topic", "value", "episode_id")
+    messages = streamed(t, "messages").select("bag", "seq", "t_us", "topic", "value")
+    return stream.run_available(sync.interval_join(messages, episodes(t), LEAST, 24 * HOUR)).select("bag", "seq", "topic", "value", "episode_id")

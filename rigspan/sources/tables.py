@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -89,6 +92,15 @@ def time_offsets(episodes: DataFrame) -> DataFrame:
     return episodes.withColumn("t0", t0).select("bag", "episode_id", text("start_us").alias("start_s"), text("stop_us").alias("stop_s"))
 
 
+def time_lines(episodes: DataFrame) -> DataFrame:
+    """Lines (bag, n, text) of ``episodes(bag, episode_id, start_us, pause_us, stop_us)``: t0, then offsets "start, pause, end"."""
+    t0 = episodes.groupBy("bag").agg(F.min("start_us").alias("t0"))
+    head = t0.select("bag", F.lit(0).cast("long").alias("n"), F.format_string("%.6f", F.col("t0") / 1e6).alias("text"))
+    text = lambda c: F.format_string("%.6f", (F.col(c) - F.col("t0")) / 1e6)
+    body = episodes.join(t0, "bag").select("bag", (F.col("episode_id") + 1).alias("n"), F.concat_ws(", ", *map(text, ("start_us", "pause_us", "stop_us"))).alias("text"))
+    return head.unionByName(body)
+
+
 def read_offsets(lines: DataFrame) -> DataFrame:
     """Episode times of ``lines(bag, n, text)``: line 0 is t0, the others are offsets "start, pause, end"."""
     t0 = lines.where("n = 0").select("bag", F.col("text").cast("double").alias("t0"))
@@ -111,9 +123,10 @@ def parse_log(lines: DataFrame, column: str, schema: str) -> DataFrame:
     return lines.withColumn("__j", F.from_json(column, schema)).select(*[c for c in lines.columns if c != column], "__j.*")
 
 
-def read_run_logs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Run logs in JSON lines with the run named by its file."""
-    return spark.read.schema(schema).json(paths).withColumn("run", output_name(F.col("_metadata.file_path")))
+def read_run_logs(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Logs of many runs in JSON lines, one folder per run that names it (``name`` or ``run=name``)."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return spark.read.schema(schema).json(paths).withColumn("run", F.regexp_replace(folder, "^run=", ""))
 
 
 def tasks(spark: SparkSession) -> DataFrame:

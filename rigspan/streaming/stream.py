@@ -22,7 +22,15 @@ from ..sources.tables import shared_dir
 
 def read(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
     """A table's files as a stream, one micro-batch per ``files_per_trigger``; ``path`` may be one file or a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+    # a file is read as the only one of its folder by that name, a folder whole
+    folder, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and _is_file(spark, path) else reader.parquet(path)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
 
 
 def run_available(stream: DataFrame) -> DataFrame:
@@ -128,7 +136,7 @@ def ready_rows(messages: DataFrame, topics: list[str]) -> DataFrame:
     missing = F.greatest(*[F.col(f"f{j}").isNull().cast("int") for j in range(len(topics))]) if len(topics) > 1 else F.col("f0").isNull().cast("int")
     ready = F.greatest(*[F.col(f"f{j}") for j in range(len(topics))]) if len(topics) > 1 else F.col("f0")
     gates = gates.where(missing == 0).select("bag", ready.alias("ready_us"))
-    return messages.join(F.broadcast(gates), "bag").where("t_us >= ready_us").drop("ready_us")
+    return messages.join(gates, "bag").where("t_us >= ready_us").drop("ready_us")
 
 
 def gated_steps(messages: DataFrame, most: int) -> DataFrame:
@@ -141,15 +149,53 @@ def gated_steps(messages: DataFrame, most: int) -> DataFrame:
     return on.withColumn("step", ((F.row_number().over(order) - 1) % most).cast("long")).drop("mode")
 
 
-def with_grace(messages: DataFrame, episodes: DataFrame, grace_us: int, cell_us: int) -> DataFrame:
-    """Stream-static interval join: messages up to ``grace_us`` after an episode's end still belong to it."""
-    until = F.col("stop_us") + grace_us
-    cells = episodes.select(
-        F.col("bag").alias("ebag"), "episode_id", "start_us", until.alias("until_us"),
-        F.explode(F.sequence(F.floor(F.col("start_us") / cell_us), F.floor(until / cell_us))).alias("ecell"),
-    )
-    inside = (F.col("t_us") >= F.col("start_us")) & (F.col("t_us") < F.col("until_us"))
-    met = messages.withColumn("cell", F.floor(F.col("t_us") / cell_us)).join(
-        cells, (F.col("bag") == F.col("ebag")) & (F.col("cell") == F.col("ecell")) & inside
+def gated_stream(messages: DataFrame, most: int) -> DataFrame:
+    """:func:`gated_steps` as a stream: state per bag is the last mode command and the steps so far."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = _collected(batches, ["t_us", "seq"])
+        mode, steps = state.get if state.exists else (0, 0)
+        command = rows["cmd"].where(rows["cmd"].isin([START, STOP])).ffill().fillna(mode)
+        on = rows[(command == START) & (rows["topic"] != "control")]
+        state.update((int(command.iloc[-1]), steps + len(on)))
+        yield pd.DataFrame({"bag": on["bag"], "seq": on["seq"], "step": [(steps + k) % most for k in range(len(on))]})
+
+    return messages.select("bag", "seq", "t_us", "topic", F.col("cmd").cast("double").alias("cmd")).groupBy("bag").applyInPandasWithState(
+        fold, "bag long, seq long, step long", "mode int, steps long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def carried_forward(messages: DataFrame, slot_us: int) -> DataFrame:
+    """At the end of every slot the latest value of each topic of a bag so far, as a stream.
+
+    A slot is emitted once a message of a later one arrives; slots without
+    messages repeat the values before. State per bag: the open slot and the
+    latest values. A message that comes in a later micro-batch than its slot's
+    end counts from the open slot on.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = _collected(batches, ["t_us", "seq"])
+        open_, topics, values = state.get if state.exists else (None, [], [])
+        latest, out = dict(zip(topics, values, strict=True)), []
+        for r in rows.itertuples():
+            now = int(r.t_us) // slot_us
+            open_ = now if open_ is None else open_
+            for s in range(open_, now):
+                out += [(key[0], s * slot_us, topic, value) for topic, value in latest.items()]
+            open_ = max(open_, now)
+            latest[r.topic] = float(r.value)
+        state.update((open_, list(latest), list(latest.values())))
+        yield pd.DataFrame(out, columns=["bag", "slot_us", "topic", "value"])
+
+    return messages.select("bag", "seq", "t_us", "topic", "value").groupBy("bag").applyInPandasWithState(
+        fold, "bag long, slot_us long, topic string, value double", "slot long, topics array<string>, vals array<double>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def latency_summary(rows: DataFrame, late: str = "1 hour", span: str = "1 day") -> DataFrame:
+    """Count, mean and largest latency of every robot and time span; ``ts`` is the event time, spans close with the watermark."""
+    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
+    return rows.groupBy(F.window("ts", span), "robot").agg(F.count("*").alias("n"), F.avg("sec").alias("mean"), F.max("sec").alias("most")).select(
+        "robot", F.unix_micros("window.start").alias("from_us"), "n", "mean", "most"
     )
-    return met.select(*messages.columns, "episode_id")

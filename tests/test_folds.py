@@ -1,5 +1,6 @@
 """Sequential semantics on hand-made cases, and properties that must hold."""
 
+import bisect
 import itertools
 import random
 
@@ -53,6 +54,94 @@ def test_time_repair():
     assert segment.repair([], [1], [2, 3], 1) == []
 
 
+def test_time_repair_by_searching():
+    """The same episodes by looking up, for every start, the next pause and end not used yet."""
+
+    def searched(starts, pauses, ends, tick):
+        out, used_p, used_e, over = [], 0, 0, 0
+        for s in starts:
+            if out and s < over:
+                continue
+            p = max(used_p, bisect.bisect_left(pauses, s))
+            e = max(used_e, bisect.bisect_left(ends, s))
+            if p >= len(pauses) or e >= len(ends):
+                return out
+            over, used_e = ends[e], e + 1
+            early = pauses[p] <= over
+            out.append((s, pauses[p] if early else over - tick, over))
+            used_p = p + early
+        return out
+
+    rng = random.Random(7)
+    for _ in range(4000):
+        wide = rng.choice([6, 40])
+        a, b, c = (sorted(rng.randint(0, wide) for _ in range(rng.randint(0, 7))) for _ in range(3))
+        if not len(a) == len(b) == len(c):
+            assert segment.repair(a, b, c, 1) == searched(a, b, c, 1), (a, b, c)
+
+
+def test_hand_hold_by_pairing():
+    """Restated: close k needs opening k - 1 behind it and the other way round, each at a tick of its own."""
+    rng = random.Random(8)
+    for _ in range(300):
+        ticks, closes, opens = (sorted(rng.uniform(0, 9) for _ in range(rng.randint(0, 12))) for _ in range(3))
+        turns = [x for pair in itertools.zip_longest(closes, opens) for x in pair]
+        turns = turns[: turns.index(None)] if None in turns else turns
+        want, at = [], 0
+        for t in ticks:
+            at += at < len(turns) and turns[at] < t
+            want.append(at % 2)
+        assert list(segment.hold(ticks, closes, opens)) == want
+
+
+def test_grace_keeps_repeated_rows(spark):
+    """Every message goes once, to its first episode; equal ones stay apart."""
+    rng = random.Random(9)
+    cuts = [sorted(rng.sample(range(300), 14)) for _ in range(3)]
+    eps = [(b, k, c[2 * k], c[2 * k + 1]) for b, c in enumerate(cuts) for k in range(7)]
+    msgs = [(rng.randint(0, 2), 1, rng.randint(0, 330), "a", 1.0) for _ in range(400)]
+    m = spark.createDataFrame(msgs + msgs[:50], "bag long, seq long, t_us long, topic string, value double")
+    e = spark.createDataFrame(eps, "bag long, episode_id long, start_us long, stop_us long")
+    got = sorted((r.bag, r.t_us, r.episode_id) for r in sync.interval_join(m, e, grace_us=25, cell_us=40).collect())
+    want = sorted((b, t, min(x)) for b, _, t, _, _ in msgs + msgs[:50] if (x := [k for eb, k, s, u in eps if eb == b and s <= t < u + 25]))
+    assert got == want
+
+
+def test_as_of_by_searching(spark):
+    rng = random.Random(10)
+    ticks = [(k, i, rng.randint(0, 60)) for k in range(3) for i in range(20)]
+    data = [(rng.randint(0, 2), rng.choice("ab"), rng.randint(0, 60), q, float(q)) for q in range(90)]
+    out = sync.as_of(
+        spark.createDataFrame(ticks, "k long, i long, g_us long"),
+        spark.createDataFrame(data, "k long, topic string, t_us long, seq long, value double"),
+        {"a": "next", "b": "last"},
+        ["k"],
+    )
+    for r in out.collect():
+        rows = lambda topic, r=r: sorted((t, q, v) for k, x, t, q, v in data if k == r.k and x == topic)
+        later = [v for t, _, v in rows("a") if t >= r.g_us] or [rows("a")[-1][2]]
+        sooner = [v for t, _, v in rows("b") if t <= r.g_us] or [0.0]
+        assert (r.a, r.b) == (later[0], sooner[-1])
+
+
+def test_streams_over_batches_equal_their_batch_form(spark, tmp_path):
+    rng = random.Random(11)
+    rows = pd.DataFrame([(rng.randint(0, 3), s, s * 7, rng.choice(["a", "b", "control"]), rng.choice([None, None, 1.0, 2.0]), float(s)) for s in range(200)], columns=["bag", "seq", "t_us", "topic", "cmd", "value"])
+    for k, (lo, hi) in enumerate(itertools.pairwise([0, 50, 51, 140, 200])):
+        rows[lo:hi].to_parquet(tmp_path / f"m-{k}.parquet")
+    df = spark.createDataFrame(rows).withColumn("cmd", F.when(F.isnan("cmd"), None).otherwise(F.col("cmd")))
+    live = lambda f: stream.run_available(f(stream.read(spark, str(tmp_path), df.schema)))
+    want = {tuple(r) for r in stream.gated_steps(df, 5).select("bag", "seq", "step").collect()}
+    assert {tuple(r) for r in live(lambda s: stream.gated_stream(s, 5)).collect()} == want
+    got = {(r.bag, r.slot_us, r.topic): r.value for r in live(lambda s: stream.carried_forward(s, 100)).collect()}
+    held = {}
+    for b in range(4):
+        own = [r for r in rows.itertuples() if r.bag == b]
+        for s in range(own[0].t_us // 100, own[-1].t_us // 100):
+            held |= {(b, s * 100, r.topic): r.value for r in own if r.t_us < (s + 1) * 100}
+    assert got == held
+
+
 def test_hand_hold():
     assert list(segment.hold([0, 1, 2, 3], [1], [])) == [0, 0, 1, 1]  # strictly earlier: next tick
     assert list(segment.hold([1, 2, 3, 4], [0.5, 0.6], [0.1])) == [1, 0, 1, 1]  # a stale open is used late
@@ -97,7 +186,7 @@ def test_limited_hysteresis_batch_equals_stream(spark, tmp_path):
         part.to_parquet(tmp_path / f"part-{k}.parquet")
     df = spark.createDataFrame(rows)
     want = {(r.robot, r.seq): (r.closed, r.published) for r in predict.limited_hysteresis(df, 150).collect()}
-    live = stream.run_available(stream.limited_hysteresis(stream.read(spark, str(tmp_path) + "/part", df.schema), 150))
+    live = stream.run_available(stream.limited_hysteresis(stream.read(spark, str(tmp_path), df.schema), 150))
     assert {(r.robot, r.seq): (r.closed, r.published) for r in live.collect()} == want
 
 
@@ -108,7 +197,7 @@ def test_stream_episodes_over_batches(spark, tmp_path):
     for k, (lo, hi) in enumerate(itertools.pairwise([0, 17, 18, 150, 240])):
         rows[lo:hi].to_parquet(tmp_path / f"m-{k}.parquet")
     schema = spark.createDataFrame(rows).schema
-    net = stream.net_episodes(stream.run_available(stream.episode_changes(stream.read(spark, str(tmp_path) + "/m", schema))))
+    net = stream.net_episodes(stream.run_available(stream.episode_changes(stream.read(spark, str(tmp_path), schema))))
     got = {}
     for r in net.orderBy("bag", "start_us").collect():
         got.setdefault(r.bag, []).append((r.start_us, r.stop_us))
