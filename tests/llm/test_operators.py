@@ -2,13 +2,18 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from rigspan.llm import decontaminate, licenses, media, neardup, packing, pii, sharding, token_counts, toxicity, urls
@@ -71,14 +76,8 @@ def test_toxicity_weights_are_the_kernel_sum():
     weights[active] = table[1:] @ np.array([2.0, -1.0])
     model = toxicity.Model(weights.astype(np.float32), 0.25)
 
-    def kernel(a, b):
-        occ = lambda s: [(s[i] + s[i + p] + s[i + q], 0.8 ** (q + 1)) for i in range(len(s)) for p, q in toxicity.OFFSETS if i + q < len(s)]
-        norm = lambda o: sum(w * w for _, w in o) ** 0.5
-        x, y = occ(a), occ(b)
-        return sum(v * w for s, v in x for t, w in y if s == t) / norm(x) / norm(y)
-
     for word in ("blocknhead", "theorems"):
-        want = 2 * kernel(word, marks[0]) - kernel(word, marks[1]) + 0.25
+        want = 2 * plain_kernel(word, marks[0]) - plain_kernel(word, marks[1]) + 0.25
         assert toxicity.decide(model, [word])[0] == pytest.approx(want, rel=1e-4)
 
 
@@ -90,6 +89,88 @@ def test_toxicity_edges(spark, edge, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def plain_kernel(a, b):
+    """Triples within a span of five, a weight for each occurrence, over both norms."""
+    occ = lambda s: [(s[i] + s[i + p] + s[i + q], toxicity.DECAY ** (q + 1)) for i in range(len(s)) for p, q in toxicity.OFFSETS if i + q < len(s)]
+    norm = lambda o: sum(w * w for _, w in o) ** 0.5
+    x, y = occ(a), occ(b)
+    return sum(v * w for s, v in x for t, w in y if s == t) / norm(x) / norm(y) if x and y else 0.0
+
+
+def test_toxicity_space_and_svm_equal_brute_force():
+    marks = ["idiot", "you trash", "theorem", "lemma"]
+    space = toxicity.Nystroem(marks)
+    strings = ["idiiot", "you trash", "your trash", "theorems", "lemmas of", "proof"]
+    gram = np.array([[plain_kernel(a, b) for b in marks] for a in marks])
+    rows = np.array([[plain_kernel(s, b) for b in marks] for s in strings])
+    z = space(strings)
+    assert z @ z.T == pytest.approx(rows @ np.linalg.inv(gram) @ rows.T, abs=1e-4)
+    y = np.array([1.0, 1, 1, -1, -1, -1])
+    w, bias = toxicity.svm(z, y, np.ones(6))
+    loss = lambda w, b: 0.5 * w @ w + 0.5 * sum(max(0.0, 1 - t * (x @ w + b)) ** 2 for x, t in zip(z, y, strict=True))
+    rng = np.random.default_rng(0)
+    assert all(loss(w, bias) <= loss(w + rng.normal(size=len(w)) * s, bias + rng.normal() * s) + 1e-9 for s in (1e-3, 0.1, 1) for _ in range(50))
+    model = toxicity.Model(space.folded(w), bias)
+    assert toxicity.decide(model, strings) == pytest.approx(z @ w + bias, abs=1e-4)
+
+
+def test_toxicity_reads_every_window_of_whole_texts():
+    """The vectorised score is the largest over all words and neighbouring pairs of all sentences."""
+    rng = random.Random(41)
+    weights = np.random.default_rng(1).normal(size=toxicity.CLASSES**3).astype(np.float32)
+    weights[0] = 0
+    model = toxicity.Model(weights, -0.3)
+    texts = ["".join(rng.choice("abcdéЖ1@! .\n  😀xyz-") for _ in range(rng.randint(0, 300))) for _ in range(200)]
+    texts += ["", ".", "a" * 100, "i d i o t", "x", "you trash. abc", "verylongword" * 9 + " end"]
+    for text, got in zip(texts, toxicity.scores(model, texts), strict=True):
+        seen = [w for s in toxicity.spelled(text) for w in toxicity.windows(s)]
+        assert got == pytest.approx(max([model.bias, *toxicity.decide(model, seen)]), abs=1e-4)
+    assert toxicity.spelled("Hello, you i d i o t! Blo-ckh3ad\nx") == [["hello", "you", "idiot"], ["blockhead"], ["x"]]
+
+
+def test_toxicity_is_the_same_under_every_hash_seed(tmp_path):
+    script = tmp_path / "fit.py"
+    script.write_text(
+        "import random, sys\n"
+        "from pyspark.sql import SparkSession\n"
+        "from rigspan.llm import toxicity\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', sys.argv[1]).config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "rng = random.Random(3)\n"
+        "rows = []\n"
+        "for k in range(90):\n"
+        "    words = [rng.choice('alpha beta gamma delta epsilon zeta'.split()) + str(rng.randint(0, 9)) for _ in range(20)]\n"
+        "    words[3] = rng.choice(['blockhead', 'nincompoop']) if k % 3 == 0 else words[3]\n"
+        "    rows.append((k, ' '.join(words), int(k % 3 == 0)))\n"
+        "df = spark.createDataFrame(rows, 'doc_id long, text string, toxic int').repartition(int(sys.argv[1]))\n"
+        "m = toxicity.train(df, df)\n"
+        "print('MODEL', m.weights.tobytes().hex()[-4000:], m.weights.sum(), m.bias, m.slope, m.shift)\n"
+    )
+    found = set()
+    for seed, parts in (("1", "2"), ("2", "3")):
+        env = os.environ | {"PYTHONHASHSEED": seed, "PYTHONPATH": str(Path(__file__).resolve().parents[2])}
+        run = subprocess.run([sys.executable, str(script), parts], capture_output=True, text=True, env=env, timeout=600, check=True)
+        found.add(next(line for line in run.stdout.splitlines() if line.startswith("MODEL")))
+    assert len(found) == 1
+
+
+def test_toxicity_learns_two_harmless_words(spark):
+    """An insult of two words that clean documents hold apart; ids labelled both ways teach nothing."""
+    rng = random.Random(5)
+    docs, labels = [], []
+    for k in range(240):
+        words = text_of(rng, 30).split()
+        at = rng.randrange(25)
+        words[at : at + 2] = ["wet", "noodle"] if k % 3 == 0 else rng.choice([["wet", "kappa1"], ["kappa2", "noodle"], ["noodle", "wet"]])
+        docs.append((k, " ".join(words) + "."))
+        labels.append((k, int(k % 3 == 0)))
+    labels += [(0, 0), (None, 1), (7, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scores = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    right = sum((scores[k] >= 0.3) == (k % 3 == 0) for k in range(240))
+    assert right >= 228
+
+
 # --- urls ------------------------------------------------------------------
 
 
@@ -216,6 +297,39 @@ def test_decontamination(spark, edge, none):
     assert decontaminate.drop_contaminated(edge, bench).count() == len(EDGE)
 
 
+def test_decontamination_of_short_items_and_against_brute_force(spark):
+    rng = random.Random(61)
+    items = [(1, "zebra quartz"), (2, "solo"), (3, "of the"), (4, text_of(rng, 25)), (5, "the same words the same words the same words"), (6, text_of(rng, 12))]
+    docs = [(k, text_of(rng, 30)) for k in range(40)]
+    docs += [(100, "we saw a zebra quartz today in town"), (101, "Solo!"), (102, "zebra and quartz"), (103, "solo"), (104, "")]
+    for k in range(30):
+        words = items[rng.choice([3, 5])][1].split()
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 99)}"
+        docs.append((200 + k, f"{text_of(rng, 9)} {' '.join(words)} the same words {text_of(rng, 9)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for rare_least in (0, 5):
+        out = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, rare_least=rare_least, rare_share=0.0).collect()
+        got = {(r.doc_id, r.item_id): (round(r.score, 6), r.n_seeds) for r in out}
+        hasher = decontaminate.WordHasher()
+        with np.errstate(over="ignore"):
+            gram_sets = lambda h, k: set(decontaminate.grams(h, k).tolist()) if len(h) >= k else set()
+            spelled = {i: hasher(t) for i, t in items}
+            of_item = {i: gram_sets(h, min(3, len(h))) for i, h in spelled.items()}
+            of_doc = {d: set().union(*(gram_sets(hasher(t), k) for k in (1, 2, 3))) for d, t in docs}
+            df = collections.Counter(g for s in of_doc.values() for g in s)
+            want = {}
+            for d, t in docs:
+                for i, h in spelled.items():
+                    both = of_item[i] & of_doc[d]
+                    rare = any(df[g] <= rare_least for g in both)
+                    if both and (rare or len(both) >= 0.25 * len(of_item[i])):
+                        score = decontaminate.align(h, hasher(t))[0] / (2 * len(h))
+                        if score >= 0.5:
+                            want[d, i] = (round(score, 6), len(both))
+        assert got == want and {(100, 1), (101, 2), (103, 2)} <= set(got)
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = random.Random(6)
     for _ in range(60):
@@ -316,6 +430,32 @@ def test_near_duplicate_edges(edge, none):
     assert neardup.drop_near_duplicates(edge).count() == len(EDGE) - 1  # the repeated row
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Rows of one id with other texts are documents of their own; none of their links is lost."""
+    rng = random.Random(51)
+    a, b = text_of(rng, 40), text_of(rng, 90)
+    docs = [(1, a), (1, b), (1, b), (2, b + " tail"), (3, a + " end"), (4, text_of(rng, 30)), (4, text_of(rng, 30)), (None, b), (5, ""), (5, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = sorted((r.doc_id or 0, r.component_id or 0) for r in neardup.near_duplicates(df).collect())
+    assert out == sorted([(1, 1)] * 3 + [(2, 1), (3, 1), (4, 4), (4, 4), (0, 0), (5, 5), (5, 5)])
+    kept = collections.Counter((r.doc_id, r.text) for r in neardup.drop_near_duplicates(df).collect())
+    assert kept == collections.Counter([(1, a), (1, b), *docs[5:7], docs[7], docs[8], docs[9]])
+
+
+def test_near_duplicate_recall_is_measured(spark):
+    """All pairs at the very edge of the wanted similarity: 300 pairs, none lost."""
+    rng = random.Random(52)
+    docs = []
+    for k in range(300):
+        words = [f"p{k}w{j}" for j in range(rng.choice([10, 19, 37, 46]))]  # 9, 18, 36 or 45 pairs
+        cut = len(words) // 9
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: len(words) - cut]))]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2).collect()}
+    want = brute_components(docs, 2)
+    recall = sum(out[d] == want[d] for d, _ in docs) / len(docs)
+    assert recall == 1.0
+
+
 # --- licenses --------------------------------------------------------------
 
 
@@ -431,6 +571,54 @@ def test_pii(spark, edge, none):
     assert {r.text for r in pii.replace_entities(edge, "k", report=False).collect()} == {r[1] for r in EDGE}
 
 
+def test_pii_equals_brute_force(spark):
+    """Entities as another engine's pattern finds them; one surrogate each, distinct, in its format; the rest untouched."""
+    rng = random.Random(31)
+    word = lambda low, n: "".join(rng.choice(low) for _ in range(n))
+    digits = lambda n: word("0123456789", n)
+    surnames = ["Smith", "Jones", "Иванова", "Núñez", "Παππά"]
+    makers = [
+        lambda: f"{word('abc', 70)}@mail{rng.randint(0, 3)}.example.com", lambda: f"{word('abC.', 1)}a@x.org", lambda: "AKIA" + word("ABC012", 16),
+        lambda: f"password={rng.choice(['****', 'пароль', digits(1), word('ab!', 9), '日本x', word('xyz', 300), '--'])}", lambda: f"pwd:{digits(2)}",
+        lambda: word("0123456789abcdef", rng.choice([32, 64, 140])), lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: " ".join(digits(4) for _ in range(4)),
+        lambda: f"{rng.choice(['Mr', 'Mrs.', 'Frau', 'Señor'])} {rng.choice(['John ', 'Anna ', ''])}{rng.choice(surnames)}",
+    ]
+    texts = []
+    for _ in range(150):
+        parts = [rng.choice(makers)() if rng.random() < 0.5 else rng.choice(["plain", "2024", "a=b", "Mr", "x:", "\n"]) for _ in range(12)]
+        texts.append(" ¦ ".join(parts))
+    texts += ["password=****", "password=пароль", word("0123456789abcdef", 140)]
+    df = spark.createDataFrame([(k, t, "own", 7) for k, t in enumerate(texts)], "doc_id long, text string, kinds string, n_entities int")
+    plain = pii.replace_entities(df, "secret", report=False)
+    assert plain.columns == df.columns
+    out = {r.doc_id: r for r in pii.replace_entities(df, "secret").collect()}
+    new = {r.doc_id: r for r in plain.collect()}
+    names: dict[str, str] = {}
+    for k, t in enumerate(texts):
+        assert (new[k].kinds, new[k].n_entities) == ("own", 7) and new[k].text == out[k].text
+        found = [m.group() for m in regex.finditer(pii.PATTERN, t)]
+        assert out[k].n_entities == len(found)
+        rest = regex.split(pii.PATTERN, t)
+        got = regex.fullmatch("(.*?)".join(map(regex.escape, rest)), out[k].text, regex.DOTALL)
+        assert got
+        for value, surrogate in zip(found, got.groups(), strict=True):
+            assert value != surrogate and names.setdefault(value, surrogate) == surrogate
+    assert len(set(names.values())) == len(names) and not set(names) & set(names.values())
+    for value, surrogate in names.items():
+        if value.startswith(("Mr", "Frau", "Señor")):
+            last = {v.split()[-1]: s.split()[-1] for v, s in names.items() if v.startswith(("Mr", "Frau", "Señor"))}
+            assert surrogate.split()[-1] == last[value.split()[-1]] and len(set(last.values())) == len(last)
+        elif regex.fullmatch("[0-9a-f]{32,}", value):
+            assert regex.fullmatch("[0-9a-f]+", surrogate) and len(surrogate) == len(value)
+        elif regex.fullmatch(r"\p{IsCyrillic}+", value):
+            assert regex.fullmatch(r"\p{IsCyrillic}+", surrogate)
+    with pytest.raises(ValueError, match="key"):
+        pii.replace_entities(df, "")
+    other = {r.doc_id: r.text for r in pii.replace_entities(df, "another").collect()}
+    assert other != {k: r.text for k, r in new.items()}
+
+
 # --- packing and tokens ----------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 import re
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -38,7 +39,42 @@ def test_stages(spark):
 
 
 def test_run(spark):
-    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(corpus_pipeline.run(spark, SF).columns)
+    """The whole run: windows are whole, and hold the ids of the documents that the stages keep."""
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {"doc_id", "start", "length", "sequence_id", "offset", "ids"} <= set(rows[0].asDict())
+    lengths = {}
+    for r in rows:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    assert all(lengths[r.doc_id] == r.doc_tokens for r in rows)
+    assert len(lengths) < queries.table(spark, SF, "documents").count()
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kinds string, score double, digest string, component string"
+LONG = "some words that go on and on " * 4000
+EDGES = [(k, t, None, "s", 3, "k", 0.5, "d", "c") for k, t in ((1, None), (2, ""), (3, " \n "), (4, LONG), (5, "same row of words here"), (5, "same row of words here"), (None, "no id at all in this row"), (7, "password=**** 日本 \u0000 x"))]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]])
+def test_stages_on_odd_rows(spark, stage):
+    """Nulls, empty and very long texts, repeated rows, clashing names, an empty table: columns stay, clean rows too."""
+    docs = spark.createDataFrame(EDGES, SCHEMA)
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    texts = sorted(str(r.text) for r in out.collect())
+    want = sorted(str(r[1]) for r in EDGES)
+    if stage is corpus_pipeline.drop_near_copies:
+        want.remove("same row of words here")
+    assert texts == want
+    none = stage(spark, docs.where("false"), SF)
+    assert none.columns == docs.columns and none.count() == 0
+
+
+def test_packing_stage_on_odd_rows(spark):
+    docs = spark.createDataFrame(EDGES, SCHEMA)
+    out = corpus_pipeline.pack_windows(spark, docs, SF).collect()
+    assert sum(r.start == 0 for r in out) == len(EDGES)
+    assert corpus_pipeline.pack_windows(spark, docs.where("false"), SF).count() == 0
 
 
 def test_packed_windows_hold_their_ids(spark):
