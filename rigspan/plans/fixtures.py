@@ -1,7 +1,8 @@
 """Tables of the engine's shapes, derived from the driver's tables, for Spark and as SQL.
 
 ``SQL`` holds each as a common table expression; :func:`view` builds the same
-frame with Spark expressions.
+frame with Spark expressions. Bags, robots and runs are ranges of their base
+table's keys: their number grows with the table, not their size.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def _box(expr: str, name: str) -> tuple[str, str]:
 
 _QN = "sqrt(@19*@19 + @20*@20 + @21*@21 + @22*@22)"
 TABLES: dict[str, tuple[str, tuple[list[str], list[str]]]] = {
-    "messages": ("events", _both("user_id % 10 as bag", "event_id as seq", _MICROS, _TOPIC, _CMD, "value")),
+    "messages": ("events", _both(_div("user_id", "15", "bag"), "event_id as seq", _MICROS, _TOPIC, _CMD, "value")),
     "steps": ("embeddings", _both("vec_id % 25 as episode_id", _div("vec_id", "25", "step"), _slice(1, 8, "qpos"), _slice(9, 15, "action"))),
     "poses": (
         "embeddings",
@@ -59,7 +60,7 @@ TABLES: dict[str, tuple[str, tuple[list[str], list[str]]]] = {
     ),
     "rewards": (
         "orders",
-        _both("o_custkey % 50 as rollout", "o_orderkey as t", "case when o_orderstatus = 'P' then null else 5 - cast(substr(o_orderpriority, 1, 1) as bigint) end as reward"),
+        _both(_div("o_custkey", "30", "rollout"), "o_orderkey as t", "case when o_orderstatus = 'P' then null else 5 - cast(substr(o_orderpriority, 1, 1) as bigint) end as reward"),
     ),
     "contacts": (
         "lineitem",
@@ -79,10 +80,10 @@ TABLES: dict[str, tuple[str, tuple[list[str], list[str]]]] = {
     ),
     "metrics": (
         "orders",
-        _both("o_custkey % 10 as run", "o_orderkey as seq", "o_orderkey % 100 as epoch", "case when o_orderstatus = 'F' then 'train' else 'val' end as phase", "o_custkey % 4 as rank", "o_totalprice as value"),
+        _both(_div("o_custkey", "150", "run"), "o_orderkey as seq", "o_orderkey % 100 as epoch", "case when o_orderstatus = 'F' then 'train' else 'val' end as phase", "o_custkey % 4 as rank", "o_totalprice as value"),
     ),
-    "latency": ("events", _both("user_id % 10 as robot", "event_id as seq", _MICROS, "value / 1000 as sec")),
-    "logits": ("events", _both("user_id % 10 as robot", "event_id as seq", _MICROS, "value / 50 - 1 as x")),
+    "latency": ("events", _both(_div("user_id", "15", "robot"), "event_id as seq", _MICROS, "value / 1000 as sec")),
+    "logits": ("events", _both(_div("user_id", "15", "robot"), "event_id as seq", _MICROS, "value / 50 - 1 as x")),
     "ragged": (
         "documents",
         _both(
@@ -94,7 +95,7 @@ TABLES: dict[str, tuple[str, tuple[list[str], list[str]]]] = {
     "joints": (
         "events",
         _both(
-            "user_id % 10 as bag", "event_id as seq",
+            _div("user_id", "15", "bag"), "event_id as seq",
             (
                 "case event_id % 3 when 0 then array('j1', 'j2', 'j3') when 1 then array('j2', 'j3', 'j1') else array('j3', 'j1', 'j2') end as names",
                 "case event_id % 3 when 0 then ['j1', 'j2', 'j3'] when 1 then ['j2', 'j3', 'j1'] else ['j3', 'j1', 'j2'] end as names",

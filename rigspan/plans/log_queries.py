@@ -96,7 +96,7 @@ def output_name(t):
     return t("events").select(src.output_name(path).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-_USED = "select user_id % 10 as bag, cast(floor(value) as bigint) as episode_id from events"
+_USED = "select user_id // 15 as bag, cast(floor(value) as bigint) as episode_id from events"
 
 
 @query(
@@ -106,7 +106,7 @@ _USED = "select user_id % 10 as bag, cast(floor(value) as bigint) as episode_id
     select bag, min(free) as next_free from c where free >= 5 and not exists (select 1 from u where u.bag = c.bag and u.episode_id = c.free) group by bag""",
 )
 def next_free_index(t):
-    ids = t("events").selectExpr("user_id % 10 as bag", "cast(floor(value) as bigint) as episode_id")
+    ids = t("events").selectExpr("user_id div 15 as bag", "cast(floor(value) as bigint) as episode_id")
     return segment.next_free_index(ids, 5)
 
 
@@ -254,7 +254,7 @@ def max_episodes(t):
 
 def _time_lists(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "view", "pause").when(F.col("event_type") == "purchase", "end")
-    return t("events").select((F.col("user_id") % 10).alias("bag"), kind.alias("kind"), (F.col("event_id") * 1.0).alias("t")).where("kind is not null")
+    return t("events").select(F.expr("user_id div 15").alias("bag"), kind.alias("kind"), (F.col("event_id") * 1.0).alias("t")).where("kind is not null")
 
 
 @query("W2_time_repair")
