@@ -152,6 +152,8 @@ def filter_urls(
     threshold = _threshold(ruled.where("held").select((F.col("ruled") == "allow").alias("accepted"), "score"))
     own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     judged = judged.withColumn("verdict", F.coalesce("ruled", own))
-    back = judged.select(F.col("url").alias("key"), "host", "path", "rule", "verdict", "score")
-    out = spread_join(rows.withColumn("__spread", F.xxhash64("id")), back, "key", hot_keys(judged, "url", "m").withColumnRenamed("url", "key"), "__spread")
+    back = judged.withColumnRenamed("url", "key")
+    hot = hot_keys(back, "key", "m")
+    back = back.select("key", "host", "path", "rule", "verdict", "score")
+    out = spread_join(rows.withColumn("__spread", F.xxhash64("id")), back, "key", hot, "__spread")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "host", "path", "rule", "verdict", "score")

@@ -196,6 +196,13 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_without_a_hot_one(spark):
+    n = 1500
+    made = spark.range(n).selectExpr("id as page_id", "concat('http://h', id % 7, case when id % 2 = 0 then '.org/en/' else '.com/de/' end, id) as url")
+    out = urls.filter_urls(made).collect()
+    assert sorted(r.page_id for r in out) == list(range(n)) and {r.verdict for r in out} <= {"allow", "block"}
+
+
 def test_url_model_equals_brute_force(spark):
     """Witten-Bell mixes of all context lengths, mean log ratio and threshold, from plain dictionaries."""
     rng = random.Random(22)
