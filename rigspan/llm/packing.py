@@ -25,6 +25,8 @@ from .common import in_arrow, materialize
 
 END_ID = 1
 CAPACITY = 2048
+#: Pieces that share a hashed part: whole windows of 16-bit ids are 64 MB a part.
+PART_PIECES = 16_000
 
 
 # fixed value: how byte-level BPE files split a text before merging
@@ -219,7 +221,7 @@ def pack(
         f.nullable = True
     pieces = materialize(in_arrow(rows, cut, schema))
     # ranks within a length, without a task per length: hashed parts, and counts of the parts before
-    parts = max(1, pieces.count() // 100_000)
+    parts = max(1, pieces.count() // PART_PIECES)
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
     counted = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

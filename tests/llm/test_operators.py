@@ -629,7 +629,9 @@ def test_pii_equals_brute_force(spark):
 # --- packing and tokens ----------------------------------------------------
 
 
-def test_packing(spark, edge, none):
+@pytest.mark.parametrize("part", [packing.PART_PIECES, 20])
+def test_packing(spark, edge, none, monkeypatch, part):
+    monkeypatch.setattr(packing, "PART_PIECES", part)
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
     rng = random.Random(11)
