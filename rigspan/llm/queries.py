@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, licenses, media, neardup, packing, pii, sharding, token_counts, toxicity, urls, vectors
+from . import common, decontaminate, lexical, licenses, media, neardup, packing, pii, sharding, token_counts, toxicity, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.compress(table(spark, sf_dir, "embeddings"))[0]
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_counts,
         op10_media_columns,
         op11_vector_codes,
+        op12_ranked_search,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vectors.compress_sql()}
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vectors.compress_sql(), "op12_ranked_search": lexical.rank_sql()}
