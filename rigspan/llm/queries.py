@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, lexical, licenses, media, neardup, packing, pii, sharding, token_counts, toxicity, urls, vectors
+from . import common, decontaminate, lexical, licenses, media, neardup, packing, pii, sharding, suffixes, token_counts, toxicity, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), least=400).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_media_columns,
         op11_vector_codes,
         op12_ranked_search,
+        op13_suffix_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vectors.compress_sql(), "op12_ranked_search": lexical.rank_sql()}
