@@ -17,7 +17,7 @@ phrases: if the phrases around the string occur twice, it does; if the phrases
 inside it occur once, it does not. What is left lies at the ends of repeats,
 where some occurrences of the inner phrases differ in the outer ones; there,
 one occurrence for each outer spelling is compared byte for byte (by 128-bit
-digests of the strings).
+digests), first what the strings of neighbouring starts share, then each string.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from .common import drop_table, few_or_shuffled, in_arrow, materialize
 
 #: Bytes of text in a shard, or one longer text.
 SHARD_BYTES = 12 << 20
+#: Neighbouring starts that are compared by what their strings share before each string is.
+TILE = 16
 #: Phrases to which suffixes are compared at most; strings of more phrases are compared byte for byte.
 DEPTH = 24
 PIECE = 1 << 16
@@ -46,8 +48,8 @@ class Spelling:
     """How strings of ``least`` bytes are spelled: grams, windows of grams, and the bytes that a window spans."""
 
     def __init__(self, least: int):
-        if least < 8:
-            raise ValueError("repeated strings have 8 bytes at least")
+        if least < 2 * TILE:
+            raise ValueError(f"repeated strings have {2 * TILE} bytes at least")
         self.least, self.window = least, max(1, 3 * least // 8)
         self.gram = 1 << (min(16, least // 8).bit_length() - 1)
         self.span = self.window + self.gram - 1
@@ -114,7 +116,7 @@ def _mix(lo: np.ndarray, hi: np.ndarray, lo_to: np.ndarray, hi_to: np.ndarray) -
     return a ^ (a >> np.uint64(29)), ((b ^ (b >> np.uint64(31))) >> np.uint64(8)).astype(np.uint32)
 
 
-SHARD = "shard string, digests array<binary>, bases binary, cuts binary, firsts binary, row_of binary, lo binary, hi binary, back binary, need binary, weight binary, copies binary"
+SHARD = "shard string, digests array<binary>, bases binary, cuts binary, firsts binary, row_of binary, lo binary, hi binary, back binary, need binary, weight binary, copies array<bigint>"
 
 
 def _shard(name: str, texts: dict[bytes, list], spelling: Spelling) -> pa.RecordBatch:
@@ -148,7 +150,7 @@ def _shard(name: str, texts: dict[bytes, list], spelling: Spelling) -> pa.Record
     binary = lambda x: pa.array([x.tobytes()], pa.binary())
     columns = [
         pa.array([name]), pa.array([digests], pa.list_(pa.binary())), binary(bases), binary(cuts.astype(np.int32)), binary(firsts.astype(np.int32)), binary(row_of),
-        binary(lo[order]), binary(hi[order]), binary(back), binary(np.minimum(need, DEPTH).astype(np.int8)[order]), binary(weight), binary(copies),
+        binary(lo[order]), binary(hi[order]), binary(back), binary(np.minimum(need, DEPTH).astype(np.int8)[order]), binary(weight), pa.array([copies.tolist()], pa.list_(pa.int64())),
     ]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SHARD.split(", ")])
 
@@ -252,7 +254,7 @@ def _alive(sent: DataFrame) -> DataFrame:
     return materialize(sent.withColumn("total", total).where("total >= 2").drop("n"))
 
 
-SEGMENT = "digest binary, kind int, from int, to int, lo long, hi int, depth int, outer_lo long, outer_hi int, outer_depth int"
+SEGMENT = "digest binary, kind int, from int, to int, anchor int, lo long, hi int, depth int, outer_lo long, outer_hi int, outer_depth int"
 SURE, OPEN, KNOWN = 0, 1, 2
 
 
@@ -265,11 +267,11 @@ def _segments(spelling: Spelling) -> Callable:
     """
 
     def run(shard: pa.Table, alive: pa.Table) -> pa.Table:
-        names, kinds = [c.split()[0] for c in SEGMENT.split(", ")], [pa.binary(), *[pa.int32()] * 3, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        names, kinds = [c.split()[0] for c in SEGMENT.split(", ")], [pa.binary(), *[pa.int32()] * 4, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
         if not shard.num_rows or not alive.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
-        bases, cuts, firsts, row_of, copies = (_array(shard, c, t).astype(np.int64) for c, t in (("bases", np.int64), ("cuts", np.int32), ("firsts", np.int32), ("row_of", np.int32), ("copies", np.int64)))
-        digests = shard.column("digests")[0].as_py()
+        bases, cuts, firsts, row_of = (_array(shard, c, t).astype(np.int64) for c, t in (("bases", np.int64), ("cuts", np.int32), ("firsts", np.int32), ("row_of", np.int32)))
+        digests, single = shard.column("digests")[0].as_py(), np.array(shard.column("copies")[0].as_py()) == 1
         depths = alive.column("depth").to_numpy()
         deepest = int(depths.max())
         # the interval of every suffix at every depth; -1: alone
@@ -300,11 +302,11 @@ def _segments(spelling: Spelling) -> Callable:
         inner_depth = np.minimum(inner_depth, DEPTH)
         a, b = of(inner, inner_depth), of(outer, outer_depth)
         inner_n, outer_n = np.where(a >= 0, total[a], 1), np.where(b >= 0, total[b], 1)
-        # copies within a shard are one text there
-        sure = np.flatnonzero((b >= 0) | (copies[text] > 1))
+        # a text with copies repeats as a whole; it only lends its strings to others
+        sure = np.flatnonzero((b >= 0) & single[text])
         known = np.flatnonzero((b >= 0) & (inner_n > outer_n))
         known = known[np.unique(a[known] * len(total) + b[known], return_index=True)[1]]
-        open_ = np.flatnonzero((a >= 0) & (b < 0) & (copies[text] == 1))
+        open_ = np.flatnonzero((a >= 0) & (b < 0) & single[text])
         out = []
         for kind, at in ((SURE, sure), (OPEN, open_), (KNOWN, known)):
             if kind == SURE and len(at):  # neighbours in one run
@@ -316,7 +318,7 @@ def _segments(spelling: Spelling) -> Callable:
             base, none = bases[text[at]], kind == SURE
             id_of = lambda column, x: pa.array(column[x], mask=np.full(len(x), none))
             out.append(pa.table([
-                pa.array([digests[t] for t in text[at].tolist()], pa.binary()), pa.array(np.full(len(at), kind, np.int32)), pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)),
+                pa.array([digests[t] for t in text[at].tolist()], pa.binary()), pa.array(np.full(len(at), kind, np.int32)), pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array((cuts[inner[at]] - base).astype(np.int32)),
                 id_of(lo, a[at]), id_of(hi, a[at]), pa.array(inner_depth[at].astype(np.int32)),
                 pa.array(lo[b[at]], mask=np.full(len(at), kind != KNOWN)), pa.array(hi[b[at]], mask=np.full(len(at), kind != KNOWN)), pa.array(outer_depth[at].astype(np.int32)),
             ], names))
@@ -325,34 +327,68 @@ def _segments(spelling: Spelling) -> Callable:
     return run
 
 
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*[batch.column(c).to_pylist() for c in batch.schema.names], strict=True)
+
+
+def _digests(view: memoryview, bounds: list[tuple[int, int]]) -> list[pa.Array]:
+    found = [xxhash.xxh3_128_intdigest(view[a:b]) for a, b in bounds]
+    half = lambda shift: np.fromiter(((x >> shift) & 0xFFFFFFFFFFFFFFFF for x in found), np.uint64, len(found)).view(np.int64)
+    return [pa.array(half(0)), pa.array(half(64))]
+
+
+def _tiles_of(one: dict) -> range:
+    """Tiles of ``TILE`` starts each, counted back from the anchor, that hold starts of a range."""
+    return range((one["anchor"] - one["to"]) // TILE, (one["anchor"] - one["from"]) // TILE + 1)
+
+
+def _tiles(least: int) -> Callable:
+    """What all strings that start in a tile have in common, for every tile with an asked start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, text, asked in _asked(batch):
+                tiles = sorted({(a["anchor"], k) for a in asked for k in _tiles_of(a)})
+                bounds = [(at - TILE * k, at - TILE * k - TILE + 1 + least) for at, k in tiles]
+                yield pa.RecordBatch.from_arrays(
+                    [*_digests(memoryview(text), bounds), pa.array([digest] * len(tiles), pa.binary()), pa.array([at for at, _ in tiles], pa.int32()), pa.array([k for _, k in tiles], pa.int32())],
+                    ["low", "high", "digest", "anchor", "tile"],
+                )
+
+    return run
+
+
 def _strings(least: int) -> Callable:
-    """Digests of all strings that start within the asked ranges of each text."""
+    """Digests of all strings with an asked start in a tile that is not alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digest, text, asked in zip(*[batch.column(c).to_pylist() for c in ("digest", "text", "asked")], strict=True):
-                view = memoryview(text)
-                starts = [(p, a["open"]) for a in asked for p in range(a["from"], a["to"] + 1)]
-                found = [xxhash.xxh3_128_intdigest(view[p : p + least]) for p, _ in starts]
-                low = np.fromiter((x & 0xFFFFFFFFFFFFFFFF for x in found), np.uint64, len(found)).view(np.int64)
-                high = np.fromiter((x >> 64 for x in found), np.uint64, len(found)).view(np.int64)
+            for digest, text, asked, tiles in _asked(batch):
+                kept = {(t["anchor"], t["tile"]) for t in tiles}
+                starts = [
+                    (p, a["open"])
+                    for a in asked
+                    for k in _tiles_of(a)
+                    if (a["anchor"], k) in kept
+                    for p in range(max(a["from"], a["anchor"] - TILE * k - TILE + 1), min(a["to"], a["anchor"] - TILE * k) + 1)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(low), pa.array(high), pa.array([digest] * len(starts), pa.binary()), pa.array([p for p, _ in starts], pa.int32()), pa.array([o for _, o in starts], pa.bool_())],
+                    [*_digests(memoryview(text), [(p, p + least) for p, _ in starts]), pa.array([digest] * len(starts), pa.binary()), pa.array([p for p, _ in starts], pa.int32()), pa.array([o for _, o in starts], pa.bool_())],
                     ["low", "high", "digest", "at", "open"],
                 )
 
     return run
 
 
-def removed_spans(starts: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by strings of ``least`` bytes that start in the ranges (first, last)."""
+def removed_spans(starts: list[tuple[int, int]], least: int, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes covered by strings of ``least`` bytes that start in the ranges (first, last) of a text of ``size`` bytes."""
     out: list[list[int]] = []
     for a, b in sorted(starts):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b + least)
         else:
             out.append([a, b + least])
-    return [(a, b) for a, b in out]
+    return [(a, min(b, size)) for a, b in out]
 
 
 def _cut(least: int) -> Callable:
@@ -360,7 +396,7 @@ def _cut(least: int) -> Callable:
         for batch in batches:
             rows = []
             for digest, text, ranges in zip(*[batch.column(c).to_pylist() for c in ("digest", "text", "ranges")], strict=True):
-                spans = removed_spans([(r["from"], r["to"]) for r in ranges], least)
+                spans = removed_spans([(r["from"], r["to"]) for r in ranges], least, len(text))
                 kept, at = hashlib.sha256(), 0
                 for a, b in spans:
                     kept.update(memoryview(text)[at:a])
@@ -411,21 +447,32 @@ def repeated_starts(docs: DataFrame, least: int) -> DataFrame | None:
         return None
     laid = shards.select("shard", "digests", "bases", "cuts", "firsts", "row_of", "copies")
     segments = materialize(laid.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_segments(spelling), SEGMENT))
+    texts = shards.select(F.explode(F.arrays_zip("digests", "copies")).alias("x")).groupBy(F.col("x.digests").alias("digest")).agg(F.sum("x.copies").alias("n"))
+    copied = materialize(texts.where("n > 1").select("digest"))
     drop_table(shards)
-    inner = ["lo", "hi", "depth"]
+    inner, asks = ["lo", "hi", "depth"], ["digest", "from", "to", "anchor"]
+    open_ = segments.where(F.col("kind") == OPEN).join(copied, "digest", "left_anti")
     # without an open string among those of its inner phrases, a known one has nothing to be compared with
-    open_ = segments.where(F.col("kind") == OPEN)
-    known = segments.where(F.col("kind") == KNOWN).groupBy(*inner, "outer_lo", "outer_hi", "outer_depth").agg(F.min(F.struct("digest", "from", "to")).alias("x"))
+    known = segments.where(F.col("kind") == KNOWN).groupBy(*inner, "outer_lo", "outer_hi", "outer_depth").agg(F.min(F.struct(*asks)).alias("x"))
     known = known.join(open_.select(*inner).distinct(), inner, "left_semi").select("x.*", F.lit(False).alias("open"))
-    # a text of several shards is one occurrence; its copies made it sure
-    asked = materialize(open_.select("digest", "from", "to", F.lit(True).alias("open")).unionByName(known))
-    per_text = asked.groupBy("digest").agg(F.collect_list(F.struct("from", "to", "open")).alias("asked"))
-    texts = _texts(docs, asked.select("digest").distinct())
-    strings = materialize(in_arrow(texts.join(per_text, "digest"), _strings(least), "low long, high long, digest binary, at int, open boolean"))
-    again = strings.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1")
-    met = strings.where("open").join(again, ["low", "high"], "left_semi").select("digest", F.col("at").alias("from"), F.col("at").alias("to"))
-    sure = segments.where(F.col("kind") == SURE).select("digest", "from", "to")
-    return sure.unionByName(met).groupBy("digest").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
+    asked = open_.select(*asks, F.lit(True).alias("open")).unionByName(known).groupBy("digest").agg(F.collect_list(F.struct("from", "to", "anchor", "open")).alias("asked"))
+    asked = materialize(asked)
+    texts = materialize(_texts(docs, asked.select("digest")).join(asked, "digest"))
+    tiles = in_arrow(texts, _tiles(least), "low long, high long, digest binary, anchor int, tile int")
+    met = tiles.join(_repeated(tiles), ["low", "high"], "left_semi").groupBy("digest").agg(F.collect_list(F.struct("anchor", "tile")).alias("tiles"))
+    strings = in_arrow(texts.join(met, "digest"), _strings(least), "low long, high long, digest binary, at int, open boolean")
+    strings = materialize(strings)
+    met = strings.where("open").join(_repeated(strings), ["low", "high"], "left_semi").select("digest", F.col("at").alias("from"), F.col("at").alias("to"))
+    sure = segments.where(F.col("kind") == SURE).select("digest", "from", "to").unionByName(met).join(copied, "digest", "left_anti")
+    whole = copied.select("digest", F.lit(0).alias("from"), F.lit(1 << 30).alias("to"))
+    ranges = materialize(sure.unionByName(whole).groupBy("digest").agg(F.collect_set(F.struct("from", "to")).alias("ranges")))
+    drop_table(asked, texts, strings, segments, copied)
+    return ranges
+
+
+def _repeated(strings: DataFrame) -> DataFrame:
+    """Digests that two strings share; copies are counted before they are shuffled."""
+    return strings.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").drop("n")
 
 
 def remove_repeats(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -449,7 +496,6 @@ def remove_repeats(docs: DataFrame, least: int = 400, id_col: str = "doc_id", te
     if ranges is None:
         out = whole.withColumns({"spans": F.array().cast(spans), "n_removed": F.lit(0).cast("long"), "kept_sha256": F.col("whole")})
     else:
-        ranges = materialize(ranges)
         cut = materialize(in_arrow(_texts(long_, ranges.select("digest")).join(ranges, "digest"), _cut(least), f"digest binary, spans {spans}, n_removed long, kept_sha256 string"))
         out = whole.join(cut, "digest", "left").withColumns({
             "spans": F.coalesce("spans", F.array().cast(spans)), "n_removed": F.coalesce("n_removed", F.lit(0).cast("long")), "kept_sha256": F.coalesce("kept_sha256", "whole"),

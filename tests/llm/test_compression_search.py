@@ -182,10 +182,12 @@ def test_suffix_dedup_against_brute_force(spark, seed):
 
 def test_suffix_dedup_edge_cases(spark, edge, none):
     docs = [(r[0], r[1]) for r in EDGE]
-    assert _kept(edge, 8) == _removed(docs, 8)
+    assert _kept(edge, 32) == _removed(docs, 32)
     assert suffixes.remove_repeats(none).count() == 0
-    spans = {r.doc_id: [(s["from"], s["to"]) for s in r.spans] for r in suffixes.remove_repeats(edge, 8).collect()}
-    assert spans[4] == [] and spans[6] == [(0, 8)]
+    spans = {r.doc_id: [(s["from"], s["to"]) for s in r.spans] for r in suffixes.remove_repeats(edge, 32).collect()}
+    assert spans[4] == [] and spans[5] == [(0, 54000)]
+    with pytest.raises(ValueError, match="32 bytes"):
+        suffixes.remove_repeats(edge, 8)
 
 
 def test_query_removes_what_repeats(spark):
