@@ -39,7 +39,9 @@ SHARD_BYTES = 12 << 20
 #: Neighbouring starts that are compared by what their strings share before each string is.
 TILE = 16
 #: Phrases to which suffixes are compared at most; strings of more phrases are compared byte for byte.
-DEPTH = 24
+DEPTH = 16
+#: Steps after which the transforms are cut down to what still repeats.
+NARROW = (5, 9, 12)
 PIECE = 1 << 16
 _BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -50,7 +52,7 @@ class Spelling:
     def __init__(self, least: int):
         if least < 2 * TILE:
             raise ValueError(f"repeated strings have {2 * TILE} bytes at least")
-        self.least, self.window = least, max(1, 3 * least // 8)
+        self.least, self.window = least, 3 * least // 10
         self.gram = 1 << (min(16, least // 8).bit_length() - 1)
         self.span = self.window + self.gram - 1
 
@@ -146,7 +148,7 @@ def _shard(name: str, texts: dict[bytes, list], spelling: Spelling) -> pa.Record
     end_of = np.repeat(ends, np.diff(ends, prepend=-1))
     need = np.minimum(np.searchsorted(cuts, after - 1 + spelling.least), end_of) - np.arange(len(cuts))
     copies = np.array([texts[d][1] for d in digests], np.int64)
-    weight = np.repeat(copies, np.diff(ends, prepend=-1))[order]
+    weight = np.repeat(copies, np.diff(ends, prepend=-1))[order].astype(np.int32)
     binary = lambda x: pa.array([x.tobytes()], pa.binary())
     columns = [
         pa.array([name]), pa.array([digests], pa.list_(pa.binary())), binary(bases), binary(cuts.astype(np.int32)), binary(firsts.astype(np.int32)), binary(row_of),
@@ -182,7 +184,7 @@ def _runs(lo: np.ndarray, hi: np.ndarray, rows: np.ndarray, weight: np.ndarray,
     new = np.ones(len(rows), bool)
     new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
     at = np.flatnonzero(new)
-    n = np.add.reduceat(weight, at) if len(at) else np.zeros(0, np.int64)
+    n = np.add.reduceat(weight, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
     many = np.diff(np.append(at, len(rows)))
     return {
         "lo": pa.array(lo[at].view(np.int64)), "hi": pa.array(hi[at].view(np.int32)), "shard": pa.array([shard] * len(at), pa.string()),
@@ -199,7 +201,7 @@ def _first_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             one = batch.slice(k, 1)
-            lo, hi, need, weight = (_array(one, c, t) for c, t in (("lo", np.uint64), ("hi", np.uint32), ("need", np.int8), ("weight", np.int64)))
+            lo, hi, need, weight = (_array(one, c, t) for c, t in (("lo", np.uint64), ("hi", np.uint32), ("need", np.int8), ("weight", np.int32)))
             rows = np.flatnonzero(need > 0)
             yield pa.RecordBatch.from_pydict(_runs(lo[rows], hi[rows], rows, weight[rows], one.column("shard")[0].as_py()))
 
@@ -220,7 +222,7 @@ def _pruned(shard: pa.Table, alive: pa.Table) -> pa.Table:
     if not shard.num_rows or not alive.num_rows:
         return pa.table({c.split()[0]: pa.array([], pa.string() if c.startswith("shard") else pa.binary()) for c in BACK.split(", ")})
     rows, _ = _members(alive)
-    lo, hi, back, need, weight = (_array(shard, c, t) for c, t in (("lo", np.uint64), ("hi", np.uint32), ("back", np.int32), ("need", np.int8), ("weight", np.int64)))
+    lo, hi, back, need, weight = (_array(shard, c, t) for c, t in (("lo", np.uint64), ("hi", np.uint32), ("back", np.int32), ("need", np.int8), ("weight", np.int32)))
     repeats = np.zeros(len(lo) + 1, bool)
     repeats[rows] = True  # the last place stands for no row before
     rows = rows[repeats[back[rows]]]
@@ -229,13 +231,27 @@ def _pruned(shard: pa.Table, alive: pa.Table) -> pa.Table:
     return pa.table([shard.column("shard"), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], [c.split()[0] for c in BACK.split(", ")])
 
 
+def _narrowed(depth: int) -> Callable:
+    """The part of a transform whose suffixes still repeat after ``depth`` phrases, before phrases that go on."""
+
+    def run(shard: pa.Table, alive: pa.Table) -> pa.Table:
+        if not shard.num_rows or not alive.num_rows:
+            return shard.slice(0, 0)
+        row, need = _array(shard, "row", np.int32), _array(shard, "need", np.int8)
+        kept = np.isin(row, _members(alive)[0]) & (need > depth)
+        kinds = {"row": np.int32, "back": np.int32, "lo": np.uint64, "hi": np.uint32, "need": np.int8, "weight": np.int32}
+        return pa.table([shard.column("shard"), *[pa.array([_array(shard, c, t)[kept].tobytes()], pa.binary()) for c, t in kinds.items()]], shard.column_names)
+
+    return run
+
+
 def _next_step(depth: int) -> Callable:
     """Split every bucket by the phrase before its suffixes."""
 
     def run(shard: pa.Table, alive: pa.Table) -> pa.Table:
         if not shard.num_rows or not alive.num_rows:
-            return pa.table(_runs(*[np.zeros(0, t) for t in (np.uint64, np.uint32, np.int64, np.int64)], ""))
-        row, back, lo, hi, need, weight = (_array(shard, c, t) for c, t in (("row", np.int32), ("back", np.int32), ("lo", np.uint64), ("hi", np.uint32), ("need", np.int8), ("weight", np.int64)))
+            return pa.table(_runs(*[np.zeros(0, t) for t in (np.uint64, np.uint32, np.int64, np.int32)], ""))
+        row, back, lo, hi, need, weight = (_array(shard, c, t) for c, t in (("row", np.int32), ("back", np.int32), ("lo", np.uint64), ("hi", np.uint32), ("need", np.int8), ("weight", np.int32)))
         rows, bucket = _members(alive)
         place = np.minimum(np.searchsorted(row, rows), max(0, len(row) - 1))
         kept = (row[place] == rows) & (need[place] >= depth) if len(row) else np.zeros(len(rows), bool)
@@ -290,8 +306,11 @@ def _segments(spelling: Spelling) -> Callable:
         last = np.append(bases[1:] - 1, cuts[-1]) - spelling.least  # the last start of every text
         ahead = spelling.least - spelling.span
         text = np.searchsorted(bases, first, side="right") - 1
-        starts = np.concatenate([cuts, first, first - ahead])
-        text = np.concatenate([np.searchsorted(bases, cuts, side="right") - 1, text, text])
+        own = np.searchsorted(bases, cuts, side="right") - 1
+        # within a segment all strings have the same first and last phrases, whole and torn, so that
+        # every occurrence of the outer ones is cut into the same segments
+        starts = np.concatenate([cuts, cuts - spelling.least + 1, first, first - ahead])
+        text = np.concatenate([own, own, text, text])
         starts = np.unique(starts[(starts >= bases[text]) & (starts <= last[text])])
         text = np.searchsorted(bases, starts, side="right") - 1
         stops = np.minimum(np.append(starts[1:], cuts[-1]) - 1, last[text])
@@ -306,7 +325,7 @@ def _segments(spelling: Spelling) -> Callable:
         sure = np.flatnonzero((b >= 0) & single[text])
         known = np.flatnonzero((b >= 0) & (inner_n > outer_n))
         known = known[np.unique(a[known] * len(total) + b[known], return_index=True)[1]]
-        open_ = np.flatnonzero((a >= 0) & (b < 0) & single[text])
+        open_ = np.flatnonzero((a >= 0) & (b < 0))
         out = []
         for kind, at in ((SURE, sure), (OPEN, open_), (KNOWN, known)):
             if kind == SURE and len(at):  # neighbours in one run
@@ -433,6 +452,9 @@ def repeated_intervals(docs: DataFrame, spelling: Spelling) -> tuple[DataFrame,
         found = kept if found is None else found.unionByName(kept)
         if depth == DEPTH:
             break
+        if depth in NARROW:
+            wide, back = back, materialize(back.groupBy("shard").cogroup(alive.groupBy("shard")).applyInArrow(_narrowed(depth), BACK))
+            drop_table(wide)
         depth += 1
         alive = _alive(back.groupBy("shard").cogroup(alive.groupBy("shard")).applyInArrow(_next_step(depth), INTERVAL))
     drop_table(back)
@@ -451,22 +473,23 @@ def repeated_starts(docs: DataFrame, least: int) -> DataFrame | None:
     copied = materialize(texts.where("n > 1").select("digest"))
     drop_table(shards)
     inner, asks = ["lo", "hi", "depth"], ["digest", "from", "to", "anchor"]
-    open_ = segments.where(F.col("kind") == OPEN).join(copied, "digest", "left_anti")
+    # a text with copies repeats as a whole, but the strings that no interval covers it lends to others
+    open_ = segments.where(F.col("kind") == OPEN).join(copied.withColumn("copy", F.lit(True)), "digest", "left").withColumn("open", F.col("copy").isNull())
     # without an open string among those of its inner phrases, a known one has nothing to be compared with
     known = segments.where(F.col("kind") == KNOWN).groupBy(*inner, "outer_lo", "outer_hi", "outer_depth").agg(F.min(F.struct(*asks)).alias("x"))
-    known = known.join(open_.select(*inner).distinct(), inner, "left_semi").select("x.*", F.lit(False).alias("open"))
-    asked = open_.select(*asks, F.lit(True).alias("open")).unionByName(known).groupBy("digest").agg(F.collect_list(F.struct("from", "to", "anchor", "open")).alias("asked"))
+    known = known.join(open_.where("open").select(*inner).distinct(), inner, "left_semi").select("x.*", F.lit(False).alias("open"))
+    asked = open_.select(*asks, "open").unionByName(known).groupBy("digest").agg(F.collect_list(F.struct("from", "to", "anchor", "open")).alias("asked"))
     asked = materialize(asked)
-    texts = materialize(_texts(docs, asked.select("digest")).join(asked, "digest"))
-    tiles = in_arrow(texts, _tiles(least), "low long, high long, digest binary, anchor int, tile int")
+    tiles = materialize(in_arrow(_texts(docs, asked.select("digest")).join(asked, "digest"), _tiles(least), "low long, high long, digest binary, anchor int, tile int"))
     met = tiles.join(_repeated(tiles), ["low", "high"], "left_semi").groupBy("digest").agg(F.collect_list(F.struct("anchor", "tile")).alias("tiles"))
-    strings = in_arrow(texts.join(met, "digest"), _strings(least), "low long, high long, digest binary, at int, open boolean")
-    strings = materialize(strings)
+    left = materialize(asked.join(met, "digest"))
+    drop_table(tiles, asked)
+    strings = materialize(in_arrow(_texts(docs, left.select("digest")).join(left, "digest"), _strings(least), "low long, high long, digest binary, at int, open boolean"))
     met = strings.where("open").join(_repeated(strings), ["low", "high"], "left_semi").select("digest", F.col("at").alias("from"), F.col("at").alias("to"))
     sure = segments.where(F.col("kind") == SURE).select("digest", "from", "to").unionByName(met).join(copied, "digest", "left_anti")
     whole = copied.select("digest", F.lit(0).alias("from"), F.lit(1 << 30).alias("to"))
     ranges = materialize(sure.unionByName(whole).groupBy("digest").agg(F.collect_set(F.struct("from", "to")).alias("ranges")))
-    drop_table(asked, texts, strings, segments, copied)
+    drop_table(left, strings, segments, copied)
     return ranges
 
 
