@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 # fixed values: names of the simulator's parts
 LEFT = "vx300s_left/10_left_gripper_finger"
 RIGHT = "vx300s_right/10_right_gripper_finger"
@@ -97,17 +100,29 @@ def boxes_of_masks(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("mask_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
 
 
-def rolling(metrics: DataFrame, by: list[str], order: list[str], value: str, size: int = 20) -> DataFrame:
-    """Median (the lower middle), mean, maximum and latest of the last ``size`` values, and the mean of all so far."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    near, far = w.rowsBetween(-(size - 1), 0), w.rowsBetween(Window.unboundedPreceding, 0)
-    window = F.array_sort(F.collect_list(value).over(near))
-    return metrics.withColumns({
-        "median": F.element_at(window, F.ceil(F.size(window) / 2).cast("int")),
-        "mean": F.avg(value).over(near),
-        "highest": F.max(value).over(near),
-        "overall": F.avg(value).over(far),
-    })
+def rolling(metrics: DataFrame, by: list[str], order: list[str], value: str, size: int = 20, weight: str | None = None, width: int = 1 << 20) -> DataFrame:
+    """Median (the lower middle), mean, maximum and latest of the last ``size`` values, and the mean of all so far, weighted by ``weight``.
+
+    A group is scanned in blocks of ``width`` of its first order column.
+    """
+    n = F.lit(1) if weight is None else F.col(weight)
+    rows = scan.running_sums(metrics, by, order, width, {"__total": F.col(value) * n, "__n": n})
+    rows = scan.last_rows(rows, by, order, width, value, size, "__near")
+    near = F.array_sort("__near")
+    return rows.withColumns({
+        "median": F.element_at(near, F.ceil(F.size(near) / 2).cast("int")),
+        "mean": F.aggregate("__near", F.lit(0.0), lambda a, x: a + x) / F.size("__near"),
+        "highest": F.array_max("__near"),
+        "latest": F.col(value),
+        "overall": F.try_divide("__total", "__n"),
+    }).drop("__near", "__total", "__n")
+
+
+def eta(rows: DataFrame, by: str, order: str, value: str, width: int = 1 << 20) -> DataFrame:
+    """``rows`` with eta: the mean of ``value`` so far times the rows still to come."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("__all"))
+    run = scan.running_sums(rows, [by], [order], width, {"__total": F.col(value), "__n": F.lit(1)})
+    return run.join(counts, by).withColumn("eta", F.col("__total") / F.col("__n") * (F.col("__all") - F.col("__n"))).drop("__total", "__n", "__all")
 
 
 def best_so_far(losses: DataFrame, value: str) -> DataFrame:
@@ -125,15 +140,50 @@ def snapshots(losses: DataFrame, value: str, every: int) -> DataFrame:
     return losses.withColumns({"best_epoch": best, "last": last}).where((F.col("epoch") % every == 0) | (F.col("epoch") == F.col("last"))).drop("last")
 
 
-def smoothed(rows: DataFrame, com: float) -> DataFrame:
-    """Gaps of ``rows(run, epoch, value)`` filled linearly (leading ones kept), then the weighted mean with decay com / (1 + com)."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("epoch")
-        value = pdf["value"].reset_index(drop=True).interpolate().ewm(com=com).mean()
-        return pd.DataFrame({"run": pdf["run"].to_numpy(), "epoch": pdf["epoch"].to_numpy(), "smooth": value.to_numpy()})
-
-    return rows.groupBy("run").applyInPandas(fold, "run long, epoch long, smooth double")
+def interpolated(rows: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """``rows(run, epoch, value)`` with gaps filled linearly by position; leading ones stay null, trailing ones keep the last value."""
+    placed = scan.running_sums(rows, ["run"], ["epoch"], width, {"at": F.lit(1)})
+    known = F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.struct("at", "value"))
+    near = scan.around(placed, ["run"], ["epoch"], width, known, "b", "a")
+    apart = F.col("a.at") - F.col("b.at")
+    mix = F.col("b.value") + (F.col("a.value") - F.col("b.value")) * (F.col("at") - F.col("b.at")) / apart
+    return near.select("run", "epoch", F.when(F.col("a").isNull() | (apart == 0), F.col("b.value")).otherwise(mix).alias("value"))
+
+
+def smoothed(rows: DataFrame, com: float, width: int = 1 << 20) -> DataFrame:
+    """Gaps of ``rows(run, epoch, value)`` filled linearly (leading ones kept), then the weighted mean with decay com / (1 + com).
+
+    Numerator and denominator decay alike: a block adds its own and shrinks
+    what it was entered with by the power of its length.
+    """
+    keep = com / (1 + com)
+
+    def sums(values: np.ndarray, top: float, bottom: float) -> tuple[list[float], list[float]]:
+        tops, bottoms = [], []
+        for v in values.tolist():
+            if bottom or v == v:  # leading gaps weigh nothing
+                top, bottom = (top * keep + v, bottom * keep + 1.0)
+            tops.append(top), bottoms.append(bottom)
+        return tops, bottoms
+
+    def summarise(pdf: pd.DataFrame) -> list:
+        tops, bottoms = sums(pdf["value"].to_numpy(float), 0.0, 0.0)
+        return [tops[-1], bottoms[-1], len(tops)]
+
+    def enter(blocks: list[tuple]) -> list:
+        out, top, bottom = [], 0.0, 0.0
+        for t, b, n in blocks:
+            out.append((top, bottom))
+            top, bottom = top * keep**n + t, bottom * keep**n + b
+        return out
+
+    def fold(pdf: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
+        tops, bottoms = sums(pdf["value"].to_numpy(float), *(state or (0.0, 0.0)))
+        smooth = [t / b if b else None for t, b in zip(tops, bottoms, strict=True)]
+        return pd.DataFrame({"run": pdf["run"], "epoch": pdf["epoch"], "smooth": pd.array(smooth, "Float64")})
+
+    state = "top double, bottom double"
+    return scan.composed(interpolated(rows, width), ["run"], ["epoch"], width, summarise, f"{state}, n long", enter, state, fold, "run long, epoch long, smooth double")
 
 
 def frame_rate(latency: DataFrame, frames: int = 30) -> DataFrame:

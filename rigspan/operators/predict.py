@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def spread(predictions: DataFrame) -> DataFrame:
     """Long form with the step each prediction is for: rollout, query_t, offset_, target_t, dim, value."""
@@ -73,16 +76,54 @@ def limited(times: list[int], probs: list[float], least_us: int, close: float, o
     return out, (closed, last)
 
 
-def limited_hysteresis(rows: DataFrame, least_us: int = 500_000, close: float = 0.7, open_: float = 0.3) -> DataFrame:
-    """robot, seq, closed, published of ``rows(robot, seq, t_us, x)``."""
+def limited_hysteresis(rows: DataFrame, least_us: int = 500_000, close: float = 0.7, open_: float = 0.3, width: int = 1 << 34) -> DataFrame:
+    """robot, seq, closed, published of ``rows(robot, seq, t_us, x)``; a robot is folded in blocks of ``width`` microseconds.
+
+    What happens behind a publish depends on its row and new state alone, so a
+    block's rows form chains of publishes: from whatever state it is entered,
+    the first row that may publish joins one of them. A block tells, for open
+    and closed, which rows those are and how their chain leaves it.
+    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_us", "seq"])
-        done, _ = limited(pdf["t_us"].tolist(), pdf["p"].tolist(), least_us, close, open_)
+    def wanted(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+        t, p = pdf["t_us"].to_numpy(np.int64), pdf["p"].to_numpy(float)
+        return t, [np.flatnonzero(p > close), np.flatnonzero(p < open_)]  # rows that would change open, closed
+
+    def summarise(pdf: pd.DataFrame) -> list:
+        t, rows_ = wanted(pdf)
+        times = [t[r] for r in rows_]
+        # the chain behind a publish at row i: where it ends, from the last row backwards
+        exits: list[dict[int, tuple[int, int]]] = [{}, {}]
+        for i, was in sorted([(int(i), c) for c in (0, 1) for i in rows_[c]], reverse=True):
+            now = 1 - was
+            j = int(np.searchsorted(times[now], t[i] + least_us, side="right"))
+            exits[was][i] = exits[now][int(rows_[now][j])] if j < len(times[now]) else (now, int(t[i]))
+        near = t[0] + least_us
+        out: list = [int(t[0])]
+        for c in (0, 1):
+            upto = int(np.searchsorted(times[c], near, side="right")) + 1  # the first row behind that serves every earlier publish
+            head = rows_[c][:upto].tolist()
+            out += [t[head].tolist(), [exits[c][i][0] for i in head], [exits[c][i][1] for i in head]]
+        return out
+
+    def enter(blocks: list[tuple]) -> list:
+        out, state = [], None
+        for first, *tables in blocks:
+            out.append((None, None) if state is None else (bool(state[0]), state[1]))
+            closed, last = state or (0, first)
+            times, to, at = tables[3 * closed : 3 * closed + 3]
+            k = int(np.searchsorted(np.asarray(times, np.int64), last + least_us, side="right"))
+            state = (int(to[k]), int(at[k])) if k < len(times) else (closed, last)
+        return out
+
+    def fold(pdf: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
+        done, _ = limited(pdf["t_us"].tolist(), pdf["p"].tolist(), least_us, close, open_, None if state is None else (bool(state[0]), int(state[1])))
         return pd.DataFrame({"robot": pdf["robot"], "seq": pdf["seq"], "closed": [c for c, _ in done], "published": [p for _, p in done]})
 
     probs = rows.select("robot", "seq", "t_us", (1 / (1 + F.exp(-F.col("x")))).alias("p"))
-    return probs.groupBy("robot").applyInPandas(fold, "robot long, seq long, closed boolean, published boolean")
+    table = lambda c: f"t{c} array<long>, to{c} array<int>, at{c} array<long>"
+    summary = f"first_us long, {table(0)}, {table(1)}"
+    return scan.composed(probs, ["robot"], ["t_us", "seq"], width, summarise, summary, enter, "was boolean, last_us long", fold, "robot long, seq long, closed boolean, published boolean")
 
 
 def edges(rows: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 START, STOP, CANCEL, CANCEL_LAST = 1, 2, 3, 4
 
 
@@ -108,25 +107,28 @@ def repair_times(times: DataFrame, tick: float = 1 / 30) -> DataFrame:
     return times.groupBy("bag").applyInPandas(fold, "bag long, episode_id long, start double, pause double, stop double")
 
 
-def hold(ticks: list[float], closes: list[float], opens: list[float]) -> Iterator[int]:
-    """Hand state per tick: 0 open, 1 closed. Each state waits for the next event that ends it.
+def hold_state(rows: DataFrame, width: int = 1 << 34) -> DataFrame:
+    """Hand state on the grid of ``rows(episode_id, kind, t_us)`` with kind tick, close or open: episode_id, t_us, hand.
 
-    An event counts at the first tick after it at which its turn has come, one
-    a tick; stale ones are thus used late.
+    Close and open events take turns. Turn j needs the first tick behind its
+    event and comes one tick after turn j - 1 at the earliest, so it comes at
+    tick j + max(f(m) - m) over the turns m up to j, with f(m) the ticks not
+    behind event m. All counts run over blocks of ``width`` microseconds, so an
+    episode spans tasks.
     """
-    waiting, state = (deque(closes), deque(opens)), 0
-    for t in ticks:
-        if waiting[state] and waiting[state][0] < t:
-            waiting[state].popleft()
-            state = 1 - state
-        yield state
-
-
-def hold_state(rows: DataFrame) -> DataFrame:
-    """Hand state on the grid of ``rows(episode_id, kind, t)`` with kind tick, close or open."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ticks, closes, opens = (sorted(pdf.loc[pdf["kind"] == k, "t"]) for k in ("tick", "close", "open"))
-        return pd.DataFrame({"episode_id": pdf["episode_id"].iloc[0], "t": ticks, "hand": list(hold(ticks, closes, opens))})
-
-    return rows.groupBy("episode_id").applyInPandas(fold, "episode_id long, t double, hand int")
+    key = ["episode_id"]
+    at = F.when(F.col("kind") == "tick", 0).when(F.col("kind") == "close", 1).otherwise(2)
+    is_ = lambda k: (F.col("kind") == k).cast("long")
+    # a tick at an event's time is not behind it, so it is counted before it
+    rows = scan.running_sums(rows.withColumn("__kind", at), key, ["t_us", "__kind"], width, {k: is_(k) for k in ("tick", "close", "open")})
+    total = rows.groupBy(*key).agg(F.max("close").alias("__closes"), F.max("open").alias("__opens"))
+    # turns go on until the list whose turn it is has run out
+    turns = F.when(F.col("__closes") > F.col("__opens"), 2 * F.col("__opens") + 1).otherwise(2 * F.col("__closes"))
+    j = F.when(F.col("kind") == "close", 2 * F.col("close") - 2).otherwise(2 * F.col("open") - 1)
+    events = rows.where("kind <> 'tick'").withColumn("j", j).join(total.select(*key, turns.alias("__turns")), key).where(F.col("j") < F.col("__turns"))
+    late = scan.running_max(events, key, "j", 1 << 16, F.col("tick") - F.col("j"), "__late")
+    comes = late.select(*key, (F.col("j") + F.col("__late") + 1).alias("tick"), F.lit(1).cast("long").alias("turn"), F.lit(None).cast("long").alias("t_us"))
+    ticks = rows.where("kind = 'tick'").select(*key, "tick", F.lit(0).cast("long").alias("turn"), "t_us")
+    both = comes.unionByName(ticks).withColumn("__is", 1 - F.col("turn"))
+    state = scan.running_sums(both, key, ["tick", "__is"], 1 << 16, {"n": F.col("turn")})
+    return state.where("t_us is not null").select(*key, "t_us", (F.col("n") % 2).cast("int").alias("hand"))

@@ -87,9 +87,15 @@ def hysteresis(t):
     return predict.hysteresis(t("logits"), close=0.55).select("robot", "seq", "closed")
 
 
-@query("W20_hysteresis_limited")
+LIMITED = """rw as materialized (select robot, seq, t_us, 1 / (1 + exp(-x)) as p, row_number() over (partition by robot order by t_us, seq) as n from logits),
+st as (select robot, n, false as closed, t_us as last, false as published from rw where n = 1
+  union all select robot, n, case when go then not closed else closed end, case when go then t_us else last end, go from
+    (select rw.*, st.closed, st.last, (case when st.closed then p < 0.3 else p > 0.55 end) and rw.t_us - st.last > 3600000000 as go from st join rw on rw.robot = st.robot and rw.n = st.n + 1))"""
+
+
+@query("W20_hysteresis_limited", "select rw.robot, rw.seq, st.closed, st.published from st join rw on rw.robot = st.robot and rw.n = st.n", "logits", also=LIMITED)
 def hysteresis_limited(t):
-    return predict.limited_hysteresis(t("logits"), least_us=3_600_000_000, close=0.55)
+    return predict.limited_hysteresis(t("logits"), least_us=3_600_000_000, close=0.55, width=24 * 3_600_000_000)
 
 
 @query(
@@ -187,26 +193,27 @@ def latency(t):
 
 @query(
     "W21_rolling_meter",
-    """select run, seq, round(list_sort(l)[(len(l) + 1) // 2], 4) as median, round(m, 4) as mean, round(h, 4) as highest from
-       (select run, seq, list(value) over w as l, avg(value) over w as m, max(value) over w as h from metrics window w as (partition by run order by seq rows between 19 preceding and current row))""",
+    """select run, seq, round(list_sort(l)[(len(l) + 1) // 2], 4) as median, round(m + 1e-6, 3) as mean, round(h, 4) as highest, value as latest, round(o + 1e-6, 3) as overall from
+       (select run, seq, value, list(value) over w as l, avg(value) over w as m, max(value) over w as h, sum(value * (rank + 1)) over v / sum(rank + 1) over v as o from metrics
+        window w as (partition by run order by seq rows between 19 preceding and current row), v as (partition by run order by seq rows unbounded preceding))""",
     "metrics",
 )
 def rolling_meter(t):
-    rows = evaluate.rolling(t("metrics"), ["run"], ["seq"], "value")
-    return rows.select("run", "seq", *[F.round(c, 4).alias(c) for c in ("median", "mean", "highest")])
+    rows = evaluate.rolling(t("metrics").withColumn("n", F.col("rank") + 1), ["run"], ["seq"], "value", weight="n", width=10_000)
+    # a nudge off the halves, which engines that add in another order round either way
+    near = [F.round(F.col(c) + 1e-6, 3).alias(c) for c in ("mean", "overall")]
+    return rows.select("run", "seq", F.round("median", 4).alias("median"), F.round("highest", 4).alias("highest"), "latest", *near)
 
 
-@query("W22_named_meters", "select run, phase, seq, round(avg(value) over (partition by run, phase order by seq rows unbounded preceding), 4) as overall from metrics", "metrics")
+@query("W22_named_meters", "select run, phase, seq, round(avg(value) over (partition by run, phase order by seq rows unbounded preceding) + 1e-6, 3) as overall from metrics", "metrics")
 def named_meters(t):
-    rows = evaluate.rolling(t("metrics"), ["run", "phase"], ["seq"], "value")
-    return rows.select("run", "phase", "seq", F.round("overall", 4).alias("overall"))
+    rows = evaluate.rolling(t("metrics"), ["run", "phase"], ["seq"], "value", width=10_000)
+    return rows.select("run", "phase", "seq", F.round(F.col("overall") + 1e-6, 3).alias("overall"))
 
 
 @query("W23_eta", "select robot, seq, round(avg(sec) over w * (count(*) over (partition by robot) - row_number() over w) + 1e-9, 6) as eta from latency window w as (partition by robot order by seq)", "latency")
 def eta(t):
-    w = Window.partitionBy("robot").orderBy("seq")
-    left = F.count("*").over(Window.partitionBy("robot")) - F.row_number().over(w)
-    return t("latency").select("robot", "seq", F.round(F.avg("sec").over(w) * left + 1e-9, 6).alias("eta"))
+    return evaluate.eta(t("latency"), "robot", "seq", "sec", width=1000).select("robot", "seq", F.round(F.col("eta") + 1e-9, 6).alias("eta"))
 
 
 LOSS = "ls as (select run, epoch, avg(value) as loss from metrics where phase = 'val' group by 1, 2)"
@@ -239,10 +246,18 @@ def training_curve(t):
     return losses(t).select("run", "epoch", F.round(x, 6).alias("x"), F.round("loss", 4).alias("y"))
 
 
-@query("W27_smoothing")
+_SMOOTH = LOSS + """, gp as materialized (select run, epoch, case when epoch % 5 <> 0 then loss end as v, row_number() over (partition by run order by epoch) as n from ls),
+ip as materialized (select g.run, g.epoch, g.n, case when b.n is null then null when a.n is null or a.n = b.n then b.v else b.v + (a.v - b.v) * (g.n - b.n) / (a.n - b.n) end as v from gp g
+  left join gp b on b.run = g.run and b.n = (select max(x.n) from gp x where x.run = g.run and x.n <= g.n and x.v is not null)
+  left join gp a on a.run = g.run and a.n = (select min(x.n) from gp x where x.run = g.run and x.n >= g.n and x.v is not null)),
+ew as (select run, n, epoch, coalesce(v, 0) as top, case when v is null then 0.0::double else 1.0 end as bottom from ip where n = 1
+  union all select i.run, i.n, i.epoch, e.top * (10.0::double / 11) + coalesce(i.v, 0), e.bottom * (10.0::double / 11) + case when i.v is null then 0 else 1 end from ew e join ip i on i.run = e.run and i.n = e.n + 1)"""
+
+
+@query("W27_smoothing", "select run, epoch, case when bottom > 0 then round(top / bottom, 4) end as smooth from ew", "metrics", also=_SMOOTH)
 def smoothing(t):
     gaps = losses(t).withColumn("value", F.when(F.col("epoch") % 5 != 0, F.col("loss"))).select("run", "epoch", "value")
-    return evaluate.smoothed(gaps, com=10)
+    return evaluate.smoothed(gaps, com=10, width=16).select("run", "epoch", F.round("smooth", 4).alias("smooth"))
 
 
 @query("W28_frame_rate", "select robot, block, round(1 / avg(sec), 4) as hz from (select *, (row_number() over (partition by robot order by seq) - 1) // 30 as block from latency) group by 1, 2 having count(*) = 30", "latency")

@@ -115,4 +115,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(body: str, *names: str, also: str = "") -> str:
     """A SQL text whose common table expressions are the named fixtures."""
     parts = [f"{n} as ({SQL[n]})" for n in names] + ([also] if also else [])
-    return f"with {', '.join(parts)} {body}" if parts else body
+    return f"with recursive {', '.join(parts)} {body}" if parts else body

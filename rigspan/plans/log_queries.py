@@ -278,15 +278,23 @@ def two_part_grid(t):
     return sync.two_part_grid(paused, HOUR, 4 * HOUR)
 
 
-@query("W5_hand_hold")
+_HOLD = GRID + """,
+tk as materialized (select bag * 1000000 + episode_id as episode_id, g_us as t_us, row_number() over (partition by bag, episode_id order by g_us) as n from ticks),
+ev as (select bag * 1000000 + episode_id as episode_id, topic, t_us, row_number() over (partition by bag, episode_id, topic order by t_us) as k from inside where topic in ('click', 'view')),
+tn as materialized (select episode_id, case topic when 'click' then 2 * k - 2 else 2 * k - 1 end as j, t_us from ev),
+hd as (select k.episode_id, k.t_us, k.n, case when u.t_us < k.t_us then 1 else 0 end as done from tk k left join tn u on u.episode_id = k.episode_id and u.j = 0 where k.n = 1
+  union all select k.episode_id, k.t_us, k.n, h.done + case when u.t_us < k.t_us then 1 else 0 end from hd h join tk k on k.episode_id = h.episode_id and k.n = h.n + 1
+    left join tn u on u.episode_id = k.episode_id and u.j = h.done)"""
+
+
+@query("W5_hand_hold", "select episode_id, t_us, cast(done % 2 as int) as hand from hd", "messages", also=_HOLD)
 def hand_hold(t):
-    sec = lambda c: F.col(c) / 1e6
     key = (F.col("bag") * 1_000_000 + F.col("episode_id")).alias("episode_id")
     kind = F.when(F.col("topic") == "click", "close").otherwise("open")
-    rows = ticks(t).select(key, F.lit("tick").alias("kind"), sec("g_us").alias("t")).unionByName(
-        inside(t).where("topic in ('click', 'view')").select(key, kind.alias("kind"), sec("t_us").alias("t"))
+    rows = ticks(t).select(key, F.lit("tick").alias("kind"), F.col("g_us").alias("t_us")).unionByName(
+        inside(t).where("topic in ('click', 'view')").select(key, kind.alias("kind"), "t_us")
     )
-    return segment.hold_state(rows)
+    return segment.hold_state(rows, width=24 * HOUR)
 
 
 @query("J1_interval_join", "select * from inside", "messages", also=GRID)

@@ -1,7 +1,8 @@
 """The engine's incremental forms: Structured Streaming with keyed state.
 
-All stateful operators take rows in event order within their key, up to the
-disorder of one micro-batch, and give the same net result as their batch form.
+The stateful operators here take rows in event order within their key, up to the
+disorder of one micro-batch, and give the same net result as their batch form;
+:mod:`live` holds those for logs whose rows come late.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.predict import limited
-from ..operators.segment import CANCEL, CANCEL_LAST, START, STOP
+from ..operators.segment import START, STOP
 from ..sources.tables import shared_dir
 
 
@@ -50,38 +51,6 @@ def _collected(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(by, kind="stable")
 
 
-def episode_changes(markers: DataFrame) -> DataFrame:
-    """Changelog of episodes: op 1 for a commit, -1 when a later marker takes it back.
-
-    State per bag: the open start and the stack of live commits.
-    """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, starts, stops = state.get if state.exists else (None, [], [])
-        starts, stops, out = list(starts), list(stops), []
-        for r in _collected(batches, ["t_us", "seq"]).itertuples():
-            if r.cmd == START and current is None:
-                current = int(r.t_us)
-            elif r.cmd == STOP and current is not None:
-                starts.append(current), stops.append(int(r.t_us))
-                out.append((key[0], 1, starts[-1], stops[-1], int(r.t_us)))
-                current = None
-            elif r.cmd == CANCEL:
-                current = None
-            elif r.cmd == CANCEL_LAST and current is None and starts:
-                out.append((key[0], -1, starts.pop(), stops.pop(), int(r.t_us)))
-        state.update((current, starts, stops))
-        yield pd.DataFrame(out, columns=["bag", "op", "start_us", "stop_us", "at_us"])
-
-    return markers.groupBy("bag").applyInPandasWithState(
-        fold,
-        "bag long, op int, start_us long, stop_us long, at_us long",
-        "current long, starts array<long>, stops array<long>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 def net_episodes(changes: DataFrame) -> DataFrame:
     """Episodes that no later change took back."""
     return changes.groupBy("bag", "start_us", "stop_us").agg(F.sum("op").alias("n")).where("n > 0").drop("n")

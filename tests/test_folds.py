@@ -2,6 +2,7 @@
 
 import bisect
 import itertools
+import math
 import random
 
 import pandas as pd
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rigspan.functions import geometry as geo
-from rigspan.operators import evaluate, predict, samples, segment, sync
+from rigspan.operators import evaluate, predict, samples, scan, segment, sync
 from rigspan.streaming import stream
 
 
@@ -80,18 +81,71 @@ def test_time_repair_by_searching():
             assert segment.repair(a, b, c, 1) == searched(a, b, c, 1), (a, b, c)
 
 
-def test_hand_hold_by_pairing():
-    """Restated: close k needs opening k - 1 behind it and the other way round, each at a tick of its own."""
+def hold(ticks, closes, opens):
+    """Hand state per tick, row by row: each state waits for the next event that ends it; stale ones are used late."""
+    waiting, state = [list(closes), list(opens)], 0
+    for t in ticks:
+        if waiting[state] and waiting[state][0] < t:
+            waiting[state].pop(0)
+            state = 1 - state
+        yield state
+
+
+def test_hand_hold_in_blocks(spark):
     rng = random.Random(8)
-    for _ in range(300):
-        ticks, closes, opens = (sorted(rng.uniform(0, 9) for _ in range(rng.randint(0, 12))) for _ in range(3))
-        turns = [x for pair in itertools.zip_longest(closes, opens) for x in pair]
-        turns = turns[: turns.index(None)] if None in turns else turns
-        want, at = [], 0
-        for t in ticks:
-            at += at < len(turns) and turns[at] < t
-            want.append(at % 2)
-        assert list(segment.hold(ticks, closes, opens)) == want
+    cases = [tuple(sorted(rng.sample(range(60), rng.randint(0, 14))) for _ in range(3)) for _ in range(60)]
+    cases += [([0, 1, 2, 3], [1], []), ([1, 2, 3, 4], [0, 0], [0]), ([1, 2], [], [0])]
+    rows = [(e, kind, t) for e, lists in enumerate(cases) for kind, times in zip(("tick", "close", "open"), lists, strict=True) for t in times]
+    df = spark.createDataFrame(rows, "episode_id long, kind string, t_us long")
+    want = {(e, t): h for e, (ticks, closes, opens) in enumerate(cases) for t, h in zip(ticks, hold(ticks, closes, opens), strict=True)}
+    for width in (7, 1000):  # an episode in many blocks, and in one
+        assert {(r.episode_id, r.t_us): r.hand for r in segment.hold_state(df, width).collect()} == want
+
+
+def test_limited_hysteresis_in_blocks(spark):
+    """Blocks shorter and longer than the rate limit, ties, blocks without a change: all equal the rule row by row."""
+    rng = random.Random(13)
+    rows = [(r, k, t, rng.choice([-3.0, 0.0, 0.0, 3.0]) if r % 2 else rng.uniform(-3, 3)) for r in range(6) for k, t in enumerate(sorted(rng.choices(range(900), k=150)))]
+    df = spark.createDataFrame(rows, "robot long, seq long, t_us long, x double")
+    for least, width in ((60, 25), (60, 400), (0, 50), (60, 5000)):
+        want = {}
+        for r in range(6):
+            own = [x for x in rows if x[0] == r]
+            done, _ = predict.limited([x[2] for x in own], [1 / (1 + math.exp(-x[3])) for x in own], least, 0.7, 0.3)
+            want |= {(r, x[1]): d for x, d in zip(own, done, strict=True)}
+        got = {(r.robot, r.seq): (r.closed, r.published) for r in predict.limited_hysteresis(df, least, width=width).collect()}
+        assert got == want, (least, width)
+
+
+def test_scans_in_blocks(spark):
+    """Running sums, last rows and neighbours across block borders, gaps of blocks included."""
+    rng = random.Random(14)
+    rows = [(k, s, rng.choice([None, 1.0, 2.5, -3.0]), rng.randint(1, 5)) for k in range(3) for s in sorted(rng.sample(range(300), 70))]
+    df = spark.createDataFrame(rows, "k long, s long, v double, n long")
+    for width in (3, 40, 10_000):
+        sums = {(r.k, r.s): r.t for r in scan.running_sums(df, ["k"], ["s"], width, {"t": F.col("n")}).collect()}
+        near = {(r.k, r.s): list(r.l) for r in scan.last_rows(df, ["k"], ["s"], width, "n", 6, "l").collect()}
+        sides = {(r.k, r.s): (r.b, r.a) for r in scan.around(df, ["k"], ["s"], width, F.col("v"), "b", "a").collect()}
+        for k in range(3):
+            own = [r for r in rows if r[0] == k]
+            for i, r in enumerate(own):
+                before = [x[2] for x in own[: i + 1] if x[2] is not None]
+                after = [x[2] for x in own[i:] if x[2] is not None]
+                assert sums[k, r[1]] == sum(x[3] for x in own[: i + 1])
+                assert near[k, r[1]] == [x[3] for x in own[max(0, i - 5) : i + 1]]
+                assert sides[k, r[1]] == (before[-1] if before else None, after[0] if after else None)
+
+
+def test_weighted_meters_in_blocks(spark):
+    rng = random.Random(15)
+    rows = [(0, s, rng.uniform(0, 9), rng.randint(1, 7)) for s in range(130)]
+    df = spark.createDataFrame(rows, "run long, seq long, value double, n long")
+    for r in evaluate.rolling(df, ["run"], ["seq"], "value", size=20, weight="n", width=11).collect():
+        own = rows[: r.seq + 1]
+        last = sorted(x[2] for x in own[-20:])
+        assert r.overall == pytest.approx(sum(x[2] * x[3] for x in own) / sum(x[3] for x in own))
+        assert (r.median, r.highest, r.latest) == (last[(len(last) - 1) // 2], last[-1], own[-1][2])
+        assert r["mean"] == pytest.approx(sum(last) / len(last))
 
 
 def test_grace_keeps_repeated_rows(spark):
@@ -142,12 +196,6 @@ def test_streams_over_batches_equal_their_batch_form(spark, tmp_path):
     assert got == held
 
 
-def test_hand_hold():
-    assert list(segment.hold([0, 1, 2, 3], [1], [])) == [0, 0, 1, 1]  # strictly earlier: next tick
-    assert list(segment.hold([1, 2, 3, 4], [0.5, 0.6], [0.1])) == [1, 0, 1, 1]  # a stale open is used late
-    assert list(segment.hold([1, 2], [], [0.5])) == [0, 0]
-
-
 def test_as_of_edges(spark):
     ticks = spark.createDataFrame([(0, 0, 10), (0, 1, 20), (0, 2, 99)], "k long, i long, g_us long")
     data = spark.createDataFrame(
@@ -190,26 +238,13 @@ def test_limited_hysteresis_batch_equals_stream(spark, tmp_path):
     assert {(r.robot, r.seq): (r.closed, r.published) for r in live.collect()} == want
 
 
-def test_stream_episodes_over_batches(spark, tmp_path):
-    rng = random.Random(5)
-    logs = [[rng.choice([1, 1, 2, 2, 3, 4]) for _ in range(60)] for _ in range(4)]
-    rows = pd.DataFrame([(b, t, t, logs[b][t]) for t in range(60) for b in range(4)], columns=["bag", "seq", "t_us", "cmd"]).astype({"cmd": "int32"})
-    for k, (lo, hi) in enumerate(itertools.pairwise([0, 17, 18, 150, 240])):
-        rows[lo:hi].to_parquet(tmp_path / f"m-{k}.parquet")
-    schema = spark.createDataFrame(rows).schema
-    net = stream.net_episodes(stream.run_available(stream.episode_changes(stream.read(spark, str(tmp_path), schema))))
-    got = {}
-    for r in net.orderBy("bag", "start_us").collect():
-        got.setdefault(r.bag, []).append((r.start_us, r.stop_us))
-    assert got == {b: marker_fold(log) for b, log in enumerate(logs) if marker_fold(log)}
-
-
 def test_smoothing_equals_pandas(spark):
-    values = [None, 1.0, None, 3.0, 2.0, None]
+    values, lead = [None, None, None, 1.0, None, 3.0, 2.0, None, None, 7.0, None], 3
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "run long, epoch long, value double")
-    got = [r.smooth for r in evaluate.smoothed(df, 2).orderBy("epoch").collect()]
     want = pd.Series(values).interpolate().ewm(com=2).mean().tolist()
-    assert got[1:] == pytest.approx(want[1:]) and (got[0] is None or got[0] != got[0])
+    for width in (1, 2, 100):
+        got = [r.smooth for r in evaluate.smoothed(df, 2, width).orderBy("epoch").collect()]
+        assert got[lead:] == pytest.approx(want[lead:]) and got[:lead] == [None] * lead
 
 
 def test_split_needs_two(spark):
