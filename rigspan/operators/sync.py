@@ -86,6 +86,62 @@ def as_of(ticks: DataFrame, messages: DataFrame, topics: dict[str, str], keys: l
     return both.withColumns(columns).where("i is not null").select(*keys, "i", F.col("t").alias("g_us"), *topics)
 
 
+def as_of_sliced(
+    ticks: DataFrame, messages: DataFrame, topics: dict[str, str], keys: list[str], slice_us: int = 3_600_000_000, fail_empty: bool = False
+) -> DataFrame:
+    """:func:`as_of` with every (keys, time slice) on its own task, for episodes too long for one.
+
+    A small table has each slice's first and last value of every topic; from it
+    a slice learns the last value before it, the first one behind it, and the
+    episode's last. With ``fail_empty`` an episode without any message of a
+    ``next`` topic raises; a ``last`` topic may be empty.
+    """
+    cell = lambda c: F.floor(F.col(c) / slice_us).alias("__slice")
+    by = [*keys, "__slice"]
+    data = messages.where(F.col("topic").isin(list(topics))).select(*keys, cell("t_us"), F.col("t_us").alias("t"), "seq", "topic", "value")
+    at = F.struct("t", "seq")
+    ends = []
+    for k, topic in enumerate(topics):
+        own = F.when(F.col("topic") == topic, at)
+        ends += [F.max_by(F.struct("value"), own).alias(f"__last{k}"), F.min_by(F.struct("value"), own).alias(f"__first{k}")]
+    # slices that hold ticks but no messages need an entry as well
+    places = data.select(*by, "t", "seq", "topic", "value").unionByName(ticks.select(*keys, cell("g_us")).distinct(), allowMissingColumns=True)
+    slices = places.groupBy(*by).agg(*ends)
+    order = Window.partitionBy(*keys).orderBy("__slice")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = []
+    for k, (topic, way) in enumerate(topics.items()):
+        end = F.last(f"__last{k}", ignorenulls=True).over(whole)
+        if way == "next":
+            near = F.coalesce(F.last(f"__first{k}", ignorenulls=True).over(ahead), end)
+            if fail_empty:
+                where = F.concat_ws(", ", *[F.concat(F.lit(f"{c} "), F.col(c).cast("string")) for c in keys])
+                near = F.coalesce(near, F.raise_error(F.concat(F.lit(f"no message of topic {topic} in "), where)))
+        else:
+            near = F.last(f"__last{k}", ignorenulls=True).over(past)
+        carried.append(near.getField("value").alias(f"__in{k}"))
+    entry = slices.select(*by, *carried)
+    grid_rows = ticks.select(*keys, cell("g_us"), F.col("g_us").alias("t"), F.lit(0).cast("long").alias("seq"), "i")
+    both = grid_rows.unionByName(data, allowMissingColumns=True)
+    tick = F.col("i").isNotNull().cast("int")
+    behind = Window.partitionBy(*by).orderBy("t", tick, "seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy(F.desc("t"), tick, F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    columns = {f"__v{k}": F.last(F.when(F.col("topic") == topic, F.col("value")), ignorenulls=True).over(before if way == "next" else behind) for k, (topic, way) in enumerate(topics.items())}
+    met = both.withColumns(columns).where("i is not null").join(entry, by)
+    values = [F.coalesce(f"__v{k}", f"__in{k}", *([F.lit(0.0)] if way == "last" else [])).alias(topic) for k, (topic, way) in enumerate(topics.items())]
+    return met.select(*keys, "i", F.col("t").alias("g_us"), *values)
+
+
+def empty_streams(episodes: DataFrame, messages: DataFrame, mandatory: list[str], keys: list[str]) -> DataFrame:
+    """Episodes with a mandatory topic of which they have no message: keys, topic."""
+    seen = messages.where(F.col("topic").isin(mandatory)).groupBy(*keys).agg(F.collect_set("topic").alias("__have"))
+    want = F.array(*[F.lit(m) for m in mandatory])
+    lacking = F.array_except(want, F.coalesce("__have", F.array().cast("array<string>")))
+    return episodes.select(*keys).join(seen, keys, "left").select(*keys, F.explode(lacking).alias("topic"))
+
+
 def shift_ahead(rows: DataFrame, k: int, value: str, keys: list[str], order: str, out: str) -> DataFrame:
     """The value k rows on; behind the end the group's last one."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -43,6 +43,8 @@ def inside(t: Tables) -> DataFrame:
     return sync.interval_join(t("messages").drop("cmd"), episodes(t), cell_us=24 * HOUR)
 
 
+KEYS = ["bag", "episode_id"]
+MANDATORY = ["click", "view"]
 TOPICS = {"click": "next", "view": "next", "purchase": "last", "error": "last"}
 
 
@@ -315,17 +317,38 @@ def interval_grace(t):
 
 @query("J3_forward_as_of", "select bag, episode_id, i, g_us, click from synced", "messages", also=SYNC)
 def forward_as_of(t):
-    return sync.as_of(ticks(t), inside(t), {"click": "next"}, ["bag", "episode_id"])
+    return sync.as_of_sliced(ticks(t), inside(t), {"click": "next"}, ["bag", "episode_id"], 12 * HOUR)
 
 
 @query("J4_backward_as_of", "select bag, episode_id, i, g_us, purchase from synced", "messages", also=SYNC)
 def backward_as_of(t):
-    return sync.as_of(ticks(t), inside(t), {"purchase": "last"}, ["bag", "episode_id"])
+    return sync.as_of_sliced(ticks(t), inside(t), {"purchase": "last"}, ["bag", "episode_id"], 12 * HOUR)
 
 
-@query("J5_synchronise", "select * from synced", "messages", also=SYNC)
+@query(
+    "J5_empty_streams",
+    """select e.bag, e.episode_id, r.topic from episodes e, (select unnest(['click', 'view']) as topic) r
+       where not exists (select 1 from inside m where m.bag = e.bag and m.episode_id = e.episode_id and m.topic = r.topic)""",
+    "messages",
+    also=GRID,
+)
+def empty_streams(t):
+    return sync.empty_streams(episodes(t), inside(t), MANDATORY, KEYS)
+
+
+@query(
+    "J5_synchronise",
+    """select * from synced s where not exists (select 1 from (select unnest(['click', 'view']) as topic) r
+       where not exists (select 1 from inside m where m.bag = s.bag and m.episode_id = s.episode_id and m.topic = r.topic))""",
+    "messages",
+    also=SYNC,
+)
 def synchronise(t):
-    return synchronised(t)
+    """Episodes that hold every mandatory stream; a further empty one would raise."""
+    within, every = inside(t), episodes(t)
+    whole = every.join(sync.empty_streams(every, within, MANDATORY, KEYS).select(*KEYS).distinct(), KEYS, "left_anti")
+    grid_rows = sync.grid(whole, HOUR)
+    return sync.as_of_sliced(grid_rows, within.join(whole.select(*KEYS), KEYS, "left_semi"), TOPICS, KEYS, 12 * HOUR, fail_empty=True)
 
 
 @query(

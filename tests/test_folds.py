@@ -171,6 +171,14 @@ def test_as_of_by_searching(spark):
         {"a": "next", "b": "last"},
         ["k"],
     )
+    sliced = [
+        sync.as_of_sliced(
+            spark.createDataFrame(ticks, "k long, i long, g_us long"),
+            spark.createDataFrame(data, "k long, topic string, t_us long, seq long, value double"), {"a": "next", "b": "last"}, ["k"], width, fail_empty=True,
+        ).collect()
+        for width in (1, 9, 1000)
+    ]
+    assert all(sorted(map(tuple, s)) == sorted(map(tuple, out.collect())) for s in sliced)
     for r in out.collect():
         rows = lambda topic, r=r: sorted((t, q, v) for k, x, t, q, v in data if k == r.k and x == topic)
         later = [v for t, _, v in rows("a") if t >= r.g_us] or [rows("a")[-1][2]]
@@ -196,6 +204,31 @@ def test_streams_over_batches_equal_their_batch_form(spark, tmp_path):
     assert got == held
 
 
+def test_an_empty_mandatory_stream_raises(spark):
+    ticks = spark.createDataFrame([(0, 0, 10), (1, 0, 10)], "k long, i long, g_us long")
+    data = spark.createDataFrame([(0, "a", 50, 1, 1.0), (1, "b", 5, 2, 2.0)], "k long, topic string, t_us long, seq long, value double")
+    missing = sync.empty_streams(ticks.select("k"), data, ["a", "b"], ["k"]).collect()
+    assert sorted(map(tuple, missing)) == [(0, "b"), (1, "a")]
+    assert sync.as_of_sliced(ticks, data, {"b": "last"}, ["k"], 20, fail_empty=True).count() == 2  # the one with a default may be empty
+    with pytest.raises(Exception, match="no message of topic a in k 1"):
+        sync.as_of_sliced(ticks, data, {"a": "next"}, ["k"], 20, fail_empty=True).collect()
+
+
+def test_a_hot_episode_runs_in_many_tasks(spark):
+    """One episode; no task sees more than a few slices of it."""
+    ticks = spark.range(40_000).selectExpr("0L as k", "id as i", "id * 10 as g_us")
+    data = spark.range(60_000).selectExpr("0L as k", "if(id % 3 = 0, 'a', 'b') as topic", "id * 7 as t_us", "id as seq", "id * 1.0D as value")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = sync.as_of_sliced(ticks, data, {"a": "next", "b": "last"}, ["k"], 2_000)
+        sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        got = out.agg(F.sum("a"), F.sum("b"), F.count("*")).first()
+        want = sync.as_of(ticks, data, {"a": "next", "b": "last"}, ["k"]).agg(F.sum("a"), F.sum("b"), F.count("*")).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == want and len(sizes) == 4 and max(sizes) < 2 * 40_000 / 4
+
+
 def test_as_of_edges(spark):
     ticks = spark.createDataFrame([(0, 0, 10), (0, 1, 20), (0, 2, 99)], "k long, i long, g_us long")
     data = spark.createDataFrame(
