@@ -110,6 +110,18 @@ def quaternion_product(a: Sequence[Column], b: Sequence[Column]) -> list[Column]
     ]
 
 
+def axis_angle(axis: Sequence[Column], degrees: Column) -> list[Column]:
+    """(w, x, y, z) quaternion of a turn by ``degrees`` about ``axis``, which need not have length 1."""
+    half = F.radians(degrees) / 2
+    length = F.sqrt(total([a * a for a in axis]))
+    return [F.cos(half), *[F.sin(half) * a / length for a in axis]]
+
+
+def turned(initial: Sequence[Column], axis: Sequence[Column], degrees: Column) -> list[Column]:
+    """``initial`` (w, x, y, z) followed by a turn about ``axis`` in its own frame."""
+    return quaternion_product(initial, axis_angle(axis, degrees))
+
+
 def lerp(a: Column, b: Column, share: Column) -> Column:
     """Element-wise linear mix; quaternion parts are not normalised again."""
     return F.zip_with(a, b, lambda x, y: x + (y - x) * share)

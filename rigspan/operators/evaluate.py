@@ -83,10 +83,7 @@ def corners(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns({"x0": half("cx", "w", -1), "y0": half("cy", "h", -1), "x1": half("cx", "w", 1), "y1": half("cy", "h", 1)})
 
 
-def box_pairs(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
-    """IoU, union and generalised IoU of every box of ``a`` with every box of ``b`` in its group."""
-    side = lambda d, k: d.where("x1 >= x0 and y1 >= y0").select(by, F.col("id").alias(f"{k}"), *[F.col(c).alias(f"{k}_{c}") for c in ("x0", "y0", "x1", "y1")])
-    met = side(a, "a").join(side(b, "b"), by)
+def _measured(met: DataFrame, by: str) -> DataFrame:
     area = lambda k: (F.col(f"{k}_x1") - F.col(f"{k}_x0")) * (F.col(f"{k}_y1") - F.col(f"{k}_y0"))
     span = lambda lo, hi: F.greatest(hi - lo, F.lit(0.0))
     both = span(F.greatest("a_x0", "b_x0"), F.least("a_x1", "b_x1")) * span(F.greatest("a_y0", "b_y0"), F.least("a_y1", "b_y1"))
@@ -96,6 +93,48 @@ def box_pairs(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     return met.withColumn("giou", F.col("iou") - F.try_divide(F.col("hull") - F.col("union_"), F.col("hull"))).select(by, "a", "b", "iou", "union_", "giou")
 
 
+def _side(boxes: DataFrame, by: str, k: str) -> DataFrame:
+    return boxes.where("x1 >= x0 and y1 >= y0").select(by, F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("x0", "y0", "x1", "y1")])
+
+
+def box_pairs(a: DataFrame, b: DataFrame, by: str, block: int = 2000) -> DataFrame:
+    """IoU, union and generalised IoU of every box of ``a`` with every box of ``b`` in its group.
+
+    Both sides of a group are dealt into blocks of about ``block`` boxes, and
+    each block of one side is sent once for each block of the other, so the
+    pairs of a large group are spread over tasks.
+    """
+    left, right = _side(a, by, "a"), _side(b, by, "b")
+    parts = lambda n: F.ceil(F.col(n) / block).cast("int")
+    sizes = left.groupBy(by).agg(F.count("*").alias("__na")).join(right.groupBy(by).agg(F.count("*").alias("__nb")), by)
+    sizes = sizes.select(by, parts("__na").alias("__ka"), parts("__nb").alias("__kb"))
+
+    def dealt(side: DataFrame, k: str, own: str, other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(f"__k{other}") - 1))
+        mine = F.pmod(F.xxhash64(k, *side.columns), F.col(f"__k{own}")).cast("int")
+        return side.join(sizes, by).withColumn(f"__{own}", mine).withColumn(f"__{other}", every).drop("__ka", "__kb")
+
+    return _measured(dealt(left, "a", "a", "b").join(dealt(right, "b", "b", "a"), [by, "__a", "__b"]), by)
+
+
+def overlapping_pairs(a: DataFrame, b: DataFrame, by: str, cell: float) -> DataFrame:
+    """:func:`box_pairs` of the boxes that share some area only, each pair once.
+
+    Every box is sent to the grid cells of side ``cell`` that it touches, and a
+    pair counts in the cell of the lower corner of what both share; boxes that
+    do not meet never meet in a join either, unless they share a cell.
+    """
+    def cells(side: DataFrame, k: str) -> DataFrame:
+        axis = lambda c: F.sequence(F.floor(F.col(f"{k}_{c}0") / cell), F.floor(F.col(f"{k}_{c}1") / cell))
+        return side.withColumn("__cx", F.explode(axis("x"))).withColumn("__cy", F.explode(axis("y")))
+
+    met = cells(_side(a, by, "a"), "a").join(cells(_side(b, by, "b"), "b"), [by, "__cx", "__cy"])
+    low = lambda c: F.greatest(f"a_{c}0", f"b_{c}0")
+    shared = [low(c) < F.least(f"a_{c}1", f"b_{c}1") for c in "xy"]
+    once = (F.floor(low("x") / cell) == F.col("__cx")) & (F.floor(low("y") / cell) == F.col("__cy"))
+    return _measured(met.where(shared[0] & shared[1] & once), by)
+
+
 def boxes_of_masks(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("mask_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 GAP_WEIGHTS = (1.0, 2.0, 1.5, 2.5, 0.5, 1.0)
 
 
@@ -68,16 +70,24 @@ def splits(episodes: DataFrame, trials: int, ratio: float = 0.8, seed: int = 0)
     return placed.select(F.col("trial").cast("long").alias("trial"), "episode_id", part.alias("part"))
 
 
-def positions(rows: DataFrame, h: Column, tie: str, by: list[str] | None = None, ranges: int = 64) -> DataFrame:
-    """``rows`` with __at, their position from 0 in the order of ``h`` (0 to 2**32), within each group of ``by``.
+#: Rows of a range that is numbered by one task.
+RANGE_ROWS = 1 << 20
+
+
+def positions(rows: DataFrame, h: Column, tie: str, by: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``rows`` with __at, their position from 0 in the order of ``h``, then ``tie``, within each group of ``by``.
 
-    Rows fall into ``ranges`` equal ranges of h, are numbered within theirs, and
-    add the count of the ranges before, so no task sees all rows of a group.
+    As many ranges as the rows need at ``range_rows`` each, cut where a sample
+    of the rows says, so clustered values and large groups are split evenly.
+    Rows are numbered within their range and add the count of the group's
+    ranges before. The ranges are written, as they must not be drawn anew.
     """
     by = by or []
-    cut = rows.withColumn("__h", h).withColumn("__r", F.floor(F.col("__h") / F.lit(4294967296 / ranges)).cast("int"))
+    cut = rows.withColumn("__h", h)
+    ranges = max(1, -(-rows.count() // range_rows))
+    cut = written(cut.repartitionByRange(ranges, *by, "__h", tie).withColumn("__r", F.spark_partition_id()))
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy(*by, "__r").agg(F.count("*").alias("__n"))  # ``ranges`` rows a group
+    counts = cut.groupBy(*by, "__r").agg(F.count("*").alias("__n"))  # one row per range and group that it holds
     starts = counts.withColumn("__s", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     at = F.row_number().over(Window.partitionBy(*by, "__r").orderBy("__h", tie)) - 1
     placed = cut.withColumn("__k", at).join(starts, [*by, "__r"])
@@ -135,21 +145,18 @@ def normalised(long: DataFrame, stats: DataFrame, floor: float | None = None, ba
     return long.join(F.broadcast(stats.select("dim", "mean", "std")), "dim").select(*long.columns[:-1], value.alias("value"))
 
 
-def shuffled_batches(rows: DataFrame, id_col: str, size: int, seed: int, epoch: int, ranges: int = 64) -> DataFrame:
+def shuffled_batches(rows: DataFrame, id_col: str, size: int, seed: int, epoch: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows in a seeded order with batch = position div size, the last batch short.
 
     The order is by hash, see :func:`positions`.
     """
-    placed = positions(rows, hashed(F.lit(seed), F.lit(epoch), F.col(id_col)), id_col, ranges=ranges)
+    placed = positions(rows, hashed(F.lit(seed), F.lit(epoch), F.col(id_col)), id_col, range_rows=range_rows)
     return placed.select(*rows.columns, F.col("__at").alias("position"), F.floor(F.col("__at") / size).alias("batch"))
 
 
-def sorted_index(ids: DataFrame, id_col: str, ranges: int = 64) -> DataFrame:
-    """Distinct whole-number ids with at, their place from 0 in rising order."""
-    ids = ids.select(id_col).distinct()
-    low, high = ids.agg(F.min(id_col), F.max(id_col)).first()
-    scaled = (F.col(id_col) - F.lit(low or 0)) * F.lit(4294967295.0 / max((high or 0) - (low or 0), 1))
-    return positions(ids, scaled, id_col, ranges=ranges).withColumnRenamed("__at", "at")
+def sorted_index(ids: DataFrame, id_col: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Distinct ids with at, their place from 0 in rising order."""
+    return positions(ids.select(id_col).distinct(), F.col(id_col), id_col, range_rows=range_rows).withColumnRenamed("__at", "at")
 
 
 def padded(rows: DataFrame, batch: str, column: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, predict
+from ..sources import store
+from ..sources.tables import shared_dir
 from .registry import query
 
 
@@ -128,6 +132,20 @@ def success_rate(t):
     return evaluate.returns(t("rewards")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("success").cast("int")), 6).alias("rate"), F.round(F.avg("total"), 6).alias("mean_return"))
 
 
+@query(
+    "S15_eval_result",
+    """select 'policy' as name, r as reward, count(*) as rollouts, round(avg(success::int), 6) as success_rate, round(avg(total), 6) as mean_return,
+       count(*) filter (highest >= r) as reached, round(count(*) filter (highest >= r) / count(*), 6) as rate from rt, (select unnest(range(0, 5)) as r) group by r""",
+    "rewards",
+    also=RET,
+)
+def eval_result(t):
+    path = f"{shared_dir(t.spark)}/results-{uuid.uuid4().hex}"
+    store.append_result(evaluate.returns(t("rewards")), "policy", path)
+    rows = t.spark.read.parquet(path).select("name", "rollouts", "success_rate", "mean_return", F.posexplode(F.arrays_zip("reached", "rates")).alias("reward", "x"))
+    return rows.select("name", F.col("reward").cast("long").alias("reward"), "rollouts", r6("success_rate"), r6("mean_return"), F.col("x.reached").alias("reached"), r6("x.rates", "rate"))
+
+
 @query("J8_reward_table", "select r as reward, count(rt.rollout) as n, round(count(rt.rollout) / (select count(*) from rt), 6) as rate from (select unnest(range(0, 5)) as r) left join rt on highest >= r group by 1", "rewards", also=RET)
 def reward_table(t):
     return evaluate.at_least(evaluate.returns(t("rewards"))).select("reward", "n", r6("rate"))
@@ -388,6 +406,12 @@ def box_iou(t):
     return _pairs(t).select("grp", "a", "b", r6("iou"))
 
 
+@query("J9_overlapping_boxes", "select grp, a, b, round(both_ / (areas - both_), 6) as iou from pr where both_ > 0", "boxes", also=IOU)
+def overlapping_boxes(t):
+    xy = evaluate.corners(t("boxes"))
+    return evaluate.overlapping_pairs(xy.where("side = 0"), xy.where("side = 1"), "grp", cell=0.1).select("grp", "a", "b", r6("iou"))
+
+
 @query("J10_generalised_iou", "select grp, a, b, round(both_ / (areas - both_) - (hull - (areas - both_)) / hull, 6) as giou from pr", "boxes", also=IOU)
 def generalised_iou(t):
     return _pairs(t).select("grp", "a", "b", r6("giou"))

@@ -280,17 +280,35 @@ def keyframe_interpolation(t):
     return out.select("traj", "t", r6(F.get("m", F.lit(0)), "value"), r6(F.get("m", F.lit(1)), "k"))
 
 
+# arm, t, offsets, gripper, whether the turn starts from the initial orientation, axis, degrees
+_FRAMES = [
+    ("left", 0, 0.0, 0.4, 0.0, 1, 1.0, 0.0, 0.0, 0.0),
+    ("left", 100, -0.1, 0.25, 1.0, 0, 1.0, 0.0, 0.0, 90.0),
+    ("left", 360, -0.1, 0.25, 0.0, 0, 1.0, 0.0, 0.0, 0.0),
+    ("right", 0, 0.0, 0.4, 0.0, 1, 0.0, 1.0, 0.0, 0.0),
+    ("right", 90, 0.05, 0.2, 1.0, 1, 0.0, 1.0, 0.0, -60.0),
+    ("right", 120, 0.0, 0.2, 1.0, 1, 0.0, 1.0, 0.0, 60.0),
+]
+_DRAW = "('0x' || substr(md5('7:' || rollout || ':{0}'), 1, 8))::bigint / 4294967296"
+_TURN = ", ".join(f"('{f[0]}', {', '.join(f'{x}' if isinstance(x, int) else f'{x}::double' for x in f[1:])})" for f in _FRAMES)
+
+
 @query(
     "G10_scenario_keyframes",
-    """select rollout, arm, t, round(0.2 * ('0x' || substr(md5('7:' || rollout || ':x'), 1, 8))::bigint / 4294967296 + dx, 6) as x, round(dz, 6) as z, gripper
-       from (select distinct rollout from rewards), (values ('left', 0, 0.0::double, 0.4::double, 0.0::double), ('left', 100, -0.1, 0.25, 1.0), ('right', 0, 0.0, 0.4, 0.0), ('right', 90, 0.05, 0.2, 1.0)) v(arm, t, dx, dz, gripper)""",
+    f"""select rollout, arm, t, round(0.2 * u + dx, 6) as x, round(dz, 6) as z, gripper, round(iw * c - iz * s * nz, 6) as qw, round(iw * s * nx - iz * s * ny, 6) as qx,
+       round(iw * s * ny + iz * s * nx, 6) as qy, round(iw * s * nz + iz * c, 6) as qz from
+       (select *, case when own = 1 then cos(yaw) else 1 end as iw, case when own = 1 then sin(yaw) else 0 end as iz, cos(radians(deg) / 2) as c, sin(radians(deg) / 2) as s from
+        (select rollout, {_DRAW.format("x")} as u, {_DRAW.format("yaw")} as yaw from (select distinct rollout from rewards)), (values {_TURN}) v(arm, t, dx, dz, gripper, own, nx, ny, nz, deg))""",
     "rewards",
 )
 def scenario_keyframes(t):
-    template = t.spark.createDataFrame(
-        [("left", 0, 0.0, 0.4, 0.0), ("left", 100, -0.1, 0.25, 1.0), ("right", 0, 0.0, 0.4, 0.0), ("right", 90, 0.05, 0.2, 1.0)],
-        "arm string, t int, dx double, dz double, gripper double",
-    )
-    rows = t("rewards").select("rollout").distinct().withColumn("px", 0.2 * uniform(7, F.col("rollout"), F.lit("x")))
-    each = rows.crossJoin(F.broadcast(template))  # four rows per scenario
-    return each.select("rollout", "arm", "t", r6(F.col("px") + F.col("dx"), "x"), r6("dz", "z"), "gripper")
+    """Keyframes of both arms: positions from the drawn object, orientations turned from the arm's initial one or from none."""
+    template = t.spark.createDataFrame(_FRAMES, "arm string, t int, dx double, dz double, gripper double, own int, nx double, ny double, nz double, deg double")
+    draw = lambda c: uniform(7, F.col("rollout"), F.lit(c))
+    rows = t("rewards").select("rollout").distinct().withColumns({"px": 0.2 * draw("x"), "yaw": draw("yaw")})
+    each = rows.crossJoin(F.broadcast(template))  # six rows per scenario
+    own = F.col("own") == 1
+    initial = [F.when(own, F.cos("yaw")).otherwise(1.0), F.lit(0.0), F.lit(0.0), F.when(own, F.sin("yaw")).otherwise(0.0)]
+    q = geo.turned(initial, [F.col("nx"), F.col("ny"), F.col("nz")], F.col("deg"))
+    parts = [F.round(c + 0.0, 6).alias(n) for c, n in zip(q, ("qw", "qx", "qy", "qz"), strict=True)]
+    return each.select("rollout", "arm", "t", r6(F.col("px") + F.col("dx"), "x"), r6("dz", "z"), "gripper", *parts)

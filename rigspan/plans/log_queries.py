@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import samples, segment, sync
+from ..sources import store
 from ..sources import tables as src
 from .registry import Tables, query
 
@@ -121,26 +122,61 @@ def _long(df: DataFrame, column: str = "qpos", keys: tuple[str, ...] = ("episode
     )
 
 
+def stored(t: Tables) -> str:
+    """The steps as a store: five episodes a bag, attributes from their length at 30 steps a second."""
+    path = f"{src.shared_dir(t.spark)}/store-{uuid.uuid4().hex}"
+    steps = t("steps").withColumn("bag", F.expr("episode_id div 5"))
+    spans = steps.groupBy("bag", "episode_id").agg(F.lit(0).cast("long").alias("start_us"), F.expr("max(step) * 1000000 div 30").alias("stop_us"))
+    joints = t("joints").select(F.expr("seq % 5 as bag"), "seq", "names")
+    store.write_store(steps, store.episode_attributes(spans, joints), path)
+    return path
+
+
 @query("S6_episode_sink", _LONG, "steps")
 def episode_sink(t):
-    path = f"{src.shared_dir(t.spark)}/episodes-{uuid.uuid4().hex}"
-    src.write_episodes(t("steps"), path, "episode_id", "step")
-    return _long(t.spark.read.parquet(path).select(F.col("episode_id").cast("long").alias("episode_id"), "step", "qpos"))
+    return _long(store.read_steps(t.spark, stored(t)))
+
+
+@query(
+    "S6_episode_meta",
+    """select bag, episode_id, false as sim, 30 as fps, start_us, stop_us, list_aggregate(j.names, 'string_agg', ',') as joint_names, steps from
+       (select episode_id // 5 as bag, episode_id, 0 as start_us, max(step) * 1000000 // 30 as stop_us, count(*) as steps from steps group by 1, 2) e
+       left join (select seq % 5 as bag, arg_min(names, seq) as names from joints group by 1) j using (bag)""",
+    "steps",
+    "joints",
+)
+def episode_meta(t):
+    return store.read_meta(t.spark, stored(t)).withColumn("joint_names", F.concat_ws(",", "joint_names"))
+
+
+@query(
+    "S6_log_attributes",
+    """select e.bag, e.episode_id, false as sim, 30 as fps, start_us, stop_us, list_aggregate(j.names, 'string_agg', ',') as joint_names, (select count(*) from ticks k where k.bag = e.bag and k.episode_id = e.episode_id) as steps
+       from episodes e left join (select bag, arg_min(names, seq) as names from joints group by 1) j using (bag)""",
+    "messages",
+    "joints",
+    also=GRID,
+)
+def log_attributes(t):
+    """From the log to a store: synchronised episodes as steps, with the attributes of their recording."""
+    path = f"{src.shared_dir(t.spark)}/store-{uuid.uuid4().hex}"
+    store.write_store(synchronised(t), store.episode_attributes(episodes(t), t("joints")), path, order="i")
+    return store.read_meta(t.spark, path).withColumn("joint_names", F.concat_ws(",", "joint_names"))
 
 
 @query("S7_episode_scan", _LONG + " where episode_id = 7", "steps")
 def episode_scan(t):
-    return _long(t("steps").where("episode_id = 7"))
+    return _long(store.read_steps(t.spark, stored(t), bag=1, episode=7, fields=["qpos"]))
 
 
 @query("S8_episode_slice", _LONG + " where episode_id = 7 and step between 3 and 9", "steps")
 def episode_slice(t):
-    return _long(src.episode_slice(t("steps"), 7, 3, 7))
+    return _long(store.read_steps(t.spark, stored(t), bag=1, episode=7, first=3, n=7, fields=["qpos"]))
 
 
 @query("S9_dataset_listing", "select episode_id, count(*) as steps from steps group by episode_id", "steps")
 def dataset_listing(t):
-    return t("steps").groupBy("episode_id").agg(F.count("*").alias("steps"))
+    return store.read_meta(t.spark, stored(t)).select("episode_id", "steps")
 
 
 @query(
@@ -190,6 +226,19 @@ def stats_check(t):
     return src.required_fields(stats("qpos", 8).unionByName(stats("action", 7)), ["qpos", "action", "example"])
 
 
+@query(
+    "S12_stats_store",
+    """select field, dim - 1 as dim, round(avg(v[dim]), 6) as mean, round(greatest(stddev_samp(v[dim]), 0.01), 6) as std from
+       (select 'qpos' as field, qpos as v, unnest(range(1, 9)) as dim from steps union all select 'action', action, unnest(range(1, 8)) from steps) group by 1, 2""",
+    "steps",
+)
+def stats_store(t):
+    path = f"{src.shared_dir(t.spark)}/stats-{uuid.uuid4().hex}"
+    widths = {"qpos": 8, "action": 7}
+    store.write_statistics({f: samples.wide_statistics(t("steps"), f, n) for f, n in widths.items()}, path)
+    return store.read_statistics(t.spark, path, widths).select("field", "dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 @query("S13_json_log", "select event_type as run, count(*) as n, sum(cast(props->>'k' as bigint))::bigint as total from events group by event_type")
 def json_log(t):
     lines = t("events").select("event_type", "props")

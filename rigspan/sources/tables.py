@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: what depends on how its rows were dealt stays as it is, whatever executor is lost."""
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_messages(messages: DataFrame, topics: list[str], from_us: int | None = None, to_us: int | None = None) -> DataFrame:
     """Rows of some topics within a time range; both filters reach the scan."""
     out = messages.where(F.col("topic").isin(topics))
@@ -69,15 +77,6 @@ def output_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def write_episodes(steps: DataFrame, path: str, by: str, order: str) -> None:
-    """One folder per episode, rows in step order."""
-    steps.repartition(by).sortWithinPartitions(by, order).write.partitionBy(by).parquet(path)
-
-
-def episode_slice(steps: DataFrame, episode: int, first: int, n: int) -> DataFrame:
-    return steps.where((F.col("episode_id") == episode) & (F.col("step") >= first) & (F.col("step") < first + n))
-
-
 def structure(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Rows and width range of array fields, in one pass."""
     sums = [x for f in fields for x in (F.count(f).alias(f"n_{f}"), F.min(F.size(f)).alias(f"lo_{f}"), F.max(F.size(f)).alias(f"hi_{f}"))]

@@ -293,7 +293,7 @@ def test_chunks_and_batches(spark):
     assert last.actions == [[2.0], [0.0], [0.0], [0.0]] and last.is_pad == [False, True, True, True]
     ids = spark.range(100)
     for parts in (1, 5):
-        out = samples.shuffled_batches(ids.repartition(parts), "id", 32, 1, 0).orderBy("position").collect()
+        out = samples.shuffled_batches(ids.repartition(parts), "id", 32, 1, 0, range_rows=30).orderBy("position").collect()
         assert [r.position for r in out] == list(range(100)) and [r.batch for r in out][-1] == 3
         first = [r.id for r in out] if parts == 1 else first  # noqa: F821
         assert [r.id for r in out] == first
@@ -319,6 +319,37 @@ def test_box_pairs(spark):
     assert out[0, 2].iou == out[2, 0].iou == 0
 
 
+def test_box_pairs_of_a_large_group_are_spread(spark):
+    """One group of many boxes a side: all pairs, none in one task; overlapping ones by grid cells equal those with a share."""
+    rng = random.Random(16)
+    boxes = [(0, k, x, y, x + rng.choice([0.0, 0.05, 0.4]), y + 0.1) for k in range(300) for x, y in [(rng.uniform(-1, 1), rng.uniform(-1, 1))]]
+    df = spark.createDataFrame(boxes, "g long, id long, x0 double, y0 double, x1 double, y1 double")
+    pairs = evaluate.box_pairs(df, df, "g", block=40)
+    assert pairs.count() == 300 * 300 and pairs.select("a", "b").distinct().count() == 300 * 300
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r.n for r in evaluate.box_pairs(df, df, "g", block=40).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 4 and max(sizes) < 90_000 / 2
+    want = {(r.a, r.b): r.iou for r in pairs.where("iou > 0").collect()}
+    for cell in (0.07, 5.0):
+        rows = evaluate.overlapping_pairs(df, df, "g", cell).collect()
+        assert {(r.a, r.b): r.iou for r in rows} == want and len(rows) == len(want)
+
+
+def test_ranges_of_clustered_ids_are_even(spark, monkeypatch):
+    """Ids in two far clusters: the order is right and no range holds over twice the mean."""
+    held = []
+    write = samples.written
+    monkeypatch.setattr(samples, "written", lambda df: held.append(write(df)) or held[-1])
+    ids = spark.range(6000).selectExpr("if(id % 3 = 0, id, id + 1000000000000) as id")
+    got = [(r.id, r.at) for r in samples.sorted_index(ids, "id", range_rows=500).collect()]
+    assert sorted(got) == [(k, i) for i, k in enumerate(sorted(r.id for r in ids.collect()))]
+    sizes = [r.n for r in held[0].groupBy("__r").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 6000 and len(sizes) == 12 and max(sizes) <= 2 * 500
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "scores array<double>, target long")
     assert [r.accuracy for r in evaluate.top_k_accuracy(none, [1, 5]).collect()] == [0.0, 0.0]
