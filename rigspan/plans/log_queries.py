@@ -308,7 +308,19 @@ def _time_lists(t: Tables) -> DataFrame:
     return t("events").select(F.expr("user_id div 15").alias("bag"), kind.alias("kind"), (F.col("event_id") * 1.0).alias("t")).where("kind is not null")
 
 
-@query("W2_time_repair")
+_REPAIR = """tl as (select user_id // 15 as bag, case event_type when 'click' then 'start' when 'view' then 'pause' else 'end' end as kind, event_id * 1.0::double as t from events where event_type in ('click', 'view', 'purchase')),
+ls as materialized (select bag, coalesce(list(t order by t) filter (kind = 'start'), []) as st, coalesce(list(t order by t) filter (kind = 'pause'), []) as pa, coalesce(list(t order by t) filter (kind = 'end'), []) as en from tl group by bag),
+wk as (select bag, 0 as n, 0::bigint as p, 0::bigint as e, null::double as over_, false as done, null::double as s, null::double as pause, null::double as stop from ls where not (len(st) = len(pa) and len(pa) = len(en))
+  union all select bag, n + 1, case when skip or fin then p else np + (pa[np + 1] <= en[ne + 1])::int end, case when skip or fin then e else ne + 1 end, case when skip or fin then over_ else en[ne + 1] end, fin,
+    case when not skip and not fin then nx end, case when not skip and not fin then case when pa[np + 1] <= en[ne + 1] then pa[np + 1] else en[ne + 1] - 1.0 end end, case when not skip and not fin then en[ne + 1] end
+  from (select *, not skip and (np >= len(pa) or ne >= len(en)) as fin from (select wk.bag, wk.n, wk.p, wk.e, wk.over_, ls.pa, ls.en, ls.st[wk.n + 1] as nx, coalesce(ls.st[wk.n + 1] < wk.over_, false) as skip,
+    greatest(wk.p, len(list_filter(ls.pa, lambda x: x < ls.st[wk.n + 1]))) as np, greatest(wk.e, len(list_filter(ls.en, lambda x: x < ls.st[wk.n + 1]))) as ne
+    from wk join ls on ls.bag = wk.bag where wk.n < len(ls.st) and not wk.done))),
+rp as (select bag, s, pause, stop from wk where s is not null
+  union all select bag, unnest(st), unnest(pa), unnest(en) from ls where len(st) = len(pa) and len(pa) = len(en))"""
+
+
+@query("W2_time_repair", 'select bag, row_number() over (partition by bag order by s, stop) - 1 as episode_id, s as "start", pause, stop from rp', also=_REPAIR)
 def time_repair(t):
     return segment.repair_times(_time_lists(t), tick=1.0)
 

@@ -80,6 +80,21 @@ def mode_gate(t):
     return stream.run_available(stream.gated_stream(streamed(t, "messages"), 100))
 
 
+_CHAIN = """rd as (select m.* from messages m join (select bag, greatest(min(t_us) filter (topic = 'click'), min(t_us) filter (topic = 'view'), min(t_us) filter (topic = 'control')) as r from messages group by 1) g on m.bag = g.bag and m.t_us >= g.r),
+on_ as (select * from (select *, last_value(case when cmd in (1, 2) then cmd end ignore nulls) over (partition by bag order by t_us, seq rows between unbounded preceding and current row) as mode from rd) where mode = 1 and topic <> 'control'),
+rw as materialized (select bag, seq, t_us, value / 100 as p, row_number() over (partition by bag order by t_us, seq) as n from on_),
+st as (select bag, n, false as closed, t_us as last, false as published from rw where n = 1
+  union all select bag, n, case when go then not closed else closed end, case when go then t_us else last end, go from
+    (select rw.*, st.closed, st.last, (case when st.closed then p < 0.3 else p > 0.55 end) and rw.t_us - st.last > 3600000000 as go from st join rw on rw.bag = st.bag and rw.n = st.n + 1))"""
+
+
+@query("T5_gated_hand", "select rw.bag, rw.seq, (rw.n - 1) % 100 as step, st.closed, st.published from st join rw on rw.bag = st.bag and rw.n = st.n", "messages", also=_CHAIN)
+def gated_hand(t):
+    """Readiness, mode gate and limited hysteresis chained in one running query."""
+    rows = t("messages").withColumn("value", F.col("value") / 100)
+    return replayed(rows, lambda log: live.gated_hand(log, LATE, ["click", "view", "control"], 100, HOUR, 0.55, 0.3))[0]
+
+
 @query("T4_latency_summary", f"select robot, t_us // {24 * HOUR} * {24 * HOUR} as from_us, count(*) as n, round(sum(sec), 5) as total, max(sec) as most from latency group by 1, 2", "latency")
 def latency_summary(t):
     rows = replayed(t("latency"), lambda log: stream.latency_summary(log.withColumn("ts", F.timestamp_micros("t_us")), LATE))[0]

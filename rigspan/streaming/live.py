@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators.predict import limited
 from ..operators.segment import CANCEL, CANCEL_LAST, START, STOP
 from ..sources.tables import shared_dir
 from .stream import read
@@ -32,18 +34,30 @@ def _changes(rows: list[tuple]) -> pd.DataFrame:
     return out.assign(at_ts=pd.to_datetime(out["at_us"].astype("int64"), unit="us", utc=True))
 
 
-class MarkerOrder(StatefulProcessor):
-    """One bag: rows held until the watermark passes them, the open start, and the stack of live commits."""
+class EventOrder(StatefulProcessor):
+    """One key's rows, held until the watermark has passed them and then folded in the order of time and sequence.
+
+    A subclass names the columns it holds (``t_us`` and ``seq`` first), opens
+    its own state, and folds the rows that are due into output rows.
+    """
+
+    columns: list[str]
+    held_schema: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "t_us long, seq long, cmd int")
-        self.live = handle.getListState("live", "start_us long, stop_us long")
-        self.opened = handle.getValueState("opened", "start_us long")
+        self.held = handle.getListState("held", self.held_schema)
         self.wake = handle.getValueState("wake", "ms long")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def fold(self, key: tuple, due: list[tuple]) -> pd.DataFrame | None:
+        raise NotImplementedError
 
     def _wake_at(self, first_us: int) -> None:
-        """One timer a bag, at the earliest row held."""
+        """One timer a key, at the earliest row held."""
         ms, now = -(-first_us // 1000), self.wake.get()[0] if self.wake.exists() else None
         if now is None or ms < now:
             if now is not None:
@@ -53,16 +67,43 @@ class MarkerOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            new = [(int(t), int(s), int(c)) for t, s, c in zip(batch["t_us"], batch["seq"], batch["cmd"], strict=True)]
+            new = list(zip(*[batch[c].tolist() for c in self.columns], strict=True))
             if new:
                 self.held.appendList(new)
-                self._wake_at(min(new)[0])
+                self._wake_at(min(r[0] for r in new))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         past = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.held.get())
+        held = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2])
         due, rest = [r for r in held if r[0] <= past], [r for r in held if r[0] > past]
+        out = self.fold(key, due)
+        self.held.put(rest) if rest else self.held.clear()
+        self.wake.clear()
+        if rest:
+            self._wake_at(rest[0][0])
+        if out is not None and len(out):
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _keep(state, value) -> None:
+    """Set a state, or clear it where there is nothing to keep."""
+    (state.put if isinstance(value, list) else state.update)(value) if value else state.clear()
+
+
+class MarkerOrder(EventOrder):
+    """One bag: the open start and the stack of live commits."""
+
+    columns, held_schema = ["t_us", "seq", "cmd"], "t_us long, seq long, cmd int"
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getListState("live", "start_us long, stop_us long")
+        self.opened = handle.getValueState("opened", "start_us long")
+
+    def fold(self, key: tuple, due: list[tuple]) -> pd.DataFrame:
         current = self.opened.get()[0] if self.opened.exists() else None
         live, out = [tuple(r) for r in self.live.get()], []
         for t, _, cmd in due:
@@ -76,17 +117,100 @@ class MarkerOrder(StatefulProcessor):
                 current = None
             elif cmd == CANCEL_LAST and current is None and live:
                 out.append((key[0], -1, *live.pop(), t))
-        self.live.put(live) if live else self.live.clear()
-        self.opened.update((current,)) if current is not None else self.opened.clear()
-        self.held.put(rest) if rest else self.held.clear()
-        self.wake.clear()
-        if rest:
-            self._wake_at(rest[0][0])
-        if out:
-            yield _changes(out)
+        _keep(self.live, live)
+        _keep(self.opened, None if current is None else (current,))
+        return _changes(out)
 
-    def close(self) -> None:
-        pass
+
+MESSAGE = "bag long, seq long, t_us long, topic string, cmd int, value double, ts timestamp"
+
+
+def _messages(bag: int, rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["t_us", "seq", "topic", "cmd", "value"])
+    out.insert(0, "bag", bag)
+    return out[["bag", "seq", "t_us", "topic", "cmd", "value"]].assign(ts=pd.to_datetime(out["t_us"].astype("int64"), unit="us", utc=True))
+
+
+class MessageOrder(EventOrder):
+    columns, held_schema = ["t_us", "seq", "topic", "cmd", "value"], "t_us long, seq long, topic string, cmd int, value double"
+
+
+class ReadyGate(MessageOrder):
+    """One bag: rows pass from the time on at which every topic has been seen."""
+
+    def __init__(self, topics: list[str]):
+        self.topics = set(topics)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getListState("seen", "topic string")
+
+    def fold(self, key: tuple, due: list[tuple]) -> pd.DataFrame:
+        seen, out = {r[0] for r in self.seen.get()}, []
+        for _, now in groupby(due, key=lambda r: r[0]):  # rows of one time come together
+            rows = list(now)
+            seen |= {r[2] for r in rows} & self.topics
+            out += rows if seen == self.topics else []
+        _keep(self.seen, [(t,) for t in sorted(seen)])
+        return _messages(key[0], out)
+
+
+class ModeGate(MessageOrder):
+    """One bag: data rows pass while the last mode command is start, with a step counter that wraps."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.mode = handle.getValueState("mode", "running boolean, steps long")
+
+    def fold(self, key: tuple, due: list[tuple]) -> pd.DataFrame:
+        running, steps = tuple(self.mode.get()) if self.mode.exists() else (False, 0)
+        out, at = [], []
+        for row in due:
+            if row[3] in (START, STOP):
+                running = row[3] == START
+            if running and row[2] != "control":
+                out.append(row), at.append(steps % self.most)
+                steps += 1
+        self.mode.update((running, steps))
+        return _messages(key[0], out).assign(step=pd.Series(at, dtype="int64"))
+
+
+class Hysteresis(EventOrder):
+    """One bag: a hand that closes and opens by a row's probability, at most once in a while."""
+
+    columns, held_schema = ["t_us", "seq", "step", "value"], "t_us long, seq long, step long, value double"
+
+    def __init__(self, least_us: int, close: float, open_: float):
+        self.rule = least_us, close, open_
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.hand = handle.getValueState("hand", "closed boolean, last_us long")
+
+    def fold(self, key: tuple, due: list[tuple]) -> pd.DataFrame:
+        state = tuple(self.hand.get()) if self.hand.exists() else None
+        done, last = limited([r[0] for r in due], [r[3] for r in due], *self.rule, state)
+        self.hand.update((bool(last[0]), int(last[1])))
+        rows = [(key[0], r[1], r[2], c, p) for r, (c, p) in zip(due, done, strict=True)]
+        return pd.DataFrame(rows, columns=["bag", "seq", "step", "closed", "published"])
+
+
+def _ordered(rows: DataFrame, fold: EventOrder, out: str, time: str = "") -> DataFrame:
+    return rows.groupBy("bag").transformWithStateInPandas(fold, outputStructType=out, outputMode="Append", timeMode="EventTime", eventTimeColumnName=time)
+
+
+def gated_hand(messages: DataFrame, late: str, topics: list[str], most: int, least_us: int, close: float, open_: float) -> DataFrame:
+    """Readiness, mode gate and rate-limited hysteresis of ``messages(bag, seq, t_us, topic, cmd, value)`` as one stream of three states.
+
+    ``value`` is the probability. Rows up to ``late`` out of order are put in
+    order, later ones are dropped and counted.
+    """
+    rows = messages.where("t_us is not null and bag is not null").select(
+        "bag", F.coalesce("seq", F.lit(0)).alias("seq"), "t_us", F.coalesce("topic", F.lit("")).alias("topic"), F.coalesce(F.col("cmd").cast("int"), F.lit(0)).alias("cmd"), "value", F.timestamp_micros("t_us").alias("ts")
+    )
+    ready = _ordered(rows.withWatermark("ts", late), ReadyGate(topics), MESSAGE, "ts")
+    running = _ordered(ready, ModeGate(most), f"{MESSAGE}, step long", "ts")
+    return _ordered(running, Hysteresis(least_us, close, open_), "bag long, seq long, step long, closed boolean, published boolean")
 
 
 def episode_changes(markers: DataFrame, late: str) -> DataFrame:
@@ -98,7 +222,7 @@ def episode_changes(markers: DataFrame, late: str) -> DataFrame:
     :func:`run` only, which sets the state store that timers need.
     """
     rows = markers.where(F.col("cmd").isNotNull() & F.col("t_us").isNotNull()).select("bag", F.coalesce("seq", F.lit(0)).alias("seq"), "t_us", F.col("cmd").cast("int").alias("cmd"), F.timestamp_micros("t_us").alias("ts")).withWatermark("ts", late)
-    return rows.groupBy("bag").transformWithStateInPandas(MarkerOrder(), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime", eventTimeColumnName="at_ts")
+    return _ordered(rows, MarkerOrder(), CHANGES, "at_ts")
 
 
 def grace_rows(messages: DataFrame, changes: DataFrame, late: str, grace_us: int, longest_us: int, min_us: int = 0) -> DataFrame:
