@@ -17,7 +17,8 @@ phrases: if the phrases around the string occur twice, it does; if the phrases
 inside it occur once, it does not. What is left lies at the ends of repeats,
 where some occurrences of the inner phrases differ in the outer ones; there,
 one occurrence for each outer spelling is compared byte for byte (by 128-bit
-digests), first what the strings of neighbouring starts share, then each string.
+digests), first what the strings of neighbouring starts share and cover, then each
+string where these do not decide.
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ SHARD_BYTES = 12 << 20
 #: Neighbouring starts that are compared by what their strings share before each string is.
 TILE = 16
 #: Phrases to which suffixes are compared at most; strings of more phrases are compared byte for byte.
-DEPTH = 16
+DEPTH = 12
 #: Steps after which the transforms are cut down to what still repeats.
-NARROW = (5, 9, 12)
+NARROW = (4, 8)
 PIECE = 1 << 16
 _BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -357,22 +358,31 @@ def _digests(view: memoryview, bounds: list[tuple[int, int]]) -> list[pa.Array]:
 
 
 def _tiles_of(one: dict) -> range:
-    """Tiles of ``TILE`` starts each, counted back from the anchor, that hold starts of a range."""
-    return range((one["anchor"] - one["to"]) // TILE, (one["anchor"] - one["from"]) // TILE + 1)
+    """Last starts of the tiles of ``TILE`` starts each, counted back from the anchor, that hold starts of a range."""
+    first, to = ((one["anchor"] - one[c]) // TILE for c in ("to", "from"))
+    return range(one["anchor"] - TILE * first, one["anchor"] - TILE * to - 1, -TILE)
+
+
+TILES = "low long, high long, whole_low long, whole_high long, digest binary, last int, open boolean"
 
 
 def _tiles(least: int) -> Callable:
-    """What all strings that start in a tile have in common, for every tile with an asked start."""
+    """For every tile with an asked start: what all its strings share, and all that they cover (null beyond the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for digest, text, asked in _asked(batch):
-                tiles = sorted({(a["anchor"], k) for a in asked for k in _tiles_of(a)})
-                bounds = [(at - TILE * k, at - TILE * k - TILE + 1 + least) for at, k in tiles]
-                yield pa.RecordBatch.from_arrays(
-                    [*_digests(memoryview(text), bounds), pa.array([digest] * len(tiles), pa.binary()), pa.array([at for at, _ in tiles], pa.int32()), pa.array([k for _, k in tiles], pa.int32())],
-                    ["low", "high", "digest", "anchor", "tile"],
-                )
+                tiles: dict[int, bool] = {}  # a place counts once, whatever anchors lead to it
+                for a in asked:
+                    for p in _tiles_of(a):
+                        tiles[p] = tiles.get(p, False) or a["open"]
+                lasts = list(tiles)
+                inside = [p >= TILE - 1 and p + least <= len(text) for p in lasts]
+                view = memoryview(text)
+                shared = _digests(view, [(p, p - TILE + 1 + least) for p in lasts])
+                whole = [pa.array(x.to_numpy(), mask=~np.array(inside, bool)) for x in _digests(view, [(max(0, p - TILE + 1), p + least) for p in lasts])]
+                rest = [pa.array([digest] * len(tiles), pa.binary()), pa.array(lasts, pa.int32()), pa.array(list(tiles.values()), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*shared, *whole, *rest], [c.split()[0] for c in TILES.split(", ")])
 
     return run
 
@@ -383,14 +393,8 @@ def _strings(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for digest, text, asked, tiles in _asked(batch):
-                kept = {(t["anchor"], t["tile"]) for t in tiles}
-                starts = [
-                    (p, a["open"])
-                    for a in asked
-                    for k in _tiles_of(a)
-                    if (a["anchor"], k) in kept
-                    for p in range(max(a["from"], a["anchor"] - TILE * k - TILE + 1), min(a["to"], a["anchor"] - TILE * k) + 1)
-                ]
+                kept = set(tiles)
+                starts = [(p, a["open"]) for a in asked for last in _tiles_of(a) if last in kept for p in range(max(a["from"], last - TILE + 1), min(a["to"], last) + 1)]
                 yield pa.RecordBatch.from_arrays(
                     [*_digests(memoryview(text), [(p, p + least) for p, _ in starts]), pa.array([digest] * len(starts), pa.binary()), pa.array([p for p, _ in starts], pa.int32()), pa.array([o for _, o in starts], pa.bool_())],
                     ["low", "high", "digest", "at", "open"],
@@ -480,24 +484,30 @@ def repeated_starts(docs: DataFrame, least: int) -> DataFrame | None:
     known = known.join(open_.where("open").select(*inner).distinct(), inner, "left_semi").select("x.*", F.lit(False).alias("open"))
     asked = open_.select(*asks, "open").unionByName(known).groupBy("digest").agg(F.collect_list(F.struct("from", "to", "anchor", "open")).alias("asked"))
     asked = materialize(asked)
-    tiles = materialize(in_arrow(_texts(docs, asked.select("digest")).join(asked, "digest"), _tiles(least), "low long, high long, digest binary, anchor int, tile int"))
-    met = tiles.join(_repeated(tiles), ["low", "high"], "left_semi").groupBy("digest").agg(F.collect_list(F.struct("anchor", "tile")).alias("tiles"))
-    left = materialize(asked.join(met, "digest"))
-    drop_table(tiles, asked)
+    tiles = materialize(in_arrow(_texts(docs, asked.select("digest")).join(asked, "digest"), _tiles(least), TILES))
+    shared, whole, one = ["low", "high"], ["whole_low", "whole_high"], ["digest", "last", "open"]
+    inside = tiles.where(F.col("whole_low").isNotNull())
+    wholes = materialize(inside.groupBy(*shared, *whole).agg(F.count("*").alias("n"), F.min(F.struct(*one)).alias("x")))
+    # all that a tile's strings cover occurs twice: so do they all
+    twice = few_or_shuffled(wholes.where("n > 1").select(*whole))
+    sure = inside.where("open").join(twice, whole, "left_semi").select("digest", (F.col("last") - (TILE - 1)).alias("from"), F.col("last").alias("to"))
+    # else each string is compared, where tiles share something, with one tile of every repeated cover
+    left = wholes.select(*shared, "x.digest", "x.last", (F.col("x.open") & (F.col("n") == 1)).alias("open"))
+    left = left.unionByName(tiles.where(F.col("whole_low").isNull()).select(*shared, *one))
+    several = left.groupBy(*shared).agg(F.count("*").alias("n"), F.bool_or("open").alias("asks")).where("n > 1 and asks").select(*shared)
+    left = left.join(few_or_shuffled(several), shared, "left_semi").groupBy("digest").agg(F.collect_list("last").alias("tiles"))
+    left = materialize(asked.join(left, "digest"))
     strings = materialize(in_arrow(_texts(docs, left.select("digest")).join(left, "digest"), _strings(least), "low long, high long, digest binary, at int, open boolean"))
-    met = strings.where("open").join(_repeated(strings), ["low", "high"], "left_semi").select("digest", F.col("at").alias("from"), F.col("at").alias("to"))
-    sure = segments.where(F.col("kind") == SURE).select("digest", "from", "to").unionByName(met).join(copied, "digest", "left_anti")
+    again = strings.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").select("low", "high")
+    met = strings.where("open").join(few_or_shuffled(again), ["low", "high"], "left_semi").select("digest", F.col("at").alias("from"), F.col("at").alias("to"))
+    found_sure = segments.where(F.col("kind") == SURE).select("digest", "from", "to")
+    sure = found_sure.unionByName(sure).unionByName(met).join(copied, "digest", "left_anti")
     whole = copied.select("digest", F.lit(0).alias("from"), F.lit(1 << 30).alias("to"))
     ranges = materialize(sure.unionByName(whole).groupBy("digest").agg(F.collect_set(F.struct("from", "to")).alias("ranges")))
-    drop_table(left, strings, segments, copied)
+    drop_table(asked, tiles, wholes, left, strings, segments, copied)
     return ranges
 
 
-def _repeated(strings: DataFrame) -> DataFrame:
-    """Digests that two strings share; copies are counted before they are shuffled."""
-    return strings.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-
-
 def remove_repeats(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document without the bytes of strings of ``least`` bytes that start anywhere else, same document included.
 

@@ -202,7 +202,18 @@ def test_anchors_depend_on_their_window_alone():
     data = rng.integers(0, 256, 200_000, dtype=np.uint8)
     last = np.full(len(data), len(data) - spelling.span, np.int32)
     whole, first = suffixes.anchors(data, last, spelling)
-    part, _ = suffixes.anchors(data[70_001:90_000], last[: 19_999] * 0 + 19_999 - spelling.span, spelling)
-    met = set((part + 70_001).tolist())
-    assert met == {a for a, p in zip(whole.tolist(), np.append(first[1:], len(data)).tolist(), strict=True) if a >= 70_001 and a < 90_000 and p > 70_001} & met
-    assert np.diff(whole).max() <= spelling.window
+    part, _ = suffixes.anchors(data[70_001:90_000], np.full(19_999, 19_999 - spelling.span, np.int32), spelling)
+    # the windows of the part are those of the whole between its ends, and so are their anchors
+    behind = np.append(first[1:], len(data))
+    inside = whole[(behind > 70_001) & (first <= 90_000 - spelling.span)]
+    assert inside.tolist() == (part + 70_001).tolist() and np.diff(whole).max() <= spelling.window
+
+
+def test_suffix_dedup_of_copies_in_many_shards_and_of_periods(spark):
+    """Copies in other tasks, texts of more phrases than are followed, and tiles at text ends."""
+    rng = random.Random(21)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    docs = [(k, base[rng.randint(0, 90) : 610 + rng.randint(0, 90)] if k % 3 else base) for k in range(30)]
+    docs += [(100 + k, "xy" * rng.randint(20, 160) + str(k % 4)) for k in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert _kept(df, 64) == _removed(docs, 64)
