@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rigspan.operators import segment, sync
+from rigspan.operators import predict, segment, sync
 from rigspan.streaming import live, stream
 from test_folds import marker_fold
 
@@ -122,3 +122,27 @@ def test_a_replayed_batch_overwrites_itself(spark, tmp_path):
         sink(spark.createDataFrame([(k,) for k in ids], "k long"), 7)
     sink(spark.createDataFrame([(9,)], "k long"), 8)
     assert sorted(r.k for r in spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path)).collect()) == [0, 1, 2, 9]
+
+
+def test_three_states_in_one_stream_equal_the_batch_chain(spark):
+    """Readiness, mode gate and hysteresis over several appends of rows out of order."""
+    rng = random.Random(17)
+    rows = []
+    for b in range(3):
+        for k in range(90):
+            topic = rng.choice(["a", "b", "control"])
+            rows.append((b, b * 1000 + k, (50 + k * 3) * SEC, topic, rng.choice([1, 1, 2]) if topic == "control" else None, rng.random()))
+    df = spark.createDataFrame(rows, MESSAGES)
+    [(got, late)] = live.replay(df, [lambda log: live.gated_hand(log, "20 seconds", ["a", "b", "control"], 7, 8 * SEC, 0.7, 0.3)], 2, 15 * SEC)
+    want = {}
+    for b in range(3):
+        own = sorted((r for r in rows if r[0] == b), key=lambda r: (r[2], r[1]))
+        ready = max(min(r[2] for r in own if r[3] == k) for k in ("a", "b", "control"))
+        mode, on = 0, []
+        for r in own:
+            if r[2] >= ready:
+                mode = r[4] or mode
+                on += [r] if mode == 1 and r[3] != "control" else []
+        done, _ = predict.limited([r[2] for r in on], [r[5] for r in on], 8 * SEC, 0.7, 0.3)
+        want |= {(b, r[1]): (k % 7, *d) for k, (r, d) in enumerate(zip(on, done, strict=True))}
+    assert late == 0 and {(r.bag, r.seq): (r.step, r.closed, r.published) for r in got.collect()} == want
