@@ -24,7 +24,7 @@ string where these do not decide.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +40,9 @@ SHARD_BYTES = 12 << 20
 #: Neighbouring starts that are compared by what their strings share before each string is.
 TILE = 16
 #: Phrases to which suffixes are compared at most; strings of more phrases are compared byte for byte.
-DEPTH = 12
+DEPTH = 10
 #: Steps after which the transforms are cut down to what still repeats.
-NARROW = (4, 8)
+NARROW = (3, 7)
 PIECE = 1 << 16
 _BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -92,6 +92,12 @@ def anchors(data: np.ndarray, last: np.ndarray, spelling: Spelling) -> tuple[np.
     return (np.concatenate(found), np.concatenate(first)) if found else (np.zeros(0, np.int64),) * 2
 
 
+def _halves(view: memoryview, bounds: Iterable[tuple[int, int]]) -> np.ndarray:
+    """High and low 64 bits of the digest of every range of ``view``."""
+    found = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in bounds])
+    return np.frombuffer(found, ">u8").astype(np.uint64).reshape(-1, 2)
+
+
 def _order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Suffixes of all phrase strings in order, by doubling; every end is a symbol of its own."""
     rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + len(ends)
@@ -137,9 +143,9 @@ def _shard(name: str, texts: dict[bytes, list], spelling: Spelling) -> pa.Record
     ends = np.searchsorted(cuts, bases + sizes)
     view = memoryview(data)
     lo, hi = np.zeros(len(cuts), np.uint64), np.zeros(len(cuts), np.uint32)
-    spelled = [xxhash.xxh3_128_intdigest(view[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
-    lo[:-1] = np.fromiter((s & 0xFFFFFFFFFFFFFFFF for s in spelled), np.uint64, len(spelled))
-    hi[:-1] = np.fromiter((s >> 96 for s in spelled), np.uint32, len(spelled))
+    spelled = _halves(view, zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
+    lo[:-1] = spelled[:, 1]
+    hi[:-1] = (spelled[:, 0] >> np.uint64(32)).astype(np.uint32)
     order = _order(lo, ends)
     row_of = np.empty(len(order), np.int32)
     row_of[order] = np.arange(len(order), dtype=np.int32)
@@ -351,10 +357,13 @@ def _asked(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*[batch.column(c).to_pylist() for c in batch.schema.names], strict=True)
 
 
-def _digests(view: memoryview, bounds: list[tuple[int, int]]) -> list[pa.Array]:
-    found = [xxhash.xxh3_128_intdigest(view[a:b]) for a, b in bounds]
-    half = lambda shift: np.fromiter(((x >> shift) & 0xFFFFFFFFFFFFFFFF for x in found), np.uint64, len(found)).view(np.int64)
-    return [pa.array(half(0)), pa.array(half(64))]
+#: Rows of digests that a task hands on at once.
+ROWS = 200_000
+
+
+def _columns(halves: list[np.ndarray]) -> list[pa.Array]:
+    both = np.concatenate(halves) if halves else np.zeros((0, 2), np.uint64)
+    return [pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in (1, 0)]
 
 
 def _tiles_of(one: dict) -> range:
@@ -371,18 +380,22 @@ def _tiles(least: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            shared, whole, inside, own, places, opens = [], [], [], [], [], []
             for digest, text, asked in _asked(batch):
                 tiles: dict[int, bool] = {}  # a place counts once, whatever anchors lead to it
                 for a in asked:
                     for p in _tiles_of(a):
                         tiles[p] = tiles.get(p, False) or a["open"]
-                lasts = list(tiles)
-                inside = [p >= TILE - 1 and p + least <= len(text) for p in lasts]
-                view = memoryview(text)
-                shared = _digests(view, [(p, p - TILE + 1 + least) for p in lasts])
-                whole = [pa.array(x.to_numpy(), mask=~np.array(inside, bool)) for x in _digests(view, [(max(0, p - TILE + 1), p + least) for p in lasts])]
-                rest = [pa.array([digest] * len(tiles), pa.binary()), pa.array(lasts, pa.int32()), pa.array(list(tiles.values()), pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*shared, *whole, *rest], [c.split()[0] for c in TILES.split(", ")])
+                view, size = memoryview(text), len(text)
+                shared.append(_halves(view, [(p, p - TILE + 1 + least) for p in tiles]))
+                whole.append(_halves(view, [(max(0, p - TILE + 1), p + least) for p in tiles]))
+                inside += [p >= TILE - 1 and p + least <= size for p in tiles]
+                own += [digest] * len(tiles)
+                places += tiles
+                opens += tiles.values()
+            covers = [pa.array(x.to_numpy(), mask=~np.array(inside, bool)) for x in _columns(whole)]
+            rest = [pa.array(own, pa.binary()), pa.array(places, pa.int32()), pa.array(opens, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*_columns(shared), *covers, *rest], [c.split()[0] for c in TILES.split(", ")])
 
     return run
 
@@ -390,15 +403,25 @@ def _tiles(least: int) -> Callable:
 def _strings(least: int) -> Callable:
     """Digests of all strings with an asked start in a tile that is not alone."""
 
+    def out(halves: list, own: list, at: list, opens: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*_columns(halves), pa.array(own, pa.binary()), pa.array(at, pa.int32()), pa.array(opens, pa.bool_())], ["low", "high", "digest", "at", "open"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list, list] = ([], [], [], [])
         for batch in batches:
             for digest, text, asked, tiles in _asked(batch):
                 kept = set(tiles)
-                starts = [(p, a["open"]) for a in asked for last in _tiles_of(a) if last in kept for p in range(max(a["from"], last - TILE + 1), min(a["to"], last) + 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*_digests(memoryview(text), [(p, p + least) for p, _ in starts]), pa.array([digest] * len(starts), pa.binary()), pa.array([p for p, _ in starts], pa.int32()), pa.array([o for _, o in starts], pa.bool_())],
-                    ["low", "high", "digest", "at", "open"],
-                )
+                ranges = [(max(a["from"], last - TILE + 1), min(a["to"], last) + 1, a["open"]) for a in asked for last in _tiles_of(a) if last in kept]
+                starts = [p for a, b, _ in ranges for p in range(a, b)]
+                held[0].append(_halves(memoryview(text), [(p, p + least) for p in starts]))
+                held[1].extend([digest] * len(starts))
+                held[2].extend(starts)
+                held[3].extend(o for a, b, o in ranges for _ in range(a, b))
+                if len(held[1]) >= ROWS:
+                    yield out(*held)
+                    held = ([], [], [], [])
+        if held[1]:
+            yield out(*held)
 
     return run
 
