@@ -146,8 +146,9 @@ def scan(
     n_base: places where a phrase stands whole. labels: those of the phrases
     and of ``templates(label, text)`` found to ``LEAST`` or more of their
     k-grams within a span of neighbouring diagonals; of short ones the closing
-    gram must be among them, which tells versions apart. A span covers 1.5
-    lengths of its template at most; longer chains of diagonals are split.
+    gram must be among them, which tells versions apart. Every diagonal opens a
+    span of 1.5 lengths of its template at most, so no stray hit in front of a
+    match cuts it; matching spans that overlap are one.
     score: the largest share. spans: (label, first, last word). Null text: no
     words. Nothing found: empty labels, score 0, null places. Repeated rows and
     null ids stay, rows of one id with other texts are scanned apart. No
@@ -185,19 +186,32 @@ def scan(
     along = Window.partitionBy("key", "template").orderBy("diagonal", "at")
     merged = hits.withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -(10**9)).over(along) > SLACK).cast("int"))
     merged = merged.withColumn("band", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.min("diagonal").over(Window.partitionBy("key", "template", "band"))
-    width = F.greatest(F.lit(SLACK + 1), F.floor(F.col("grams") / 2))
-    spans = merged.withColumn("piece", F.floor((F.col("diagonal") - start) / width)).groupBy(*of, "band", "piece").agg(
-        (F.countDistinct("t_at") / F.col("grams")).alias("share"),
-        F.max("t_at").alias("end"),
-        F.min("at").alias("first"),
-        F.max(F.col("at") + F.col("k") - 1).alias("last"),
+    along_band = Window.partitionBy("key", "template", "band").orderBy("scaled")
+    # every diagonal opens a span of half a length; scaled by it, one frame serves all templates of up to 2 * 65536 words
+    reach = F.greatest(F.lit(SLACK + 1), F.floor(F.col("grams") / 2)).cast("long")
+    diagonals = merged.groupBy(*of, "band", "diagonal").agg(
+        F.collect_set("t_at").alias("t_at"), F.min("at").alias("at"), F.max(F.col("at") + F.col("k") - 1).alias("end_at")
+    ).withColumn("scaled", F.col("diagonal").cast("long") * F.ceil(F.lit(1 << 32) / reach))
+    opened = along_band.rangeBetween(Window.currentRow, (1 << 32) - 1)
+    spans = diagonals.select(
+        *of, "band", "scaled",
+        F.array_distinct(F.flatten(F.collect_list("t_at").over(opened))).alias("seen"),
+        F.min("at").over(opened).alias("first"), F.max("end_at").over(opened).alias("last"),
+    ).withColumn("share", F.size("seen") / F.col("grams"))
+    good = (F.col("share") >= LEAST) & ((F.col("k") == TEXT_K) | (F.array_max("seen") == F.col("grams") - 1))
+    spans = spans.select("key", "template", "label", "band", "scaled", "share", "first", "last", good.alias("good"))
+    # good spans of a band that overlap are one
+    before = Window.partitionBy("key", "template", "band", "good").orderBy("first", "scaled")
+    apart = F.col("first") > F.coalesce(F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    joined = spans.withColumn("apart", apart.cast("int")).withColumn(
+        "island", F.sum("apart").over(before.rowsBetween(Window.unboundedPreceding, 0))
+    ).groupBy("key", "template", "label", "band", "good", "island").agg(
+        F.max("share").alias("share"), F.min("first").alias("first"), F.max("last").alias("last")
     )
-    good = (F.col("share") >= LEAST) & ((F.col("k") == TEXT_K) | (F.col("end") == F.col("grams") - 1))
-    found = spans.groupBy("key").agg(
-        F.collect_set(F.when(good, F.col("label"))).alias("found_set"),
+    found = joined.groupBy("key").agg(
+        F.collect_set(F.when(F.col("good"), F.col("label"))).alias("found_set"),
         F.max("share").alias("score"),
-        F.array_sort(F.collect_list(F.when(good, F.struct("label", "first", "last")))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(F.col("good"), F.struct("label", "first", "last")))).alias("spans"),
     )
     results = materialize(found.join(whole, "key", "left"))
     drop_table(met, hits)

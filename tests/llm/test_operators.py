@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -510,10 +511,8 @@ def brute_licenses(text, phrases, templates):
                 bands.append([])
             bands[-1].append(h)
         for band in bands:
-            pieces = collections.defaultdict(list)
-            for d, i, j in band:
-                pieces[(d - band[0][0]) // max(3, n // 2)].append((i, j))
-            for hit in pieces.values():
+            for first in {d for d, _, _ in band}:
+                hit = [(i, j) for d, i, j in band if first <= d < first + max(3, n // 2)]
                 share = len({j for _, j in hit}) / n
                 best = max(best, share)
                 assert max(i for i, _ in hit) - min(i for i, _ in hit) <= 1.5 * n + 3
@@ -532,12 +531,17 @@ def test_license_method_equals_brute_force(spark):
             words[at : at + rng.randint(0, 2)] = rng.sample(["of", "the", "software", "xx", "version", "2"], rng.randint(0, 2))
         docs.append((10 + k, f"{text_of(rng, rng.randint(0, 30))} {' '.join(words)} {text_of(rng, 9)} {' '.join(words) if k % 7 == 0 else ''}"))
     docs.append((100, "of the " * 400))
+    edited = "under the gnu general public free license version 2"
+    docs += [(101 + k, "under the " * k + edited) for k in range(6)]
     out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     for d, t in docs:
         labels, best = brute_licenses(t, licenses.PHRASES, licenses.TEMPLATES)
         base = set(out[d].base_labels.split(",")) - {""}
         assert set(out[d].labels.split(",")) - {""} == labels | base, d
         assert out[d].score == pytest.approx(1.0 if base else best)
+        for a, b in itertools.combinations([x for x in out[d].spans if x.label == "gpl-2"] if d in range(101, 107) else [], 2):
+            assert a.last < b.first or b.last < a.first
+    assert {out[101 + k].labels for k in range(6)} == {"gpl-2"}
     own = spark.createDataFrame([("mine", "one two three four five six"), ("none", None), ("one", "solo")], "label string, text string")
     got = licenses.scan(spark.createDataFrame([(1, "x One, two three four five six"), (2, "a solo b")], "doc_id long, text string"), templates=own)
     assert {r.doc_id: r.labels for r in got.collect()} == {1: "mine", 2: "one"}
