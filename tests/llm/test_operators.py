@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import hmac
 import itertools
 import os
 import random
@@ -582,6 +583,38 @@ def test_pii(spark, edge, none):
     assert {r.text for r in pii.replace_entities(edge, "k", report=False).collect()} == {r[1] for r in EDGE}
 
 
+def test_pii_leaves_no_part_of_an_entity(spark):
+    lines = {
+        "Dr Alice Brown and Prof. Jones": ["Alice", "Brown", "Jones"],
+        "MR SMITH and Mr Smith": ["SMITH", "Smith"],
+        "Mr O'Brien came. O'Brien left, and Mrs McDonald": ["Brien", "McDonald"],
+        "Mr John Smith called. Later Smith left and John too; SMITH's hat": ["John", "Smith", "SMITH"],
+        "call +49 30 1234567 or +44 20 7946 0958": ["1234567", "7946", "0958"],
+        "host fe80::1ff:fe23:4567:890a or 2001:0DB8:85A3:0000:0000:8A2E:0370:7334": ["1ff", "fe23", "85A3", "7334"],
+        "password = hunter2": ["hunter2"],
+        "api_key=sk-abcdef0123456789": ["abcdef0123456789"],
+        "pay DE89 3704 0044 0532 0130 00 now": ["DE89", "3704", "0532"],
+        "call std::vector a::b at 12:30:45, the token: none, Mr X": [],
+    }
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")
+    out = pii.replace_entities(df, "a hidden key")
+    new = {r.doc_id: r.text for r in out.collect()}
+    for k, (line, gone) in enumerate(lines.items()):
+        assert not [w for w in gone if w in new[k]], new[k]
+        assert gone or new[k] == line
+    smith, again = re.fullmatch(r"MR (\w+) and Mr (\w+)", new[1]).groups()
+    assert smith == again.upper() and again == again.capitalize()
+    john, last, last2, john2, last3 = re.fullmatch(r"Mr (\w+) (\w+) called\. Later (\w+) left and (\w+) too; (\w+)'s hat", new[3]).groups()
+    assert (john, last, last.upper()) == (john2, last2, last3) and last == again
+    iban = re.fullmatch(r"pay (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) now", new[8])[1].replace(" ", "")
+    assert int(f"{iban[4:]}1314{iban[2:4]}") % 97 == 1
+    assert re.fullmatch(r"call \+49 \d\d \d{7} or \+44 \d\d \d{4} \d{4}", new[4])
+    plan = out._jdf.queryExecution().toString() + pii.surrogates(
+        spark.createDataFrame([("a", "hex", "a", 0)], "value string, kind string, canon string, attempt int"), "a hidden key"
+    )._jdf.queryExecution().toString()
+    assert "a hidden key" not in plan and hmac.new(b"a hidden key", b"hex", hashlib.sha256).hexdigest() not in plan
+
+
 def test_pii_equals_brute_force(spark):
     """Entities as another engine's pattern finds them; one surrogate each, distinct, in its format; the rest untouched."""
     rng = random.Random(31)
