@@ -85,12 +85,12 @@ def limited_hysteresis(rows: DataFrame, least_us: int = 500_000, close: float =
     and closed, which rows those are and how their chain leaves it.
     """
 
-    def wanted(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-        t, p = pdf["t_us"].to_numpy(np.int64), pdf["p"].to_numpy(float)
+    def wanted(block: dict[str, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        t, p = block["t_us"].astype(np.int64), block["p"].astype(float)
         return t, [np.flatnonzero(p > close), np.flatnonzero(p < open_)]  # rows that would change open, closed
 
-    def summarise(pdf: pd.DataFrame) -> list:
-        t, rows_ = wanted(pdf)
+    def summarise(block: dict[str, np.ndarray]) -> list:
+        t, rows_ = wanted(block)
         times = [t[r] for r in rows_]
         # the chain behind a publish at row i: where it ends, from the last row backwards
         exits: list[dict[int, tuple[int, int]]] = [{}, {}]
@@ -116,9 +116,9 @@ def limited_hysteresis(rows: DataFrame, least_us: int = 500_000, close: float =
             state = (int(to[k]), int(at[k])) if k < len(times) else (closed, last)
         return out
 
-    def fold(pdf: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
-        done, _ = limited(pdf["t_us"].tolist(), pdf["p"].tolist(), least_us, close, open_, None if state is None else (bool(state[0]), int(state[1])))
-        return pd.DataFrame({"robot": pdf["robot"], "seq": pdf["seq"], "closed": [c for c, _ in done], "published": [p for _, p in done]})
+    def fold(block: dict[str, np.ndarray], state: tuple | None) -> tuple:
+        done, _ = limited(block["t_us"].tolist(), block["p"].tolist(), least_us, close, open_, state)
+        return tuple(zip(*done, strict=True))
 
     probs = rows.select("robot", "seq", "t_us", (1 / (1 + F.exp(-F.col("x")))).alias("p"))
     table = lambda c: f"t{c} array<long>, to{c} array<int>, at{c} array<long>"

@@ -10,9 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 BLOCK = "__block"
 
@@ -82,45 +86,103 @@ def around(rows: DataFrame, keys: list[str], order: list[str], width: int, value
     )
 
 
+def _offsets(table: pa.Table, by: list[str]) -> np.ndarray:
+    """Where the runs of equal ``by`` begin, and the number of rows."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in by:
+        v = table.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Batches of rows sorted by ``by`` as tables of whole groups; the last group of a batch waits for its other rows."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            last = int(_offsets(table, by)[-2])
+            if held and (last or any(table.column(c)[0] != held[-1].column(c)[0] for c in by)):
+                yield pa.concat_tables([*held, table.slice(0, last)]).combine_chunks()
+                held = []
+            elif last:
+                yield table.slice(0, last)
+            held.append(table.slice(last))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _in_groups(rows: DataFrame, by: list[str], order: list[str], run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` over tables that hold whole groups, many small ones at once, their rows in order: no call, batch or frame per group."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, by):
+            yield from run(table).to_batches()
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(walk, schema)
+
+
 def composed(
     rows: DataFrame,
     keys: list[str],
     order: list[str],
     width: int,
-    summarise: Callable[[pd.DataFrame], list],
+    summarise: Callable[[dict[str, np.ndarray]], list],
     summary: str,
     enter: Callable[[list[tuple]], list],
     state: str,
-    fold: Callable[[pd.DataFrame, tuple | None], pd.DataFrame],
+    fold: Callable[[dict[str, np.ndarray], tuple | None], tuple],
     schema: str,
 ) -> DataFrame:
     """A fold over the rows of each group that is cut into blocks.
 
-    ``summarise`` says of a block what it makes of every state it may be
-    entered with (a row of ``summary``); ``enter`` takes a group's summaries in
-    order and gives each block's state on entry (a row of ``state``; None for
-    the first); ``fold`` runs a block from that state. Only summaries of a
-    group ever meet.
+    ``summarise`` says of a block, given as arrays by column, what it makes of
+    every state it may be entered with (a row of ``summary``); ``enter`` takes a
+    group's summaries in order and gives each block's state on entry (a row of
+    ``state``; None for the first); ``fold`` runs a block from that state and
+    gives the columns of ``schema`` that ``rows`` has not, in order. Only
+    summaries of a group ever meet. Rows without a key or a place in the order
+    are left out.
     """
-    cut = blocked(rows, order[0], width)
-    kinds = dict(cut.dtypes)
     by = [*keys, BLOCK]
+    cut = blocked(rows, order[0], width).dropna(subset=by)
+    kinds = dict(cut.dtypes)
     head = ", ".join(f"{k} {kinds[k]}" for k in by)
-    names = [c.strip().split()[0] for c in state.split(", ")]
-
-    def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*pdf[by].iloc[0], *summarise(pdf.sort_values(order, kind="stable")))], columns=[c.strip().split()[0] for c in f"{head}, {summary}".split(", ")])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLOCK)
-        met = enter(list(pdf.drop(columns=by).itertuples(index=False, name=None)))
-        return pd.concat([pdf[by].reset_index(drop=True), pd.DataFrame(met, columns=names, dtype=object)], axis=1)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        own = pdf.sort_values(order, kind="stable")
-        first = own[names].iloc[0]
-        return fold(own.drop(columns=[BLOCK, *names]), None if first.isna().any() else tuple(first))
-
-    blocks = cut.groupBy(*by).applyInPandas(sum_up, f"{head}, {summary}")
-    entered = blocks.groupBy(*keys).applyInPandas(chain, f"{head}, {state}")
-    return cut.join(entered, by).groupBy(*by).applyInPandas(run, schema)
+    types = lambda ddl: to_arrow_schema(StructType.fromDDL(ddl))
+    summed, entered, out = types(f"{head}, {summary}"), types(f"{head}, {state}"), types(schema)
+    states, fresh = entered.names[len(by) :], [c for c in out.names if c not in rows.columns]
+
+    def built(of: pa.Schema, kept: pa.Table, made: dict[str, list]) -> pa.Table:
+        return pa.table([pa.array(made[f.name], f.type) if f.name in made else kept.column(f.name).cast(f.type) for f in of], names=of.names)
+
+    def blocks_of(table: pa.Table, at: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        arrays = {c: table.column(c).to_numpy() for c in table.column_names if c not in by}
+        return ({c: v[i:j] for c, v in arrays.items()} for i, j in zip(at[:-1], at[1:], strict=True))
+
+    def sum_up(table: pa.Table) -> pa.Table:
+        at = _offsets(table, by)
+        made = zip(*[summarise(block) for block in blocks_of(table, at)], strict=True)
+        return built(summed, table.take(at[:-1]), dict(zip(summed.names[len(by) :], map(list, made), strict=True)))
+
+    def chain(table: pa.Table) -> pa.Table:
+        at = _offsets(table, keys)
+        summaries = list(zip(*[table.column(c).to_pylist() for c in summed.names[len(by) :]], strict=True))
+        met = [s for i, j in zip(at[:-1], at[1:], strict=True) for s in enter(summaries[i:j])]
+        return built(entered, table, dict(zip(states, map(list, zip(*met, strict=True)), strict=True)))
+
+    def run(table: pa.Table) -> pa.Table:
+        # each block's rows follow the row with its state
+        first = table.filter(pc.invert(table.column("__is_row")))
+        own = table.filter(table.column("__is_row")).select([c for c in table.column_names if c not in states])
+        begins = zip(*[first.column(c).to_pylist() for c in states], strict=True)
+        made: list[list] = [[] for _ in fresh]
+        for block, s in zip(blocks_of(own, _offsets(own, by)), begins, strict=True):
+            for column, values in zip(made, fold(block, None if None in s else s), strict=True):
+                column.extend(values)
+        return built(out, own, dict(zip(fresh, made, strict=True)))
+
+    blocks = _in_groups(cut, by, order, sum_up, f"{head}, {summary}")
+    begins = _in_groups(blocks, keys, [BLOCK], chain, f"{head}, {state}")
+    both = begins.withColumn("__is_row", F.lit(False)).unionByName(cut.withColumn("__is_row", F.lit(True)), allowMissingColumns=True)
+    return _in_groups(both, by, ["__is_row", *order], run, schema)

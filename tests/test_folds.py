@@ -366,3 +366,27 @@ def test_synchronise_and_shift_share_one_exchange(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_folds_of_many_small_blocks_share_batches(spark):
+    """No call per group: groups come many to a batch, and go on over batches of three rows."""
+    rng = random.Random(8)
+    rows = [(r, k, rng.randrange(3000), rng.uniform(-3, 3)) for r in range(12) for k in range(rng.randint(1, 25))]
+    rows += [(None, 1, 5, 1.0), (3, 99, None, 1.0)]
+    df = spark.createDataFrame(rows, "robot long, seq long, t_us long, x double")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for most in ("3", before):
+        spark.conf.set(name, most)
+        try:
+            out = predict.limited_hysteresis(df, least_us=200, close=0.55, width=500)
+            assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+            got = {(r.robot, r.seq): (r.closed, r.published) for r in out.collect()}
+        finally:
+            spark.conf.set(name, before)
+        want = {}
+        for robot in range(12):
+            own = sorted((t, s, 1 / (1 + math.exp(-x))) for r, s, t, x in rows if r == robot and t is not None)
+            done, _ = predict.limited([t for t, _, _ in own], [p for _, _, p in own], 200, 0.55, 0.3)
+            want |= {(robot, s): d for (_, s, _), d in zip(own, done, strict=True)}
+        assert got == want
