@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, few_or_shuffled, materialize
+from .common import drop_table, materialize
 from .urls import LOWER, UPPER
 
 # fixed values: the phrases that count wherever their words stand consecutively
@@ -94,6 +94,8 @@ SLACK = 2
 LEAST = 0.7
 #: Words per gram of phrases and of texts from WHOLE words on.
 PHRASE_K, TEXT_K, WHOLE = 2, 4, 24
+#: Template grams that are broadcast to the documents; of more, the documents' grams are shuffled with their own words.
+BROADCAST_GRAMS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -160,18 +162,18 @@ def scan(
     rows = rows.select("text", F.struct("id", F.xxhash64("text").alias("h")).alias("key"))
     known = materialize(template_grams(phrases, templates))  # as many rows as the licenses have words
     ks = sorted(r.k for r in known.select("k").distinct().collect())
-    hashed = rows.select("key", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    grams = hashed.select("key", F.explode(F.concat(*[_rolling("h", k) for k in ks])).alias("g")).select("key", "g.*")
-    met = grams.join(few_or_shuffled(known.select("k", "hash").distinct()), ["k", "hash"])
-    met = materialize(met.groupBy("key").agg(F.collect_set(F.struct("at", "k", "hash")).alias("found")))
-    # the words of documents with hits, to verify every hit
-    of_hits = rows.join(few_or_shuffled(met.select("key")), "key", "left_semi").dropDuplicates(["key"])
-    spelled = of_hits.select("key", words(F.col("text")).alias("w")).join(met, "key").select(
-        "key", F.explode(F.transform("found", lambda x: F.struct(x.at.alias("at"), F.slice("w", x.at + 1, x.k).alias("t_words")))).alias("g")
-    )
+    # the words stay beside their grams, so that a hit is verified where it is found and no text is shuffled
+    spelled = rows.select("key", words(F.col("text")).alias("w")).select("key", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    rolled = spelled.select("key", "w", F.concat(*[_rolling("h", k) for k in ks]).alias("all_grams"))
+    # outer: no filter on the array's size is inferred, which would spell it once more below; the join drops the empty ones
+    grams = rolled.select("key", "w", F.explode_outer("all_grams").alias("g")).select("key", "w", F.col("g.at").alias("at"), F.col("g.k").alias("g_k"), F.col("g.hash").alias("hash"))
+    if known.count() <= BROADCAST_GRAMS:
+        met = grams.join(F.broadcast(known), "hash").where((F.col("k") == F.col("g_k")) & (F.slice("w", F.col("at") + 1, F.col("k")) == F.col("t_words")))
+    else:
+        met = grams.select("key", "at", "hash", F.slice("w", F.col("at") + 1, F.col("g_k")).alias("t_words")).join(known, ["hash", "t_words"])
+    # rows that repeat count once
     hits = materialize(
-        spelled.select("key", "g.at", "g.t_words").join(few_or_shuffled(known), "t_words")
-        .select("key", "template", "label", "base", "grams", "k", "at", "t_at", (F.col("at") - F.col("t_at")).alias("diagonal"))
+        met.select("key", "template", "label", "base", "grams", "k", "at", "t_at", (F.col("at") - F.col("t_at")).alias("diagonal")).distinct()
     )
 
     of = ["key", "template", "label", "base", "grams", "k"]
@@ -214,7 +216,7 @@ def scan(
         F.array_sort(F.collect_list(F.when(F.col("good"), F.struct("label", "first", "last")))).alias("spans"),
     )
     results = materialize(found.join(whole, "key", "left"))
-    drop_table(met, hits)
+    drop_table(known, hits)
     out = rows.select("key", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(results, "key", "left")
     none = F.array().cast("array<string>")
     every = F.array_distinct(F.concat(F.coalesce("base_set", none), F.coalesce("found_set", none)))

@@ -805,3 +805,16 @@ def test_media_detects_damage():
     form[9] ^= 1
     with pytest.raises(ValueError, match="digest"):
         media.read_back(bytes(form))
+
+
+def test_license_hits_are_verified_without_shuffling_texts(spark, monkeypatch):
+    words = "alpha beta under the mit license gamma licensed under the apache license version 2 0 delta cc by nc".split()
+    docs = [(k, " ".join(words[k % 5 :] + ["w%d" % k] * (k % 3))) for k in range(40)] + [(1, None), (2, "cc by nc"), (2, "cc by nc"), (None, "cc by nc")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plans = []
+    plain = licenses.materialize
+    monkeypatch.setattr(licenses, "materialize", lambda x: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or plain(x))
+    few = sorted(map(str, licenses.scan(df).collect()))
+    assert len(few) == len(docs) and not any("first(text" in p for p in plans)
+    monkeypatch.setattr(licenses, "BROADCAST_GRAMS", 0)
+    assert sorted(map(str, licenses.scan(df).collect())) == few
