@@ -146,3 +146,62 @@ def test_three_states_in_one_stream_equal_the_batch_chain(spark):
         done, _ = predict.limited([r[2] for r in on], [r[5] for r in on], 8 * SEC, 0.7, 0.3)
         want |= {(b, r[1]): (k % 7, *d) for k, (r, d) in enumerate(zip(on, done, strict=True))}
     assert late == 0 and {(r.bag, r.seq): (r.step, r.closed, r.published) for r in got.collect()} == want
+
+
+def test_a_batch_of_rows_costs_few_calls_of_the_state():
+    """A key's rows of a batch are held as one value, and read again as they were."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.items = []
+
+        def appendList(self, rows):
+            self.items += rows
+
+        def appendValue(self, row):
+            self.items.append(row)
+
+        def put(self, rows):
+            self.items = list(rows)
+
+        def get(self):
+            return iter(self.items)
+
+        def clear(self):
+            self.items = []
+
+    class One(State):
+        def exists(self):
+            return bool(self.items)
+
+        def update(self, row):
+            self.items = [row]
+
+        def get(self):
+            return self.items[0] if self.items else None
+
+    class Handle:
+        def getListState(self, name, schema):
+            return State()
+
+        def getValueState(self, name, schema):
+            return One()
+
+        def registerTimer(self, ms):
+            pass
+
+        deleteTimer = registerTimer
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 500
+
+    fold = live.ModeGate(7)
+    fold.init(Handle())
+    rows = pd.DataFrame({"t_us": [k * 1000 for k in range(1000)], "seq": range(1000), "topic": ["a"] * 1000, "cmd": [1] + [0] * 999, "value": [0.5, None] * 500})
+    list(fold.handleInputRows((3,), iter([rows[:600], rows[600:]]), Times()))
+    assert len(fold.held.items) == 1
+    [out] = fold.handleExpiredTimer((3,), Times(), None)
+    assert out["seq"].tolist() == list(range(501)) and out["step"].tolist() == [k % 7 for k in range(501)] and out["value"].isna().sum() == 250
+    assert len(fold.held.items) == 1 and len(live.unpacked(fold.held.items[0][0])) == 499
