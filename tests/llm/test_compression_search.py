@@ -217,3 +217,18 @@ def test_suffix_dedup_of_copies_in_many_shards_and_of_periods(spark):
     docs += [(100 + k, "xy" * rng.randint(20, 160) + str(k % 4)) for k in range(12)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
     assert _kept(df, 64) == _removed(docs, 64)
+
+
+def test_open_neighbours_ask_once(spark):
+    """Starts next to each other that share their inner phrases are one range, whatever phrases end there."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base = text(3000)
+    docs = [(hashlib.md5(t).digest(), t) for t in (f"{text(500)}{base}{text(500)}".encode() for _ in range(3))]
+    df = spark.createDataFrame([(bytearray(d), bytearray(t)) for d, t in docs], "digest binary, text binary").repartition(3)
+    spelling = suffixes.Spelling(400)
+    shards, found = suffixes.repeated_intervals(df, spelling)
+    segments = shards.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(suffixes._segments(spelling), suffixes.SEGMENT)
+    rows = [r for r in segments.collect() if r.kind == suffixes.OPEN]
+    ends = {(bytes(r.digest), r.to + 1, r.anchor, r.lo, r.hi, r.depth) for r in rows}
+    assert rows and not [r for r in rows if (bytes(r.digest), r["from"], r.anchor, r.lo, r.hi, r.depth) in ends]
