@@ -31,7 +31,7 @@ MOST_BLOOM_BITS = 29  # 2**29 bits: 64 MB
 class WordHasher:
     """64-bit hashes of a text's words: lower-cased, without punctuation around them."""
 
-    def __init__(self, keep: int = 2_000_000):
+    def __init__(self, keep: int = 300_000):
         self.keep, self.known = keep, {}
 
     def __call__(self, text: str | None) -> np.ndarray:

@@ -41,7 +41,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of word shingles; keeps the hashes of at most ``keep`` distinct words."""
 
-    def __init__(self, size: int, keep: int = 2_000_000):
+    def __init__(self, size: int, keep: int = 300_000):
         self.size, self.keep, self.known = size, keep, {}
 
     def __call__(self, text: bytes | None) -> np.ndarray:

@@ -85,7 +85,7 @@ class Encoder(dict):
     file whose merges are not in the order of ids.
     """
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -109,14 +109,14 @@ class Encoder(dict):
     def ids(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         found = list(map(self.__getitem__, rest))
+        if len(self) > self.keep:
+            self.clear()
         if False in found or (first and self[first] is False):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         head = packed(self.merge(first)) if first else b""
         return head + b"".join(found)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > self.keep:
-            self.clear()
         end = packed([END_ID])
         return [(self.ids(t) if t else b"") + end for t in texts]
 

@@ -19,7 +19,7 @@ import regex
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from rigspan.llm import decontaminate, licenses, media, neardup, packing, pii, sharding, token_counts, toxicity, urls
-from rigspan.llm.common import materialize
+from rigspan.llm.common import in_arrow, materialize
 
 SCHEMA = "doc_id long, text string, score double, shard string, labels string"
 LONG_TEXT = "lorem ipsum dolor " * 3000
@@ -818,3 +818,21 @@ def test_license_hits_are_verified_without_shuffling_texts(spark, monkeypatch):
     assert len(few) == len(docs) and not any("first(text" in p for p in plans)
     monkeypatch.setattr(licenses, "BROADCAST_GRAMS", 0)
     assert sorted(map(str, licenses.scan(df).collect())) == few
+
+
+def test_tasks_hold_bounded_memory(spark):
+    """Batches of long texts stay near 4 MB, and the encoder's parts near their bound within one call too."""
+    import pyarrow as pa
+
+    texts = spark.range(24, numPartitions=1).selectExpr("repeat(chr(97 + id), 1000000) as text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert max(r.n for r in in_arrow(texts, sizes, "n long").collect()) <= 6 << 20
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing.Encoder(path, keep=100)
+    texts = [" ".join(f"a{k}b{j}" for j in range(50)) for k in range(20)]
+    got = encoder(texts)
+    assert len(encoder) <= 151 and got == [packing.Encoder(path)([t])[0] for t in texts]
