@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rigspan.functions import geometry as geo
 from rigspan.operators import evaluate, predict, samples, scan, segment, sync
+from rigspan.plans import catalog, eval_queries
 from rigspan.streaming import stream
 
 
@@ -338,6 +340,35 @@ def test_box_pairs_of_a_large_group_are_spread(spark):
         assert {(r.a, r.b): r.iou for r in rows} == want and len(rows) == len(want)
 
 
+def test_box_pairs_are_dealt_by_what_they_make(spark):
+    """Adaptive execution sees few bytes: the pairs are spread all the same, in tasks of about ``rows``, small groups behind large ones."""
+    sides = {0: (300, 200), 1: (90, 41), 2: (1, 1), 3: (5, 0)} | {g: (7, 9) for g in range(10, 200)}
+    make = lambda k: [(g, j, float(j), 0.0, j + 1.0, 1.0) for g, n in sides.items() for j in range(n[k])]
+    left, right = (spark.createDataFrame(make(k), "g long, id long, x0 double, y0 double, x1 double, y1 double") for k in (0, 1))
+    want = sum(a * b for a, b in sides.values())
+    for given_, least in (({}, 4), ({"rows": 5000}, -(-want // 5000))):
+        pairs = evaluate.box_pairs(left, right, "g", block=40, **given_)
+        sizes = [r.n for r in pairs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == want == pairs.select("g", "a", "b").distinct().count()
+        assert len(sizes) == least and max(sizes) < 1.5 * want / least
+    none = evaluate.box_pairs(left.where("g = 3"), right, "g")
+    assert none.count() == 0
+
+
+def test_generalised_iou_rows_of_a_task_are_in_the_order_of_the_value(spark):
+    rows = catalog.QUERIES["J10_generalised_iou"](spark, "/root/testdata/sf0.01").withColumn("p", F.spark_partition_id()).collect()
+    assert rows == sorted(rows, key=lambda r: (r.p, r.giou)) and len(rows) == 6171
+
+
+def test_millionths_round_as_sql_does(spark):
+    rng = random.Random(4)
+    values = [None, math.nan, math.inf, -math.inf, 0.0, -1e-9, 1e300, 0.1234565, -0.1234565, 1.0000005, 0.0000025, -0.9999995, 0.49999999999999994e-6]
+    values += [rng.uniform(-1, 1) for _ in range(500)] + [(k + 0.5) / 1e6 for k in rng.sample(range(-10**6, 10**6), 500)]
+    out = [r.x for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(eval_queries.millionths("x")).collect()]
+    want = [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
+    assert [str(x) if x != x else x for x in out] == [str(x) if x is not None and x != x else x for x in want]
+
+
 def test_ranges_of_clustered_ids_are_even(spark, monkeypatch):
     """Ids in two far clusters: the order is right and no range holds over twice the mean."""
     held = []
