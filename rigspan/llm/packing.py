@@ -85,7 +85,7 @@ class Encoder(dict):
     file whose merges are not in the order of ids.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -102,8 +102,7 @@ class Encoder(dict):
 
     def __missing__(self, part: str) -> bytes | bool:
         """Ids of a part behind its space; False for one that cannot stand alone."""
-        ok = part and part == part.strip() and not any(x in part for x in self.special)
-        out = self[part] = packed(self.merge(" " + part)) if ok else False
+        out = self[part] = packed(self.merge(" " + part)) if part and part == part.strip() else False
         return out
 
     def ids(self, text: str) -> bytes:
@@ -111,7 +110,7 @@ class Encoder(dict):
         found = list(map(self.__getitem__, rest))
         if len(self) > self.keep:
             self.clear()
-        if False in found or (first and self[first] is False):
+        if False in found or (first and self[first] is False) or any(x in text for x in self.special):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         head = packed(self.merge(first)) if first else b""
         return head + b"".join(found)

@@ -836,3 +836,23 @@ def test_tasks_hold_bounded_memory(spark):
     texts = [" ".join(f"a{k}b{j}" for j in range(50)) for k in range(20)]
     got = encoder(texts)
     assert len(encoder) <= 151 and got == [packing.Encoder(path)([t])[0] for t in texts]
+
+
+def test_encoder_keeps_parts_and_finds_special_names_with_spaces(tmp_path):
+    """300,000 different parts are merged once, not again; a special token's name counts wherever its spaces fall."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, merged = packing.Encoder(path), []
+    plain = encoder.merge
+    encoder.merge = lambda text: merged.append(text) or plain(text)
+    for _ in range(2):
+        for k in range(0, 300_000, 1000):
+            encoder([" " + " ".join(f"w{j}" for j in range(k, k + 1000))])
+    assert len(merged) == 300_000
+    exact = Tokenizer.from_file(path)
+    exact.add_special_tokens(["<| end |>"])
+    exact.save(str(tmp_path / "own.json"))
+    texts = ["a <| end |> b", "<| end |>", "a <| end", "a<|endoftext|>b c", "a b"]
+    want = [packing.packed(exact.encode(t, add_special_tokens=False).ids + [1]) for t in texts]
+    assert packing.Encoder(str(tmp_path / "own.json"))(texts) == want
